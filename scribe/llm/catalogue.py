@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, urls
+from . import chat, mixing, quality, repetition, urls
 from .common import table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -16,13 +20,19 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.format_chats(chat.with_planted(table(spark, sf_dir, "conversations"))))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(mixing.mix(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op3_url_filters": op3_url_filters,
     "op6_chat_formatting": op6_chat_formatting,
+    "op7_quality_rules": op7_quality_rules,
     "op8_mixing_sources": op8_mixing_sources,
 }
 
