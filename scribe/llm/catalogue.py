@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, quality, repetition, urls
-from .common import table
+from . import chat, mixing, packing, pii, quality, repetition, urls
+from .common import saved, table
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,12 +28,22 @@ def op8_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(mixing.mix(table(spark, sf_dir, "documents")))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"), save=lambda df: saved(df, "pii"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_url_filters": op3_url_filters,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_quality_rules": op7_quality_rules,
     "op8_mixing_sources": op8_mixing_sources,
+    "op9_pii": op9_pii,
+    "op10_packing": op10_packing,
 }
 
 ORACLES = {
