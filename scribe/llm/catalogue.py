@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, packing, pii, quality, repetition, urls
+from . import chat, embeddings, mixing, packing, pii, quality, repetition, urls
 from .common import saved, table
 
 
@@ -16,6 +16,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.format_chats(chat.with_planted(table(spark, sf_dir, "conversations"))))
 
@@ -39,6 +43,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_url_filters": op3_url_filters,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_quality_rules": op7_quality_rules,
     "op8_mixing_sources": op8_mixing_sources,
