@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import WORD
+from .common import WORD, saved
 
 #: Multipliers of the index permutations: primes, of which the first that does not divide the number of blocks is taken.
 PRIMES = (1000000007, 1000000009, 998244353, 1000000021)
@@ -56,7 +56,7 @@ def mix(documents: DataFrame, block: int = 64, shards: int = 64, seed: int = 7,
     Work by source would meet in one task for a hot source: running word counts are taken within (source, bucket), the
     buckets being so many that each holds some thousands of documents, and then over the buckets' sums.
     """
-    d = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    d = saved(documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("copy")), "sizes")
     sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     targets = source_targets(sizes.select("source", "source_size"), weights, share, most)
     n = sizes.agg(F.sum("n")).first()[0] or 0
@@ -64,7 +64,7 @@ def mix(documents: DataFrame, block: int = 64, shards: int = 64, seed: int = 7,
 
     d = d.withColumn("bucket", hashed(F.col("doc_id").cast("string")) % buckets)
     within = Window.partitionBy("source", "bucket").orderBy("doc_id", "size", "copy").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("copy", F.monotonically_increasing_id()).withColumn("start", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    d = d.withColumn("start", F.coalesce(F.sum("size").over(within), F.lit(0)))
     sums = d.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     along = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("source", "bucket", F.coalesce(F.sum("words").over(along), F.lit(0)).alias("offset"))
@@ -77,6 +77,7 @@ def mix(documents: DataFrame, block: int = 64, shards: int = 64, seed: int = 7,
         by = F.when(F.col("blocks") % p != 0, F.lit(p)).otherwise(by)
     shift = hashed(F.concat_ws(":", F.lit(str(seed)), "source")) % F.greatest("blocks", F.lit(1))
     t = t.select("source", "source_size", "target", "blocks", "slots", by.cast("long").alias("by"), shift.alias("shift"))
+    # Spark takes the slots for as few as the sources that they are made from, hence the hints against broadcasts;
     # slots are dealt out by ranges of 1,000, so that a hot source's slots are made in many tasks
     ranges = t.where("slots > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("slots") - 1).cast("long"), F.lit(1000).cast("long"))).alias("from")).repartition("source", "from")
     slots = ranges.select("source", "blocks", "by", "shift", F.explode(F.sequence("from", F.least(F.col("from") + 999, F.col("slots") - 1))).alias("slot"))
@@ -89,9 +90,9 @@ def mix(documents: DataFrame, block: int = 64, shards: int = 64, seed: int = 7,
     first = F.greatest(F.lit(0), F.col("index") * block - F.col("start"))
     upto = F.least(F.col("size"), (F.col("index") + 1) * block - F.col("start"))
     parts = parts.select("source", "copy", "index", first.alias("first"), (upto - first).alias("words")).alias("p")
-    parts = parts.join(used.alias("u"), same("p", "u", "source", "index")).select("copy", F.struct("first", "words", "times", "shards").alias("span"))
+    parts = parts.join(used.alias("u").hint("merge"), same("p", "u", "source", "index")).select("copy", F.struct("first", "words", "times", "shards").alias("span"))
     taken = parts.groupBy("copy").agg(F.array_sort(F.collect_list("span")).alias("spans"))
-    d = d.join(taken, "copy", "left").alias("d").join(t.alias("t"), same("d", "t", "source"))
+    d = d.join(taken.hint("merge"), "copy", "left").alias("d").join(t.alias("t"), same("d", "t", "source"))
     none = F.array().cast("array<struct<first:bigint,words:bigint,times:bigint,shards:array<bigint>>>")
     return d.select("d.doc_id", "d.source", "d.size", "t.source_size", "t.target", F.coalesce("d.spans", none).alias("spans"))
 
