@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, embeddings, mixing, packing, pii, quality, repetition, urls
+from . import chat, embeddings, mixing, packing, pii, quality, repetition, suffixes, urls
 from .common import saved, table
 
 
@@ -16,6 +16,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -43,6 +47,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_url_filters": op3_url_filters,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_quality_rules": op7_quality_rules,
