@@ -39,7 +39,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
     rest = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
     total = F.sum("source_size").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) * float(share)
     s = s.withColumn("level", (total - before) / rest)
-    level = F.coalesce(F.min(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(float("inf")))
+    level = F.coalesce(F.max(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(float("inf")))
     return s.select("source", "source_size", F.least("limit", level * F.col("weight")).alias("target"))
 
 
@@ -102,6 +102,25 @@ def mix_digest(mixed: DataFrame) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), taken.alias("taken"), "source")
 
 
+def mixed_documents(documents: DataFrame, **settings) -> DataFrame:
+    """The mix as documents: the same columns, `text` cut down to the words taken and n_chars, if there, counted anew.
+
+    A document of which blocks are taken twice gives a second row with those blocks; one of which nothing is taken
+    gives none. Rows that repeat an id are told apart by their place among that id's rows in order of size.
+    """
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("size"))
+    taken = mix(documents, **settings).where(F.size("spans") > 0).select("doc_id", "size", "spans").withColumn("nth", nth).drop("size")
+    rows = documents.withColumn("size", word_count(F.col("text"))).withColumn("nth", nth).drop("size").alias("d")
+    both = rows.join(taken.alias("t").hint("merge"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d.nth") == F.col("t.nth")))
+    both = both.select(*[F.col(f"d.{c}") for c in documents.columns], F.col("t.spans").alias("spans"))
+    both = both.withColumn("pass_", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.transform("spans", lambda x: x["times"])))))
+    words = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), 0)
+    picked = F.filter("spans", lambda x: x["times"] >= F.col("pass_"))
+    text = F.array_join(F.flatten(F.transform(picked, lambda x: F.slice("words", (x["first"] + 1).cast("int"), x["words"].cast("int")))), "")
+    both = both.withColumn("words", words).withColumn("text", text).drop("words", "spans", "pass_")
+    return both.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in documents.columns else both
+
+
 SQL = """
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
@@ -114,7 +133,7 @@ l AS (
   SELECT *, (1.5 * (SELECT sum(source_size) FROM s) - coalesce(sum(lim) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM s WINDOW w AS (ORDER BY full_at, source NULLS LAST)),
 g AS (
-  SELECT source, source_size, least(lim, coalesce((SELECT min(level) FROM l WHERE level <= full_at), 'infinity'::DOUBLE) * weight)::DOUBLE AS target FROM l),
+  SELECT source, source_size, least(lim, coalesce((SELECT max(level) FROM l WHERE level <= full_at), 'infinity'::DOUBLE) * weight)::DOUBLE AS target FROM l),
 t AS (
   SELECT source, source_size, target, ceil(source_size / 64)::BIGINT AS blocks, least(round(target / 64), 2 * blocks)::BIGINT AS slots,
     ('0x' || substr(md5('7' || coalesce(':' || source, '')), 1, 8))::BIGINT % greatest(1, blocks) AS shift,
