@@ -73,24 +73,33 @@ def may_link(a: str, b: str, percent: int, most_bits: int) -> Column:
     return sizes & (differ <= most_bits)
 
 
-def confirmed(pairs: DataFrame, documents: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets fulfil 100 * intersection >= percent * union; only texts in a pair are moved."""
+def confirmed(pairs: DataFrame, documents: DataFrame, words: int, percent: int, sets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) whose full sets fulfil 100 * intersection >= percent * union, and the sets fetched so far.
+
+    Only the texts of documents that are in a pair, and whose sets are not there yet, are moved.
+    """
     pairs = saved(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    if sets is not None:
+        ids = ids.join(sets.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_anti")
+    ids = saved(ids, "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [s.view(np.int64) for s in shingles(batch, words)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(pa.int64()))], ["id", "set"])
 
-    texts = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.hint("merge"), "doc_id", "left_semi")
-    sets = saved(texts.mapInArrow(run, "id long, set array<long>"), "sets")
+    if sets is None or not ids.isEmpty():
+        texts = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.hint("merge"), "doc_id", "left_semi")
+        more = saved(texts.mapInArrow(run, "id long, set array<long>"), "sets")
+        sets = more if sets is None else sets.unionByName(more)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")).hint("merge"), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b").distinct()
+    links = both.where(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b").distinct()
+    return saved(links, "links"), sets
 
 
-def near_documents(documents: DataFrame, words: int = 5, percent: int = 80, trees: int = 10, small: int = 32, depth: int = 12) -> DataFrame:
+def near_documents(documents: DataFrame, words: int = 5, percent: int = 80, trees: int = 10, small: int = 128, depth: int = 10, stars: int = 4) -> DataFrame:
     """documents(doc_id, text, ...) -> (doc_id, n_shingles, component_id, kept), one row per document.
 
     Equal sets are one class, held by its smallest doc_id. In each of `trees` trees a class goes to the node of one
@@ -99,9 +108,9 @@ def near_documents(documents: DataFrame, words: int = 5, percent: int = 80, tree
     class goes to two children by two more minwise tokens, so deeper pairs of similarity 0.8 survive with probability
     above 0.75 a tree, and ten trees miss fewer than one in a million. Nodes at `depth` are compared however large.
 
-    Before that each class is compared with the first one of each of its nodes and what links is joined: a large group
-    of near copies is then one component, whose classes need no comparison with each other, so its node is small
-    without a quadratic number of pairs. All links are confirmed on full sets. Null and empty texts link with nothing,
+    Before that each class is compared with a hub, or four, drawn in each of its nodes, what links is joined, and nodes
+    that are large still get up to `stars` rounds of new hubs: a large group of near copies is then one component, whose
+    classes need no comparison with each other, so its node is small without a quadratic number of pairs. All links are confirmed on full sets. Null and empty texts link with nothing,
     rows with a null id are left out, repeated rows are one document each, an empty table gives no row.
     """
     # expected bits that differ at the threshold, and 5.5 deviations more
@@ -116,12 +125,36 @@ def near_documents(documents: DataFrame, words: int = 5, percent: int = 80, tree
         tokens = frame.select(*held, *more, F.posexplode(F.slice("paths", 1, trees)).alias("tree", "token"))
         return tokens.select(F.xxhash64("tree", "token").alias("node"), *held, *more)
 
+    def hubs(k: int) -> Column:
+        return F.min(F.struct(F.xxhash64("node", "id", F.lit(k)).alias("draw"), *held))
+
+    def star(rows: DataFrame, hub: DataFrame, differ: Column) -> DataFrame:
+        near = rows.alias("a").join(hub.alias("b").hint("merge"), (F.col("a.node") == F.col("b.node")) & (F.col("a.id") != F.col("b.id")) & differ & may_link("a", "b", percent, most_bits))
+        return near.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+
+    def parts_of(links: DataFrame) -> DataFrame:
+        with_part = classes.drop("f0", "f1").join(connected_components(links), "id", "left").withColumn("part", F.coalesce("component", "id"))
+        return saved(with_part.drop("component"), "known")
+
     rows = roots(classes)
-    first = rows.groupBy("node").agg(F.min(F.struct(*held)).alias("h"), F.count(F.lit(1)).alias("m")).where("m > 1").select("node", *[F.col(f"h.{c}").alias(c) for c in held])
-    star = rows.alias("a").join(first.alias("b"), (F.col("a.node") == F.col("b.node")) & (F.col("a.id") > F.col("b.id")) & may_link("a", "b", percent, most_bits))
-    links = saved(confirmed(star.select(F.col("b.id").alias("a"), F.col("a.id").alias("b")).distinct(), documents, words, percent), "links")
-    joined = connected_components(links)
-    known = saved(classes.drop("f0", "f1").join(joined, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component"), "known")
+    first = rows.groupBy("node").agg(F.count(F.lit(1)).alias("m"), *[hubs(k).alias(f"h{k}") for k in range(4)]).where("m > 1")
+    first = first.select("node", F.explode(F.when(F.col("m") > small, F.array(*[f"h{k}" for k in range(4)])).otherwise(F.array("h0"))).alias("h")).select("node", *[F.col(f"h.{c}").alias(c) for c in held])
+    links, sets = confirmed(star(rows, first, F.lit(True)), documents, words, percent)
+    known = parts_of(links)
+    for _ in range(stars):  # nodes that are large still: hubs of the largest component and of the others
+        rows = roots(known, "part")
+        by_part = rows.groupBy("node", "part").agg(F.count(F.lit(1)).alias("k"), *[hubs(k).alias(f"h{k}") for k in (4, 5)])
+        nodes = by_part.groupBy("node").agg((F.sum("k") - F.max("k")).alias("rest"), F.max(F.struct("k", "part", "h4", "h5")).alias("main"), F.min(F.struct("h4", "part")).alias("other")).where(F.col("rest") > small)
+        picked = nodes.select("node", F.explode(F.array(F.struct(F.col("main.h4").alias("h"), F.col("main.part").alias("part")), F.struct(F.col("main.h5").alias("h"), F.col("main.part").alias("part")), F.struct(F.col("other.h4").alias("h"), F.col("other.part").alias("part")))).alias("x"))
+        hub = picked.select("node", *[F.col(f"x.h.{c}").alias(c) for c in held], F.col("x.part").alias("part"))
+        pairs = saved(star(rows, hub, F.col("a.part") != F.col("b.part")), "star")
+        if pairs.isEmpty():
+            break
+        more, sets = confirmed(pairs, documents, words, percent, sets)
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        known = parts_of(links)
 
     rows, found = roots(known, "part"), None
     for level in range(depth):
@@ -142,7 +175,7 @@ def near_documents(documents: DataFrame, words: int = 5, percent: int = 80, tree
         child = F.explode(F.array(*[F.pmod(F.xxhash64("node", F.lit(j)), F.lit(COORDINATES)) for j in (0, 1)])).alias("at")
         down = down.select("node", *held, "part", "paths", child)
         rows = down.select(F.xxhash64("node", "at", F.element_at("paths", (F.col("at") + 1).cast("int"))).alias("node"), *held, "part")
-    more = confirmed(found.distinct(), documents, words, percent)
+    more, _ = confirmed(found.distinct(), documents, words, percent, sets)
     whole = connected_components(links.unionByName(more))
     of_class = classes.select("f0", "f1", F.col("id"), F.col("n").alias("m")).join(whole, "id", "left").select("f0", "f1", F.coalesce("component", "id").alias("component"))
     # empty sets have no class; a class with many copies is a join whose large partitions Spark splits
