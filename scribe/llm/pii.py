@@ -179,7 +179,7 @@ def span_classifier(kinds: list[str], pattern: np.ndarray, count: np.ndarray, p:
     return 1 / (1 + np.exp(-x @ w))
 
 
-def fit_pii(scan_: DataFrame, threshold: float = 0.9) -> set[tuple[str, int]]:
+def fit_pii(scan_: DataFrame, threshold: float = 0.8) -> set[tuple[str, int]]:
     """The (kind, votes) of the added kinds that the final classifier takes as personal data.
 
     What leaves the executors are the counts by kind and vote pattern: at most 7 kinds times 81 patterns.
@@ -194,7 +194,7 @@ def fit_pii(scan_: DataFrame, threshold: float = 0.9) -> set[tuple[str, int]]:
     return {(k, int(c)) for k, c, s, v in zip(kinds, code, score, pattern) if k in ADDED and s >= threshold and v[3] == 2 and v[2] > 0}
 
 
-def find_pii(documents: DataFrame, save=None, threshold: float = 0.9) -> DataFrame:
+def find_pii(documents: DataFrame, save=None, threshold: float = 0.8) -> DataFrame:
     """documents(doc_id, text, ...) -> (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, all_spans).
 
     Base spans stay as they are; the classifier adds spans of the kinds in ADDED that touch none of them. Two narrow
@@ -225,7 +225,7 @@ def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(documents: DataFrame, threshold: float = 0.9) -> DataFrame:
+def redact(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The same rows and columns with personal data in `text` replaced by <kind>, and n_chars, if there, counted anew."""
     taken = fit_pii(scanned(documents), threshold)
 
