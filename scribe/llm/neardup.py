@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,44 +74,87 @@ def may_link(a: str, b: str, percent: int, most_bits: int) -> Column:
     return sizes & (differ <= most_bits)
 
 
-def confirmed(pairs: DataFrame, documents: DataFrame, words: int, percent: int, sets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """The pairs (a, b) whose full sets fulfil 100 * intersection >= percent * union, and the sets fetched so far.
-
-    Only the texts of documents that are in a pair, and whose sets are not there yet, are moved.
-    """
-    pairs = saved(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def fetched(ids: DataFrame, documents: DataFrame, words: int, sets: DataFrame | None) -> DataFrame:
+    """`sets` (id, set) with those of `ids` that are not there yet; only the texts of these are moved."""
+    ids = ids.distinct()
     if sets is not None:
-        ids = ids.join(sets.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_anti")
-    ids = saved(ids, "ids")
+        ids = saved(ids.join(sets.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_anti"), "ids")
+        if ids.isEmpty():
+            return sets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [s.view(np.int64) for s in shingles(batch, words)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(pa.int64()))], ["id", "set"])
 
-    if sets is None or not ids.isEmpty():
-        texts = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.hint("merge"), "doc_id", "left_semi")
-        more = saved(texts.mapInArrow(run, "id long, set array<long>"), "sets")
-        sets = more if sets is None else sets.unionByName(more)
+    texts = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.hint("merge"), "doc_id", "left_semi")
+    more = saved(texts.mapInArrow(run, "id long, set array<long>"), "sets")
+    return more if sets is None else sets.unionByName(more)
+
+
+def confirmed(pairs: DataFrame, documents: DataFrame, words: int, percent: int, sets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) whose full sets fulfil 100 * intersection >= percent * union, and the sets fetched so far."""
+    pairs = saved(pairs, "pairs")
+    sets = fetched(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))), documents, words, sets)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")).hint("merge"), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
     common = F.size(F.array_intersect("x", "y"))
     links = both.where(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b").distinct()
     return saved(links, "links"), sets
 
 
-def near_documents(documents: DataFrame, words: int = 5, percent: int = 80, trees: int = 10, small: int = 128, depth: int = 10, stars: int = 4) -> DataFrame:
+def compared_in_blocks(rows: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, block: int = 512) -> DataFrame:
+    """(a, b) that are linked by 32-bit shingle hashes in nodes of any size: classes outside `main` against all.
+
+    rows(node, id, part) of nodes(node, m, rest, main). Both sides of a node are dealt to blocks by hash, so a task holds
+    at most about `block` by `block` sets whatever the node's size; pairs that are not linked never leave it. Collisions
+    can only add to an intersection, so no link is lost; confirmed() has the last word.
+    """
+    here = rows.select("node", "id", "part").join(nodes.select("node", "main", F.ceil(F.col("rest") / block).cast("int").alias("asking"), F.ceil(F.col("m") / block).cast("int").alias("all")).hint("merge"), "node")
+    small = sets.groupBy("id").agg(F.first("set").alias("set")).select("id", F.transform("set", lambda v: F.shiftright(v, 32).cast("int")).alias("set"))
+    here = here.join(small.hint("merge"), "id")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    asked = here.withColumn("asks", F.lit(False)).withColumn("e", F.pmod(F.xxhash64("id"), F.col("all")).cast("int")).withColumn("s", spread(F.col("asking")))
+    asking = here.where("part <> main").withColumn("asks", F.lit(True)).withColumn("s", F.pmod(F.xxhash64("id", F.lit(1)), F.col("asking")).cast("int")).withColumn("e", spread(F.col("all")))
+    names = ["node", "e", "s", "asks", "id", "part", "set"]
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        s, e = group[group["asks"]], group[~group["asks"]]
+        out_a, out_b = [], []
+        if len(s) and len(e):
+            size = e["set"].str.len().to_numpy()
+            token, at = np.unique(np.concatenate(e["set"].to_numpy()), return_inverse=True)
+            first = np.r_[0, np.cumsum(size)[:-1]]
+            ids, parts = e["id"].to_numpy(), e["part"].to_numpy()
+            for x, part, own in zip(s["set"], s["part"], s["id"]):
+                mark = np.zeros(len(token), np.int32)
+                k = np.searchsorted(token, x)
+                k = k[k < len(token)]
+                mark[k[np.isin(token[k], x)]] = 1
+                common = np.add.reduceat(mark[at], first)
+                hit = (common * 100 >= (size + len(x) - common) * percent) & (parts != part)
+                # one link to each part joins it
+                for p in np.unique(parts[hit]):
+                    out_a.append(own)
+                    out_b.append(int(ids[hit & (parts == p)].min()))
+        a, b = np.array(out_a, np.int64), np.array(out_b, np.int64)
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return asked.select(*names).unionByName(asking.select(*names)).groupBy("node", "e", "s").applyInPandas(compare, "a long, b long").distinct()
+
+
+def near_documents(documents: DataFrame, words: int = 5, percent: int = 80, trees: int = 10, small: int = 64, depth: int = 8, stars: int = 1) -> DataFrame:
     """documents(doc_id, text, ...) -> (doc_id, n_shingles, component_id, kept), one row per document.
 
     Equal sets are one class, held by its smallest doc_id. In each of `trees` trees a class goes to the node of one
-    minwise token; a pair of similarity s shares it with probability s. A node is small if at most `small` of its
-    classes are outside its largest component so far; those are compared with all of the node. Larger nodes branch: a
-    class goes to two children by two more minwise tokens, so deeper pairs of similarity 0.8 survive with probability
-    above 0.75 a tree, and ten trees miss fewer than one in a million. Nodes at `depth` are compared however large.
+    minwise token; a pair of similarity s shares it with probability s. Nodes of at most 2 * `small` classes compare what
+    is not in one component yet. Larger nodes branch: a class goes to two children by two more minwise tokens, so deeper
+    pairs of similarity 0.8 survive with probability above 0.75 a tree, and ten trees miss fewer than one in a million.
+    Where a child keeps more than half of its node, and at `depth`, the node is compared in blocks: the classes outside
+    its largest component with all of it.
 
     Before that each class is compared with a hub, or four, drawn in each of its nodes, what links is joined, and nodes
     that are large still get up to `stars` rounds of new hubs: a large group of near copies is then one component, whose
-    classes need no comparison with each other, so its node is small without a quadratic number of pairs. All links are confirmed on full sets. Null and empty texts link with nothing,
+    classes need no comparison with each other. All links are confirmed on full sets. Null and empty texts link with nothing,
     rows with a null id are left out, repeated rows are one document each, an empty table gives no row.
     """
     # expected bits that differ at the threshold, and 5.5 deviations more
@@ -156,26 +200,38 @@ def near_documents(documents: DataFrame, words: int = 5, percent: int = 80, tree
         links = links.unionByName(more)
         known = parts_of(links)
 
-    rows, found = roots(known, "part"), None
+    rows, found = roots(known, "part"), []
     for level in range(depth):
         rows = saved(rows, "nodes")
         by_part = rows.groupBy("node", "part").agg(F.count(F.lit(1)).alias("k"))
-        nodes = by_part.groupBy("node").agg((F.sum("k") - F.max("k")).alias("rest"), F.max(F.struct("k", "part"))["part"].alias("main")).where("rest > 0")
+        nodes = by_part.groupBy("node").agg(F.sum("k").alias("m"), (F.sum("k") - F.max("k")).alias("rest"), F.max(F.struct("k", "part"))["part"].alias("main")).where("rest > 0")
         nodes = saved(nodes, "sizes")
-        done = nodes if level == depth - 1 else nodes.where(F.col("rest") <= small)
-        here = rows.join(done.select("node", "main").hint("merge"), "node")
+        here = rows.join(nodes.where(F.col("m") <= 2 * small).select("node", "main").hint("merge"), "node")
         pair = (F.col("a.node") == F.col("b.node")) & (F.col("a.part") != F.col("b.part")) & ((F.col("b.part") == F.col("b.main")) | (F.col("a.id") < F.col("b.id"))) & may_link("a", "b", percent, most_bits)
-        near = here.where("part <> main").alias("a").join(here.alias("b").hint("merge"), pair).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
-        near = saved(near, "near")
-        found = near if found is None else found.unionByName(near)
-        large = nodes.where(F.col("rest") > small)
-        if level == depth - 1 or large.isEmpty():
+        near = here.where("part <> main").alias("a").join(here.alias("b").hint("merge"), pair)
+        found.append(saved(near.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct(), "near"))
+        large = saved(nodes.where(F.col("m") > 2 * small), "large")
+        if large.isEmpty():
             break
-        down = rows.join(large.select("node").hint("merge"), "node", "left_semi").join(known.select("id", "paths").hint("merge"), "id")
+        down = rows.join(large.select("node", "m").hint("merge"), "node").join(known.select("id", "paths").hint("merge"), "id")
         child = F.explode(F.array(*[F.pmod(F.xxhash64("node", F.lit(j)), F.lit(COORDINATES)) for j in (0, 1)])).alias("at")
-        down = down.select("node", *held, "part", "paths", child)
-        rows = down.select(F.xxhash64("node", "at", F.element_at("paths", (F.col("at") + 1).cast("int"))).alias("node"), *held, "part")
-    more, _ = confirmed(found.distinct(), documents, words, percent, sets)
+        down = down.select("node", "m", *held, "part", "paths", child)
+        down = down.select(F.col("node").alias("parent"), "m", F.xxhash64("node", "at", F.element_at("paths", (F.col("at") + 1).cast("int"))).alias("node"), *held, "part")
+        # a node that keeps more than half of its classes together branches in vain
+        dense = down.groupBy("parent", "m", "node").agg(F.count(F.lit(1)).alias("k")).groupBy("parent", "m").agg(F.max("k").alias("k"))
+        dense = dense.where((F.col("k") * 2 > F.col("m")) | F.lit(level == depth - 1)).select(F.col("parent").alias("node"))
+        dense = saved(large.join(dense.hint("merge"), "node", "left_semi"), "dense")
+        if not dense.isEmpty():
+            held_in = rows.join(dense.select("node").hint("merge"), "node", "left_semi")
+            sets = fetched(held_in.select(F.col("id").alias("doc_id")), documents, words, sets)
+            found.append(saved(compared_in_blocks(held_in, dense, sets, percent), "blocks"))
+        if level == depth - 1:
+            break
+        rows = down.join(dense.select(F.col("node").alias("parent")).hint("merge"), "parent", "left_anti").select("node", *held, "part")
+    pairs = found[0]
+    for part in found[1:]:
+        pairs = pairs.unionByName(part)
+    more, _ = confirmed(pairs.distinct(), documents, words, percent, sets)
     whole = connected_components(links.unionByName(more))
     of_class = classes.select("f0", "f1", F.col("id"), F.col("n").alias("m")).join(whole, "id", "left").select("f0", "f1", F.coalesce("component", "id").alias("component"))
     # empty sets have no class; a class with many copies is a join whose large partitions Spark splits
