@@ -116,8 +116,10 @@ def mixed_documents(documents: DataFrame, **settings) -> DataFrame:
     both = both.withColumn("pass_", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.transform("spans", lambda x: x["times"])))))
     words = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), 0)
     picked = F.filter("spans", lambda x: x["times"] >= F.col("pass_"))
-    text = F.array_join(F.flatten(F.transform(picked, lambda x: F.slice("words", (x["first"] + 1).cast("int"), x["words"].cast("int")))), "")
-    both = both.withColumn("words", words).withColumn("text", text).drop("words", "spans", "pass_")
+    # a transform over one struct binds the words once; inside the inner lambda they would be split anew for each span
+    parts = F.array(F.struct(words.alias("w"), picked.alias("p")))
+    cut = lambda s: F.array_join(F.flatten(F.transform(s["p"], lambda x: F.slice(s["w"], (x["first"] + 1).cast("int"), x["words"].cast("int")))), "")
+    both = both.withColumn("text", F.transform(parts, cut)[0]).drop("spans", "pass_")
     return both.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in documents.columns else both
 
 
