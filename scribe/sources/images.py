@@ -48,7 +48,9 @@ def screen(images: DataFrame, least_side: int = 6, least_contrast: int = 8) -> D
 
 def admit(files: DataFrame, images: DataFrame, most_bytes: int = 15_000_000, most_pixels: int = 50_000_000) -> DataFrame:
     """files(path, length, ...) with images(origin, width, height): accepted, reject_reason; the first fault counts."""
-    sizes = images.select(F.col("origin").alias("path"), "width", "height")
+    # the two readers write the slashes after a scheme differently
+    plain = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")
+    sizes = images.select(plain(F.col("origin")).alias("_at"), "width", "height")
     reason = (
         F.when(~extension(F.col("path")).isin(*EXTENSIONS), "extension")
         .when(F.col("length") == 0, "empty")
@@ -56,4 +58,4 @@ def admit(files: DataFrame, images: DataFrame, most_bytes: int = 15_000_000, mos
         .when(F.col("height").isNull() | (F.col("height") < 0), "undecodable")
         .when(F.col("width").cast("long") * F.col("height") > most_pixels, "too_many_pixels")
     )
-    return files.join(sizes, "path", "left").withColumn("reject_reason", reason).withColumn("accepted", F.col("reject_reason").isNull())
+    return files.withColumn("_at", plain(F.col("path"))).join(sizes, "_at", "left").drop("_at").withColumn("reject_reason", reason).withColumn("accepted", F.col("reject_reason").isNull())

@@ -49,12 +49,12 @@ def job_progress(events: DataFrame, path: str) -> DataStreamWriter:
 class EarlyStop(StatefulProcessor):
     """One run's best value and how many epochs have passed without a better one; says once when to stop."""
 
-    def __init__(self, patience: int, mode: str = "min", min_delta: float = 1e-5, forget_ms: int = 7 * 24 * 3600 * 1000):
-        self.patience, self.mode, self.min_delta, self.forget_ms = patience, mode, min_delta, forget_ms
+    def __init__(self, patience: int, mode: str = "min", min_delta: float = 1e-5):
+        self.patience, self.mode, self.min_delta = patience, mode, min_delta
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "best double, waited int, stopped boolean", self.forget_ms)
+        self.state = handle.getValueState("state", "best double, waited int, stopped boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         best, waited, stopped = self.state.get() if self.state.exists() else (None, 0, False)
@@ -80,10 +80,10 @@ class EarlyStop(StatefulProcessor):
 def early_stop_alerts(epochs: DataFrame, patience: int, mode: str = "min", min_delta: float = 1e-5) -> DataFrame:
     """epochs(run_name, epoch, value) -> (run_name, stop_epoch, best), one row when a run should stop.
 
-    Epochs of a run must come in order across micro-batches; a run's state is forgotten a week after its last epoch.
-    The session needs the RocksDB state store.
+    Epochs of a run must come in order across micro-batches. The state is three values for each run. The session needs
+    the RocksDB state store.
     """
-    return epochs.groupBy("run_name").transformWithStateInPandas(EarlyStop(patience, mode, min_delta), "run_name string, stop_epoch long, best double", "Append", "ProcessingTime")
+    return epochs.groupBy("run_name").transformWithStateInPandas(EarlyStop(patience, mode, min_delta), "run_name string, stop_epoch long, best double", "Append", "None")
 
 
 def ingest(labels: DataFrame, charset: Charset, most: int, good: str, rejected: str) -> DataStreamWriter:
