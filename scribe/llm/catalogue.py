@@ -65,7 +65,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_minhash_near_dedup": neardup.SQL,
     "op3_url_filters": urls.SQL,
+    "op5_embedding_near_dedup": embeddings.SQL,
     "op6_chat_formatting": chat.SQL,
     "op8_mixing_sources": mixing.SQL,
 }

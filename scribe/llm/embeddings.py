@@ -176,3 +176,17 @@ def near_vectors(embeddings: DataFrame, least: float = 0.93, sample: int = 8192,
     result = classes.select("label", "embedding", "id", "members").join(links, "id", "left").join(parts_, "id", "left").select("label", "embedding", (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     of_row = rows.withColumn("embedding", F.when(F.col("usable"), F.col("embedding").cast("array<double>"))).join(result, ["label", "embedding"], "left")
     return of_row.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), (F.coalesce("component_id", "vec_id") == F.col("vec_id")).alias("kept"))
+
+
+SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS z FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT vec_id, label, z, sqrt(list_dot_product(z, z)) AS norm FROM v),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.z) = len(b.z)
+  WHERE list_dot_product(a.z, b.z) / (a.norm * b.norm) >= 0.93),
+r AS (SELECT vec_id AS id, vec_id AS root FROM embeddings UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id),
+c AS (SELECT id, min(root) AS component_id FROM r GROUP BY id), n AS (SELECT a, count(*) AS k FROM l GROUP BY a)
+SELECT id AS vec_id, coalesce(k, 0)::BIGINT AS n_links, component_id, component_id = id AS kept FROM c LEFT JOIN n ON n.a = c.id
+"""

@@ -244,3 +244,20 @@ def keep_first(documents: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """One document of each group of near duplicates stays, the one with the smallest id; all columns stay."""
     kept = near_documents(documents, words, percent).where("kept").select(F.col("doc_id").alias("kept_id"))
     return documents.join(kept.hint("merge"), F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+t AS (
+  SELECT doc_id, CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) WHEN len(w) = 1 THEN w ELSE [] END AS s FROM w),
+s AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM t),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS x, any_value(b.n) AS y, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+  AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p WHERE 100 * k >= 80 * (x + y - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id),
+c AS (SELECT id, min(root) AS component_id FROM r GROUP BY id)
+SELECT t.doc_id, len(t.s)::BIGINT AS n_shingles, component_id, component_id = t.doc_id AS kept FROM t JOIN c ON c.id = t.doc_id
+"""
