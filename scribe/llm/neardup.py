@@ -110,7 +110,7 @@ def compared_in_blocks(rows: DataFrame, nodes: DataFrame, sets: DataFrame, perce
     can only add to an intersection, so no link is lost; confirmed() has the last word.
     """
     here = rows.select("node", "id", "part").join(nodes.select("node", "main", F.ceil(F.col("rest") / block).cast("int").alias("asking"), F.ceil(F.col("m") / block).cast("int").alias("all")).hint("merge"), "node")
-    small = sets.groupBy("id").agg(F.first("set").alias("set")).select("id", F.transform("set", lambda v: F.shiftright(v, 32).cast("int")).alias("set"))
+    small = sets.select("id", F.transform("set", lambda v: F.shiftright(v, 32).cast("int")).alias("set"))
     here = here.join(small.hint("merge"), "id")
     spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     asked = here.withColumn("asks", F.lit(False)).withColumn("e", F.pmod(F.xxhash64("id"), F.col("all")).cast("int")).withColumn("s", spread(F.col("asking")))
@@ -142,7 +142,18 @@ def compared_in_blocks(rows: DataFrame, nodes: DataFrame, sets: DataFrame, perce
     return asked.select(*names).unionByName(asking.select(*names)).groupBy("node", "e", "s").applyInPandas(compare, "a long, b long").distinct()
 
 
-def near_documents(documents: DataFrame, words: int = 5, percent: int = 80, trees: int = 10, small: int = 64, depth: int = 8, stars: int = 1) -> DataFrame:
+def near_documents(documents: DataFrame, words: int = 5, percent: int = 80, **settings) -> DataFrame:
+    """See chosen_paths(); its many steps each end in a saved table, so their shuffle files go as soon as a step is over."""
+    conf, key = documents.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return chosen_paths(documents, words, percent, **settings)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+
+
+def chosen_paths(documents: DataFrame, words: int = 5, percent: int = 80, trees: int = 10, small: int = 64, depth: int = 8, stars: int = 1) -> DataFrame:
     """documents(doc_id, text, ...) -> (doc_id, n_shingles, component_id, kept), one row per document.
 
     Equal sets are one class, held by its smallest doc_id. In each of `trees` trees a class goes to the node of one
@@ -152,7 +163,7 @@ def near_documents(documents: DataFrame, words: int = 5, percent: int = 80, tree
     Where a child keeps more than half of its node, and at `depth`, the node is compared in blocks: the classes outside
     its largest component with all of it.
 
-    Before that each class is compared with a hub, or four, drawn in each of its nodes, what links is joined, and nodes
+    Before that each class is compared with a hub, or two, drawn in each of its nodes, what links is joined, and nodes
     that are large still get up to `stars` rounds of new hubs: a large group of near copies is then one component, whose
     classes need no comparison with each other. All links are confirmed on full sets. Null and empty texts link with nothing,
     rows with a null id are left out, repeated rows are one document each, an empty table gives no row.
@@ -181,8 +192,8 @@ def near_documents(documents: DataFrame, words: int = 5, percent: int = 80, tree
         return saved(with_part.drop("component"), "known")
 
     rows = roots(classes)
-    first = rows.groupBy("node").agg(F.count(F.lit(1)).alias("m"), *[hubs(k).alias(f"h{k}") for k in range(4)]).where("m > 1")
-    first = first.select("node", F.explode(F.when(F.col("m") > small, F.array(*[f"h{k}" for k in range(4)])).otherwise(F.array("h0"))).alias("h")).select("node", *[F.col(f"h.{c}").alias(c) for c in held])
+    first = rows.groupBy("node").agg(F.count(F.lit(1)).alias("m"), *[hubs(k).alias(f"h{k}") for k in range(2)]).where("m > 1")
+    first = first.select("node", F.explode(F.when(F.col("m") > small, F.array("h0", "h1")).otherwise(F.array("h0"))).alias("h")).select("node", *[F.col(f"h.{c}").alias(c) for c in held])
     links, sets = confirmed(star(rows, first, F.lit(True)), documents, words, percent)
     known = parts_of(links)
     for _ in range(stars):  # nodes that are large still: hubs of the largest component and of the others
@@ -202,7 +213,7 @@ def near_documents(documents: DataFrame, words: int = 5, percent: int = 80, tree
 
     rows, found = roots(known, "part"), []
     for level in range(depth):
-        rows = saved(rows, "nodes")
+        rows = saved(rows, "nodes") if level else rows  # the roots are a cheap projection of what is saved
         by_part = rows.groupBy("node", "part").agg(F.count(F.lit(1)).alias("k"))
         nodes = by_part.groupBy("node").agg(F.sum("k").alias("m"), (F.sum("k") - F.max("k")).alias("rest"), F.max(F.struct("k", "part"))["part"].alias("main")).where("rest > 0")
         nodes = saved(nodes, "sizes")
