@@ -106,12 +106,13 @@ def measure(buf: np.ndarray, offsets: np.ndarray, least: int) -> np.ndarray:
     return np.array([np.diff(w.first), sums(inside & ((buf & 0xC0) != 0x80)), sums(SYMBOL[buf]), lines, by(covered(length, 3, 3)), by(covered(length, least)), longest], np.int64)
 
 
-def quality_rules(documents: DataFrame, least_words: int = 10, most_covered: float = 0.5, most_repeat: int = 100) -> DataFrame:
+def quality_rules(documents: DataFrame, least_words: int = 10, most_covered: float = 0.2, most_repeat: int = 100) -> DataFrame:
     """documents(doc_id, text, ...) -> (doc_id, NAMES..., base_failed, kept).
 
     A word substring of `least_words` words or more that occurs twice in a text is a repeat; the union of all repeats'
-    spans may cover at most `most_covered` of the words, and none may be longer than `most_repeat` words unless the
-    union covers less than a fifth. A narrow step. Null texts have no words and fail the base rules; repeated rows are
+    spans may cover at most `most_covered` of the words, and none may be longer than `most_repeat` words. All copies
+    count as covered, so a fifth is a tenth beyond the first of two copies; the base rules alone allow up to a half.
+    A narrow step. Null texts have no words and fail the base rules; repeated rows are
     judged each; an empty table gives no row; other columns are ignored.
     """
 
@@ -123,7 +124,7 @@ def quality_rules(documents: DataFrame, least_words: int = 10, most_covered: flo
                 m[:, i:j] = measure(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], least_words)
             n, repeat, cover, longest = m[0], m[4], m[5], m[6]
             failed = (n < 50) | (100 * repeat > 50 * n)
-            kept = ~failed & (cover <= most_covered * n) & ((longest <= most_repeat) | (5 * cover <= n))
+            kept = ~failed & (cover <= most_covered * n) & (longest <= most_repeat)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(x) for x in m], pa.array(failed), pa.array(kept)], ["doc_id", *NAMES, "base_failed", "kept"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()

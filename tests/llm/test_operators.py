@@ -236,6 +236,28 @@ def test_repetition_rules(spark, texts, documents):
     assert repetition.quality_rules(empty(spark)).count() == 0
 
 
+def test_repeats_act_beyond_the_base_rules(spark):
+    fresh = iter(range(10**6))
+    new = lambda n: " ".join(f"u{next(fresh)}" for _ in range(n))
+    block, long, line, passage = new(60), new(1000), new(10), new(101)
+    bad = {
+        1: " ".join([new(70), block, new(75), block, new(75), block]),  # 45 % covered
+        2: " ".join([new(5000), long, new(5000), long]),  # under a fifth covered, a repeat of 1,000 words
+        3: " ".join([passage, new(3000), passage]),
+        4: " ".join([line, new(70), line]),  # 22 % covered
+    }
+    clean = {
+        11: new(500),
+        12: " ".join([line, new(100), line]),  # 17 % covered
+        13: " ".join([new(600), block, new(600), block]),  # 9 % covered, within 100 words
+        14: " ".join([line[: line.rindex(" ")], new(30), line[: line.rindex(" ")], new(20)]),  # nine words are no repeat
+    }
+    rows = spark.createDataFrame([*bad.items(), *clean.items()], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in repetition.quality_rules(rows).collect()}
+    assert not any(r["base_failed"] for r in out.values())
+    assert {i for i, r in out.items() if r["kept"]} == set(clean)
+
+
 def test_longest_repeats_by_brute_force():
     r = np.random.default_rng(6)
     for _ in range(30):
