@@ -19,7 +19,7 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge_urls(table(spark, sf_dir, "pages"))
+    return urls.judge_urls(table(spark, sf_dir, "pages"), returned=True)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

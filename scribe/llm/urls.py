@@ -36,32 +36,65 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("host").alias("src"), F.explode(links).alias("dst")).where("dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def propagate(hosts: DataFrame, edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
+def survival(both: DataFrame, tolerance: float, damping: float) -> DataFrame:
+    """(kind, at, to, part) -> (kind, at, alive): the share of a walk's mass from `at` that does not end at a dead end.
+
+    Hosts without an edge of the kind have no row; their share is 1 - damping. Where nothing dangles all are 1 and one
+    round suffices.
+    """
+    alive, steps = both.select("kind", "at").distinct().withColumn("alive", F.lit(1.0)), 1
+    while True:
+        start = alive = cut(alive)
+        for _ in range(steps):
+            ahead = both.join(alive.select("kind", F.col("at").alias("to"), "alive"), ["kind", "to"], "left")
+            alive = ahead.groupBy("kind", "at").agg((1 - damping + damping * F.sum(F.col("part") * F.coalesce("alive", F.lit(1 - damping)))).alias("alive"))
+        alive = cut(alive)
+        change = alive.join(start.withColumnRenamed("alive", "before"), ["kind", "at"]).agg(F.max(F.abs(F.col("alive") - F.col("before")))).first()[0] or 0.0
+        if change * damping**steps / (1 - damping**steps) <= tolerance:
+            return alive
+        steps = 4
+
+
+def propagate(hosts: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-9, returned: bool = False) -> DataFrame:
     """hosts(host, trusted, blocked, pages) and edges -> the same with `trust` and `distrust`.
 
     Trust is a personalised PageRank from the trusted seeds along the links; distrust runs against the links from the
-    blocked seeds, so that hosts linking to blocked ones take part of it. One row per host and one per linked pair of
-    hosts; a hot host's edges are a join whose large partitions Spark splits.
+    blocked seeds, so that hosts linking to blocked ones take part of it. Rounds go on until what is still missing, by
+    the contraction of the last rounds, is at most `tolerance` of all seeds; about 0.85 ** rounds is missing at worst.
+    With `returned`, mass at a host without an edge of its kind goes back to the seeds of the host that it set out
+    from: as that only scales a host's share of the walk, its seeds are divided by `survival`. Without, it is dropped.
+    One row per host and one per linked pair of hosts; a hot host's edges are a join whose large partitions Spark splits.
     """
     both = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("at"), F.col("dst").alias("to"), "weight").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("at"), F.col("src").alias("to"), "weight"))
     out = both.groupBy("kind", "at").agg(F.sum("weight").alias("all"))
     both = cut(both.join(out, ["kind", "at"]).select("kind", "at", "to", (F.col("weight") / F.col("all")).alias("part")))
-    seeds = cut(hosts.select("host", F.explode(F.create_map(F.lit("trust"), F.col("trusted").cast("double"), F.lit("distrust"), F.col("blocked").cast("double"))).alias("kind", "seed")).where("seed > 0"))
-    now = seeds.select("kind", F.col("host").alias("at"), F.col("seed").alias("score"))
-    for k in range(rounds):
-        sent = now.join(both, ["kind", "at"]).select("kind", F.col("to").alias("at"), (F.col("score") * F.col("part") * damping).alias("score"))
-        restart = seeds.select("kind", F.col("host").alias("at"), (F.col("seed") * (1 - damping)).alias("score"))
-        now = sent.unionByName(restart).groupBy("kind", "at").agg(F.sum("score").alias("score"))
-        if k % 4 == 3:
-            now = cut(now)
+    seeds = hosts.select(F.col("host").alias("at"), F.explode(F.create_map(F.lit("trust"), F.col("trusted").cast("double"), F.lit("distrust"), F.col("blocked").cast("double"))).alias("kind", "seed")).where("seed > 0").withColumn("restart", F.col("seed") * (1 - damping))
+    if returned:
+        seeds = seeds.join(survival(both, tolerance, damping), ["kind", "at"], "left").withColumn("restart", F.col("restart") / F.coalesce("alive", F.lit(1 - damping)))
+    seeds = cut(seeds.select("kind", "at", "seed", "restart"))
+    mass, steps = seeds.agg(F.sum("seed")).first()[0] or 0.0, 1
+    now = seeds.select("kind", "at", F.col("seed").alias("score"))
+    restart = seeds.select("kind", "at", F.col("restart").alias("score"))
+    while True:
+        start = now
+        for _ in range(steps):
+            sent = now.join(both, ["kind", "at"]).select("kind", F.col("to").alias("at"), (F.col("score") * F.col("part") * damping).alias("score"))
+            now = sent.unionByName(restart).groupBy("kind", "at").agg(F.sum("score").alias("score"))
+        now = cut(now)
+        moved = now.unionByName(start.withColumn("score", -F.col("score"))).groupBy("kind", "at").agg(F.abs(F.sum("score")).alias("moved"))
+        change = moved.agg(F.sum("moved")).first()[0] or 0.0
+        if change * damping**steps / (1 - damping**steps) <= tolerance * mass:
+            break
+        steps = 4
     scores = now.groupBy(F.col("at").alias("host")).agg(F.sum(F.when(F.col("kind") == "trust", F.col("score")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("score")).otherwise(0.0)).alias("distrust"))
     return hosts.join(scores, "host", "left").na.fill(0.0, ["trust", "distrust"])
 
 
-def judge_urls(pages: DataFrame, rules=RULES, threshold: float = 0.5, rounds: int = 10, damping: float = 0.85) -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, threshold: float = 0.5, damping: float = 0.85, tolerance: float = 1e-9, returned: bool = False) -> DataFrame:
     """pages(page_id, url, html, ...) -> (page_id, host, path, rule, verdict, trust, distrust).
 
-    Where no rule fits, a host is blocked if its distrust exceeds its trust by `threshold` times its pages or more.
+    Where no rule fits, a host is blocked if its distrust exceeds its trust, or its blocked pages its allowed ones, by
+    `threshold` times its pages or more. `returned` says what becomes of mass at hosts without links, see propagate().
     Null urls and urls without :// have an empty host and path, fit no rule and are one host like any other; null or
     empty html has no links; repeated rows count and stay; an empty table gives no row; other columns are ignored.
     """
@@ -69,8 +102,9 @@ def judge_urls(pages: DataFrame, rules=RULES, threshold: float = 0.5, rounds: in
     rule, action = rule_for(F.col("host"), F.col("path"), rules)
     p = p.withColumns({"rule": rule, "action": action})
     hosts = p.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("action") == "allow").alias("trusted"), F.count_if(F.col("action") == "block").alias("blocked"))
-    scored = propagate(hosts, host_edges(p), rounds, damping)
-    scored = scored.withColumn("bad", F.round(F.col("distrust") - F.col("trust"), 6) >= F.col("pages") * threshold)
+    scored = propagate(hosts, host_edges(p), damping, tolerance, returned)
+    excess = F.greatest(F.col("distrust") - F.col("trust"), F.col("blocked") - F.col("trusted"))
+    scored = scored.withColumn("bad", F.round(excess, 6) >= F.col("pages") * threshold)
     verdict = F.coalesce("action", F.when(F.col("bad"), "block").otherwise("allow"))
     return p.drop("html").join(scored.select("host", "bad", "trust", "distrust"), "host").select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.round("trust", 4).alias("trust"), F.round("distrust", 4).alias("distrust"))
 

@@ -156,6 +156,41 @@ def test_distrust_follows_links_backwards(spark):
     assert [by_host[h] for h in hosts] == pytest.approx(x.tolist(), abs=1e-4)
 
 
+def test_url_query_on_a_linked_graph(spark, tmp_path):
+    """Dangling seeds, a small host that links to one, a chain longer than ten hops, links to hosts without pages."""
+    from scribe.llm.catalogue import QUERIES
+
+    to = lambda *hosts: " ".join(f'<a href="http://{h}/">' for h in hosts)
+    pages = [(f"http://seed.net/es/{k}", "") for k in range(100)] + [("http://seed.net/de/1", "")]  # dangling, 99 % blocked
+    pages += [(f"http://alone.net/fr/{k}", "") for k in range(100)] + [("http://alone.net/de/1", "")]  # without any edge
+    pages += [(f"http://small.org/{k}", to("seed.net") if k == 0 else "") for k in range(5)]
+    pages += [("http://mixed.net/es/1", to("c0.org", "nowhere.org")), ("http://mixed.net/2", to("good.com", "mixed.net")), ("http://good.com/", to("good.com", "mixed.net", "c3.org"))]
+    pages += [(f"http://c{k}.org/", to(f"c{k + 1}.org")) for k in range(15)] + [("http://c15.org/", to("mixed.net"))]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    out = QUERIES["op3_url_filters"](spark, str(tmp_path)).collect()
+    assert len(out) == len(pages)
+    by_host = {r["host"]: r for r in out}
+    verdict = {r["host"]: r["verdict"] for r in out if r["rule"] is None}
+    # by a dense matrix for each seed host, mass at dead ends going back to it
+    links = {(h, d) for u, x in pages for h in [u.split("/")[2]] for d in re.findall("http://([^/]*)/", x)}
+    weight = Counter((u.split("/")[2], d) for u, x in pages for d in set(re.findall("http://([^/]*)/", x)))
+    hosts = sorted({h for e in links for h in e} | set(by_host))
+    a = np.array([[weight[s, d] for d in hosts] for s in hosts], float)
+    for kind, m, counted in (("trust", a, "com/"), ("distrust", a.T, "net/")):
+        score = np.zeros(len(hosts))
+        for k, h in enumerate(hosts):
+            n = sum(r["host"] == h and (r["rule"] or "").startswith(counted) for r in out)
+            one = np.eye(len(hosts))[k]
+            walk = np.where(m.sum(1, keepdims=True) > 0, m / np.maximum(m.sum(1, keepdims=True), 1), one)
+            score += n * 0.15 * np.linalg.solve(np.eye(len(hosts)) - 0.85 * walk.T, one)
+        expected = dict(zip(hosts, score.tolist()))
+        assert {h: r[kind] for h, r in by_host.items()} == pytest.approx({h: expected[h] for h in by_host}, abs=1.1e-4)
+    assert verdict["seed.net"] == verdict["alone.net"] == verdict["small.org"] == "block"
+    assert by_host["c0.org"]["distrust"] > 0 and by_host["c15.org"]["trust"] > 0
+    assert by_host["alone.net"]["distrust"] == 100
+
+
 @pytest.mark.parametrize("hot", [4000, 2])
 def test_suffix_dedup(spark, texts, documents, hot):
     seen, expected = set(), {}
