@@ -15,8 +15,9 @@ from pyspark.sql import Window
 
 from .common import saved
 
-#: Patterns of the public vocabulary's splitter; the same for the library that reads JSON and the one that reads ranks.
 END_ID = 1
+#: The vocabulary's added token; the library that reads JSON finds it inside texts, its id is the first free one.
+ADDED = "<|endoftext|>"
 
 
 def load_encoder(vocabulary: str | None = None):
@@ -27,13 +28,14 @@ def load_encoder(vocabulary: str | None = None):
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={ADDED: len(ranks)})
 
 
 def tokenise(documents: DataFrame, length: int = 2048, vocabulary: str | None = None) -> DataFrame:
     """documents(doc_id, text, ...) -> pieces (doc_id, start, length, ids_crc32, doc_tokens), a narrow step.
 
-    A document's ids and the end id are cut into full pieces from the start and one rest. Nulls count as empty.
+    A document's ids and the end id are cut into full pieces from the start and one rest. The string of the added token
+    becomes its id, as `tokenizers` has it with add_special_tokens=False alone. Nulls count as empty.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,7 +43,7 @@ def tokenise(documents: DataFrame, length: int = 2048, vocabulary: str | None =
         for batch in batches:
             rows: list[tuple[int, int, int, int, int]] = []
             for i, text in enumerate(batch.column("text")):
-                ids = np.array([*encoder.encode_ordinary(text.as_py() or ""), END_ID], "<u4")
+                ids = np.array([*encoder.encode(text.as_py() or "", allowed_special="all", disallowed_special=()), END_ID], "<u4")
                 rows += [(i, s, len(part := ids[s : s + length]), zlib.crc32(part.tobytes()), len(ids)) for s in range(0, len(ids), length)]
             t = np.array(rows, np.int64).reshape(-1, 5)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(t[:, 0])), *[pa.array(t[:, k]) for k in range(1, 5)]], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])

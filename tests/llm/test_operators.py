@@ -386,6 +386,22 @@ def test_packing(spark, texts, documents):
     assert packing.pack(empty(spark)).count() == 0
 
 
+def test_packing_finds_the_added_token_in_texts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert tokenizer.encode("end of one <|endoftext|> start", add_special_tokens=False).ids == [437, 286, 530, 220, 50256, 923]
+    r = random.Random(10)
+    parts = ["<|endoftext|>", "<|endoftext|>", "<|endoftext", "|>", "<|", "<|ENDOFTEXT|>", " ", "  ", "\n", "\t ", "word", " it's", "12", "é", "漢字", "🙂", "...", "\u00a0", "e\u0301"]
+    rows = [(0, "end of one <|endoftext|> start"), (1, "<|endoftext|>"), (2, "<|endoftext|>" * 3000)] + [(i, "".join(r.choice(parts) for _ in range(r.randrange(40)))) for i in range(3, 400)]
+    out = {i: g.sort_values("start") for i, g in packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().groupby("doc_id")}
+    for i, t in rows:
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        assert (out[i].doc_tokens == len(ids)).all() and out[i].length.sum() == len(ids)
+        assert [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(out[i].start, out[i].length)] == out[i].ids_crc32.tolist()
+
+
 def test_cutting_patterns_meet_the_demand():
     r = np.random.default_rng(8)
     for n in (1, 3, 40, 5000):
