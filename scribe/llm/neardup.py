@@ -103,15 +103,14 @@ def confirmed(pairs: DataFrame, documents: DataFrame, words: int, percent: int,
 
 
 def compared_in_blocks(rows: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, block: int = 512) -> DataFrame:
-    """(a, b) that are linked by 32-bit shingle hashes in nodes of any size: classes outside `main` against all.
+    """(a, b) that are linked in nodes of any size: classes outside `main` against all.
 
     rows(node, id, part) of nodes(node, m, rest, main). Both sides of a node are dealt to blocks by hash, so a task holds
-    at most about `block` by `block` sets whatever the node's size; pairs that are not linked never leave it. Collisions
-    can only add to an intersection, so no link is lost; confirmed() has the last word.
+    at most about `block` by `block` sets whatever the node's size; pairs that are not linked never leave it. The sets are
+    whole, as in confirmed(), so the one link that is passed on for each part is a true one.
     """
     here = rows.select("node", "id", "part").join(nodes.select("node", "main", F.ceil(F.col("rest") / block).cast("int").alias("asking"), F.ceil(F.col("m") / block).cast("int").alias("all")).hint("merge"), "node")
-    small = sets.select("id", F.transform("set", lambda v: F.shiftright(v, 32).cast("int")).alias("set"))
-    here = here.join(small.hint("merge"), "id")
+    here = here.join(sets.select("id", "set").hint("merge"), "id")
     spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     asked = here.withColumn("asks", F.lit(False)).withColumn("e", F.pmod(F.xxhash64("id"), F.col("all")).cast("int")).withColumn("s", spread(F.col("asking")))
     asking = here.where("part <> main").withColumn("asks", F.lit(True)).withColumn("s", F.pmod(F.xxhash64("id", F.lit(1)), F.col("asking")).cast("int")).withColumn("e", spread(F.col("all")))
@@ -252,9 +251,17 @@ def chosen_paths(documents: DataFrame, words: int = 5, percent: int = 80, trees:
 
 
 def keep_first(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest id; all columns stay."""
-    kept = near_documents(documents, words, percent).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return documents.join(kept.hint("merge"), F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
+    """One row of each group of near duplicates stays, the one with the smallest id; all columns stay.
+
+    Rows are told apart by a number of their own in a saved table, so ids may be null (these come last in a group), of
+    any type or repeated: copies under one id collapse, and other texts under it are judged each. Null and empty texts
+    stay.
+    """
+    rows = saved(documents.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    near = near_documents(rows.select(F.col("_row").alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias("_row"), "component_id")
+    named = rows.select("_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("first"))
+    first = near.join(named.hint("merge"), "_row").groupBy("component_id").agg(F.min("first").alias("first"))
+    return rows.join(first.select(F.col("first._row").alias("_row")).hint("merge"), "_row", "left_semi").select(*documents.columns)
 
 
 SQL = r"""

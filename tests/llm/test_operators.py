@@ -123,6 +123,27 @@ def test_keep_first_keeps_columns(spark, documents):
     assert {60, 110, 111} <= {r["doc_id"] for r in kept.collect()} and kept.where("doc_id between 90 and 99 and length(text) > 50").count() == 0
 
 
+def test_keep_first_with_null_and_repeated_ids(spark):
+    r = random.Random(11)
+    a, b, c, d, e = (prose(r, 100, 9000) for _ in range(5))
+    rows = [(None, a, 1), (1, b, 2), (1, b, 3), (1, c, 4), (0, c + " more", 5), (None, d, 6), (9, d, 7), (None, None, 8), (2, "", 9), (None, e, 10), (None, e, 11)]
+    for kind in ("long", "string"):
+        df = spark.createDataFrame(rows, "doc_id long, text string, tag long").withColumn("doc_id", F.col("doc_id").cast(kind))
+        kept = neardup.keep_first(df)
+        assert kept.columns == df.columns
+        tags = {x["tag"] for x in kept.collect()}
+        assert tags - {2, 3, 10, 11} == {1, 5, 7, 8, 9} and len(tags & {2, 3}) == len(tags & {10, 11}) == 1
+
+
+def test_blocks_pass_on_true_links(spark):
+    """Class 2 shares only the upper halves of its hashes with 9, class 3 all of them; both are in one part."""
+    shared = [k << 32 for k in range(1, 11)]
+    sets = spark.createDataFrame([(2, [x + 5 for x in shared]), (3, shared), (9, shared)], "id long, set array<long>")
+    rows = spark.createDataFrame([(7, 2, 2), (7, 3, 2), (7, 9, 9)], "node long, id long, part long")
+    nodes = spark.createDataFrame([(7, 3, 1, 2)], "node long, m long, rest long, main long")
+    assert [tuple(x) for x in neardup.compared_in_blocks(rows, nodes, sets, 80).collect()] == [(3, 9)]
+
+
 def test_url_rules(spark):
     pages = [
         (1, "http://A.Example.COM/en/1?x", ""), (2, "https://www.example.com/en/2#f", None), (3, "https://x.www.example.com/en/", ""), (4, "http://example.com", ""),
