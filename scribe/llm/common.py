@@ -1,15 +1,17 @@
-"""What the operators share: saved intermediate tables and connected components."""
+"""What the operators share: saved intermediate tables, free column names and connected components."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the contracts: space and the five controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir; where that is unset, one of our own in local mode and an error on a cluster."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="spark-scribe-")
         spark.conf.set("spark.checkpoint.dir", where)
     context = spark.sparkContext
@@ -28,37 +32,62 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def saved(df: DataFrame, tag: str) -> DataFrame:
+    """Cuts the lineage by a Parquet table in the shared folder; the write's own shuffle files go when it is done.
 
+    An aggregate that is to meet a hot key in a join is saved first: Spark splits a join's large partitions only where
+    both sides come from plain shuffles.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    back = spark.read.parquet(path)
+    back._saved_in = path
+    return back
 
-def saved(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts the lineage by a Parquet table in the shared folder; smaller than a checkpoint for wide rows."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+
+def forget(*frames: DataFrame | None) -> None:
+    """Deletes saved tables that no plan reads any more."""
+    for df in frames:
+        path = getattr(df, "_saved_in", None)
+        if path:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def free_name(columns: Iterable[str], name: str) -> str:
+    """`name` with as many underscores before it as no column of a table has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) pairs of longs -> (id, component), component being the smallest id that is reachable.
 
-    Alternates large-star and small-star rounds; each is one aggregate and one equi-join by vertex, and the joins are
-    of the kind whose hot keys Spark splits. Ids without an edge to another id have no row.
+    Alternates large-star and small-star rounds; each is one aggregate and one equi-join by vertex. The aggregates are
+    saved before the joins, so a vertex with many edges is a join whose large partitions Spark splits. Ids without an
+    edge to another id have no row.
     """
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    e, before = cut(e), None
+    e = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    before = None
     while True:
         now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first()
         if now == before or not now[0]:
-            return e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(
-                e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-            ).groupBy("id").agg(F.min("component").alias("component"))
+            # at the end every edge leads to its component's smallest id
+            return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
         before = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = saved(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        lower = saved(large.groupBy("u").agg(F.min("v").alias("m")), "lower")
+        small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        after = saved(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        forget(e, least, large, lower)
+        e = after
