@@ -92,46 +92,50 @@ def fullest(left: np.ndarray, sizes: np.ndarray, room: int) -> np.ndarray:
     return counts
 
 
-def cutting_patterns(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = 0.002, rounds: int = 400) -> list[tuple[np.ndarray, int]]:
+def cutting_patterns(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = 0.002, rounds: int | None = None) -> list[tuple[np.ndarray, int]]:
     """[(pieces of each size, how many sequences)], together exactly the demand.
 
-    Column generation: the linear program over the patterns so far is kept as an explicit basis inverse (one pattern
-    enters at each round, priced by the knapsack), until the bound value / best price is within `gap`. Patterns are
-    rounded down and what is left, less than one sequence for each pattern, is packed sequence by sequence, each as full as can be.
+    Column generation: the linear program (cover every size's demand by as few patterns as can be) starts from patterns
+    of one size each and is kept as an explicit basis inverse. Each round prices the patterns by a knapsack and lets the
+    best one enter; where a size's price turns negative its surplus enters instead, at no cost. It ends when no pattern
+    prices above 1 + gap, or the value is within `gap` of the best bound so far, value / best price and the total size
+    being two; some three rounds a size do. `rounds` limits them for tests. Patterns are rounded down and what is left,
+    less than one sequence for each pattern, is packed sequence by sequence, each as full as can be.
     """
     m = len(sizes)
     if not m:
         return []
-    # first basis: fill sequences as full as can be until a class runs out; classes in the order of running out make
-    # the basis triangular, those that run out together get patterns of their own
-    basis, left = np.diag((room // sizes).astype(float)), demand.copy()
-    while (left > 1e-9).any():
-        counts = fullest(np.ceil(left - 1e-9).astype(np.int64), sizes, room)
-        out = int(np.argmin(np.where(counts > 0, left / np.maximum(counts, 1), np.inf)))
-        left -= counts * (left[out] / counts[out])
-        left[out] = 0
-        left[left < 1e-9] = 0
-        basis[:, out] = counts
-    inverse = np.linalg.inv(basis)
-    for k in range(rounds):
-        if k % 200 == 199:
-            inverse = np.linalg.inv(basis)
-        x = inverse @ demand
-        price = inverse.sum(0)
-        value, column = best_pattern(np.maximum(price, 0), sizes, room)
-        if value <= 1 + gap or (k >= 5 and x.sum() * (1 - gap) <= sizes @ demand / room):
-            break
+    each = (room // sizes).astype(float)
+    basis, inverse, cost = np.diag(each), np.diag(1 / each), np.ones(m)
+
+    def enter(column: np.ndarray, price: float) -> bool:
         step = inverse @ column
         ok = step > 1e-9
         if not ok.any():
-            break
-        ratio = np.where(ok, np.maximum(x, 0) / np.where(ok, step, 1), np.inf)
-        out = int(np.argmin(ratio))
-        basis[:, out] = column
+            return False
+        x = np.maximum(inverse @ demand, 0)
+        out = int(np.argmin(np.where(ok, x / np.where(ok, step, 1), np.inf)))
+        basis[:, out], cost[out] = column, price
         row = inverse[out] / step[out]
-        inverse -= np.outer(step, row)
-        inverse[out] = row
-    x = np.linalg.solve(basis, demand)
+        step[out] -= 1
+        inverse[:] -= np.outer(step, row)
+        return True
+
+    bound = float(sizes @ demand / room)
+    for k in range(60 * m + 60 if rounds is None else rounds):
+        if k % 200 == 199:  # against drift
+            inverse[:] = np.linalg.inv(basis)
+        price, value = cost @ inverse, float(cost @ inverse @ demand)
+        if value <= bound * (1 + gap):
+            break
+        low = int(np.argmin(price))
+        if price[low] < -1e-7 and enter(-np.eye(m)[low], 0.0):
+            continue
+        most, column = best_pattern(np.maximum(price, 0), sizes, room)
+        bound = max(bound, value / most)
+        if most <= 1 + gap or not enter(column.astype(float), 1.0):
+            break
+    x = np.where(cost > 0, np.linalg.solve(basis, demand), 0)
     plan, left = [], demand.astype(np.int64).copy()
     for j in np.argsort(-x):
         column = np.rint(basis[:, j]).astype(np.int64)

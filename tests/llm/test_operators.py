@@ -394,7 +394,6 @@ def test_packing(spark, texts, documents):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     out = packing.pack(documents).toPandas()
     for i, t in texts.items():
         ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
@@ -433,6 +432,15 @@ def test_cutting_patterns_meet_the_demand():
             assert sum(k for _, k in plan) <= 1.01 * np.ceil(sizes @ demand / 256)
 
 
+def test_columns_that_enter_save_sequences():
+    """The same code with the loop switched off keeps the patterns of one size and the fill of what they leave."""
+    r = np.random.default_rng(12)
+    sizes, demand = np.unique(np.clip(r.lognormal(4.6, 0.9, 20000).astype(int), 1, 512), return_counts=True)
+    n = {rounds: sum(k for _, k in packing.cutting_patterns(sizes, demand.astype(float), 512, rounds=rounds)) for rounds in (0, 300, None)}
+    bound = int(np.ceil(sizes @ demand / 512))
+    assert bound <= n[None] < n[300] < n[0] and n[0] > 1.15 * bound and n[None] <= 1.03 * bound
+
+
 def test_pipeline_keeps_what_it_should(spark, tmp_path):
     import corpus_pipeline
 
