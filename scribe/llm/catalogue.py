@@ -67,6 +67,7 @@ QUERIES = {
 ORACLES = {
     "op2_minhash_near_dedup": neardup.SQL,
     "op3_url_filters": urls.SQL,
+    "op4_suffix_dedup": suffixes.SQL,
     "op5_embedding_near_dedup": embeddings.SQL,
     "op6_chat_formatting": chat.SQL,
     "op8_mixing_sources": mixing.SQL,

@@ -212,23 +212,54 @@ def test_url_query_on_a_linked_graph(spark, tmp_path):
     assert by_host["alone.net"]["distrust"] == 100
 
 
-@pytest.mark.parametrize("hot", [4000, 2])
-def test_suffix_dedup(spark, texts, documents, hot):
-    seen, expected = set(), {}
-    for i in sorted(texts):
-        data = (texts[i] or "").encode()
+def repeats_removed(rows, size=100):
+    """(bytes, removed, runs, digest of what is left) of each text, in the order given."""
+    seen, out = set(), []
+    for text in rows:
+        data = (text or "").encode()
         gone = np.zeros(len(data), bool)
-        for k in range(len(data) - 99):
-            if data[k : k + 100] in seen:
-                gone[k : k + 100] = True
-            seen.add(data[k : k + 100])
+        for k in range(len(data) - size + 1):
+            if data[k : k + size] in seen:
+                gone[k : k + size] = True
+            seen.add(data[k : k + size])
         kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-        expected[i] = (len(data), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest())
-    out = suffixes.remove_repeats(documents.repartition(5), hot=hot).collect()
+        out.append((len(data), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("group", [20000, 7])
+def test_suffix_dedup(spark, texts, documents, group, monkeypatch):
+    monkeypatch.setattr(suffixes, "GROUP", group)
+    ids = sorted(texts)
+    expected = dict(zip(ids, repeats_removed([texts[i] for i in ids])))
+    out = suffixes.remove_repeats(documents.repartition(5)).collect()
     assert {r["doc_id"]: tuple(r)[1:] for r in out} == expected
+
+
+def test_suffix_dedup_with_repeated_null_and_text_ids(spark, texts, documents):
     assert suffixes.remove_repeats(empty(spark)).count() == 0
-    twice = suffixes.remove_repeats(documents.unionByName(documents.where("doc_id = 61 or doc_id is null"))).where("doc_id = 61").distinct().count()
-    assert twice == 1
+    r = random.Random(13)
+    a, b, c = (prose(r, 60, 5000) for _ in range(3))
+    rows = [("x", a + " " + b), ("x", a + " " + b), ("x", b + " " + c), ("w", c), (None, a), (None, a), ("z", None), ("y", "")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    order = {t: h for t, h in df.select("text", F.xxhash64("text")).distinct().collect()}
+    first, second = sorted([a + " " + b, b + " " + c], key=order.get)
+    expected = dict(zip([("w", c), ("x", first), ("x", second), ("y", ""), ("z", None)], repeats_removed([c, first, second, "", None])))
+    out = Counter(tuple(x) for x in suffixes.remove_repeats(df).collect())
+    none = (None, len(a.encode()), 0, 0, hashlib.sha256(a.encode()).hexdigest())
+    assert out == Counter([(i, *expected[i, t]) for i, t in rows if i] + [none, none])
+
+
+def test_phrases_are_prefix_free_and_hold_each_string_once():
+    r = np.random.default_rng(14)
+    texts = ["".join(r.choice(list("ab "), int(n))) for n in r.integers(0, 900, 40)] + ["ab" * 300, "x" * 400, "short"]
+    data = [t.encode() for t in texts]
+    buf, offsets = np.frombuffer(b"".join(data), np.uint8), np.r_[0, np.cumsum([len(d) for d in data])]
+    low, high, doc, _ = suffixes.phrases_of(buf, offsets, 100)
+    starts = sorted(int(s) for a, b in zip(low, high) for s in range(a, b + 1))
+    assert starts == [s for i in range(len(data)) for s in range(offsets[i], offsets[i + 1] - 99)]
+    whole = {buf[a : b + 101].tobytes() for a, b, d in zip(low, high, doc) if b + 101 <= offsets[d + 1]}
+    assert not any(x != y and y.startswith(x) for x in whole for y in whole)
 
 
 @pytest.mark.parametrize("block", [512, 16])
