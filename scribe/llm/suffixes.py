@@ -202,7 +202,8 @@ def remove_repeats(documents: DataFrame, size: int = 100) -> DataFrame:
     repeated = not documents.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
     key = F.struct("doc_id", F.xxhash64("text").alias("text")) if repeated else F.col("doc_id")
     texts = documents.select(F.when(F.col("doc_id").isNotNull(), key).alias("doc"), "text")
-    found = repeats(texts.where("doc is not null"), size)
+    compared = texts.where("doc is not null")
+    found = repeats(compared.dropDuplicates(["doc"]) if repeated else compared, size)
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
