@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from collections.abc import Iterator
+import zlib
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .common import forget, saved
+
 KINDS = ("email", "ip", "card", "phone")
-ADDED = ("email_spelled", "phone_local", "ssn")
+ADDED = ("email_spelled", "phone_local", "ssn", "secret")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A run of digits that fails does so from any of its digits, so only its first need be tried.
@@ -25,19 +30,32 @@ LOOSE = {
     "phone_local": re.compile(r"(?<![0-9+.)-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[.-][0-9]{4}(?![0-9-])"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
 }
-# Gazetteers: endings of mail domains, first digits of card issuers, and cue words of each kind.
+#: A secret is a run of these characters with letters and digits, or what is assigned to a word that names one.
+RUN = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+IN_RUN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+DIGITS = re.compile(r"[0-9]+")
+ASSIGN = re.compile(r"[:=]")
+NAMED = re.compile(r"(?:password|passwd|pwd|passwort|contraseña|secret|token|api[_-]?key)['\"]?\s{0,4}$", re.I)
+VALUE = re.compile(r"\s{0,4}['\"]?([^\s'\"]{8,64})")
+# Gazetteers: endings of mail domains, first digits of card issuers, beginnings of keys that services hand out, fillers.
 ENDINGS = frozenset("com org net edu gov io co info biz de fr es uk us eu".split())
 ISSUERS = ("4", "51", "52", "53", "54", "55", "34", "37", "6011", "65", "35")
+ISSUED = ("AKIA", "ASIA", "ghp_", "gho_", "sk-", "sk_", "pk_", "xoxb-", "xoxp-", "eyJ", "AIza")
+FILLERS = ("example", "changeme", "xxxx", "placeholder", "0123456789", "deadbeef")
 CUES = {
     "email": "mail contact write correo courriel",
     "ip": "ip address host server login from",
     "card": "card credit visa mastercard amex payment tarjeta karte carte",
     "phone": "phone call tel mobile fax contact telefon teléfono téléphone",
     "ssn": "ssn social security",
+    "secret": "token secret password passwd pwd passwort contraseña clave key apikey api_key bearer credential credentials",
 }
-AGAINST = "version license isbn order build rfc section token issn doi".split()
+AGAINST = "version license isbn order build rfc section issn doi sha commit revision checksum".split()
 CUE = {k: re.compile(r"\b(?:" + "|".join(v.split()) + r")\b", re.I) for k, v in CUES.items()}
 NOT = re.compile(r"\b(?:" + "|".join(AGAINST) + r")\b", re.I)
+LABELERS = ("shape", "gazetteer", "cue words", "surroundings", "variety")
+#: Slots of the span classifier's hashed features.
+SLOTS = 1 << 14
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -84,44 +102,113 @@ def matches(text: str) -> list[tuple[str, int, int, bool]]:
     return out
 
 
+def secrets(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of 16 to 512 characters with a letter and a digit, and values of 8 to 64 characters assigned to a name for secrets."""
+    last = 0
+    for m in DIGITS.finditer(text):
+        start = m.start()
+        if start >= last:
+            while start > last and text[start - 1] in IN_RUN:
+                start -= 1
+            last = RUN.match(text, start).end()
+            if 16 <= last - start <= 512 and any(c.isalpha() for c in text[start:last]):
+                yield start, last
+    for m in ASSIGN.finditer(text):
+        if NAMED.search(text[max(0, m.start() - 24) : m.start()]):
+            value = VALUE.match(text, m.end())
+            if value:
+                yield value.span(1)
+
+
 def loose(text: str, base: list[tuple[str, int, int, bool]]) -> list[tuple[str, int, int, bool]]:
     """Candidates of the added kinds that touch no base span."""
-    taken, out = [(a, b) for _, a, b, ok in base if ok], []
+    taken, out = sorted((a, b) for _, a, b, ok in base if ok), []
+
+    def offer(kind: str, start: int, end: int) -> None:
+        if not any(start < b and a < end for a, b in taken):
+            out.append((kind, start, end, True))
+            taken.append((start, end))
+
     for kind, pattern in LOOSE.items():
-        if kind == "email_spelled" and "at]" not in text and "at)" not in text:
-            continue
-        for m in pattern.finditer(text):
-            if not any(m.start() < b and a < m.end() for a, b in taken):
-                out.append((kind, m.start(), m.end(), True))
-                taken.append(m.span())
+        if kind != "email_spelled" or "at]" in text or "at)" in text:
+            for m in pattern.finditer(text):
+                offer(kind, *m.span())
+    for start, end in secrets(text):
+        offer("secret", start, end)
     return out
 
 
+def entropy(said: str) -> float:
+    n = len(said)
+    return -sum(k / n * math.log2(k / n) for k in Counter(said).values()) if n else 0.0
+
+
 def votes(text: str, kind: str, start: int, end: int, strict: bool) -> int:
-    """The labelers' votes in base 3, each 0 against, 1 abstaining, 2 for: regex, gazetteer, cue words, surroundings."""
+    """The LABELERS' votes in base 3, each 0 against, 1 abstaining, 2 for."""
     said, family = text[start:end], kind.split("_")[0]
     digits = re.sub("[^0-9]", "", said)
+    if kind in KINDS:
+        shape = 2 if strict else 0
+    elif kind == "email_spelled":
+        shape = 2 if re.search(r"[A-Za-z]{2,6}$", said) else 0
+    elif kind == "phone_local":
+        shape = 0 if digits[0] in "01" or digits[3] in "01" else 2 if said[0] == "(" else 1
+    elif kind == "ssn":
+        shape = 0 if digits[:3] in ("000", "666") or digits[0] == "9" or digits[3:5] == "00" else 1
+    else:
+        words = [w for w in re.split(r"[^A-Za-z0-9]+", said) if w]
+        plain = all(w.isalpha() or w.isdigit() for w in words)
+        shape = 0 if plain else 2 if re.fullmatch(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})|(?:[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})", said) else 1
     if family == "email":
         listed = 2 if re.split(r"[^A-Za-z0-9]+", said.rstrip("]).")).pop().lower() in ENDINGS else 1
     elif family == "card":
         listed = 2 if digits.startswith(ISSUERS) else 1
     elif family == "ip":
         listed = 0 if digits[:1] == "0" else 1
-    elif family == "ssn":
-        listed = 0 if digits[:3] in ("000", "666") or digits[0] == "9" or digits[3:5] == "00" else 2
-    else:
+    elif family == "phone":
         listed = 2 if digits[-7:-4] == "555" or digits.startswith("1") else 1
+    elif family == "secret":
+        listed = 2 if said.startswith(ISSUED) else 0 if any(x in said.lower() for x in FILLERS) else 1
+    else:
+        listed = 1
     before = text[max(0, start - 40) : start]
     cue = 2 if CUE[family].search(before) else 0 if NOT.search(before) else 1
     left, right = text[start - 1 : start], text[end : end + 1]
-    apart = 0 if left.isalnum() or right.isalnum() or left in ("=", "/", "#") else 2
-    return (2 if strict else 0) + 3 * listed + 9 * cue + 27 * apart
+    if left.isalnum() or right.isalnum() or left in ("/", "#"):
+        apart = 0
+    elif family == "secret":
+        apart = 2 if re.search(r"[=:]\s*['\"]?$", before) else 1
+    else:
+        apart = 0 if left == "=" else 2
+    if family == "secret":
+        bits = entropy(said)
+        variety = 2 if bits >= 3.4 else 0 if bits < 2.2 else 1
+    elif family == "email":
+        variety = 1
+    else:
+        variety = 0 if len(set(digits)) < 2 or digits in "01234567890123456789" else 2 if len(set(digits)) > 3 else 1
+    return shape + 3 * listed + 9 * cue + 27 * apart + 81 * variety
+
+
+def slots_of(text: str, kind: str, start: int, end: int) -> list[int]:
+    """Hashed features of a span for the classifier: its characters by class, its length and variety, the words around it.
+
+    They are other views than the labelers' votes: what goes with the spans that several labelers support is learned from
+    the spans, and then holds where the labelers are silent.
+    """
+    said = text[start:end]
+    shape = "".join("d" if c.isdigit() else "x" if c in "abcdef" else "l" if c.islower() else "U" if c.isupper() else c for c in said[:64])
+    left, right = re.findall(r"\w+|[^\w\s]", text[max(0, start - 48) : start].lower())[-4:], re.findall(r"\w+|[^\w\s]", text[end : end + 24].lower())[:2]
+    names = {f"kind {kind}", f"{kind} {min(len(said), 64) // 4}", f"{kind} variety {int(2 * entropy(said))}", f"classes {''.join(sorted(set(shape)))[:12]}"}
+    names |= {f"shape {shape[i : i + 2]}" for i in range(len(shape) - 1)} | {f"left {w}" for w in left} | {f"right {w}" for w in right}
+    names |= {f"near {' '.join(left[-2:])}", f"touch {text[start - 1 : start]}{text[end : end + 1]}"}
+    return sorted({zlib.crc32(n.encode()) % SLOTS for n in names})
 
 
 def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) -> counts, digest and spans of the base, and the candidates of every kind with their votes."""
+    """(doc_id, text) -> counts, digest and spans of the base, and the candidates of every kind with votes and features."""
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-    cand = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("votes", pa.int32()), ("base", pa.bool_())])
+    cand = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("votes", pa.int32()), ("slots", pa.list_(pa.int32()))])
     for batch in batches:
         counts, digest, base, found = [], [], [], []
         for text in batch.column("text"):
@@ -131,7 +218,7 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts.append([sum(k == x[0] for x in ok) for k in KINDS])
             digest.append(hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in ok).encode()).hexdigest())
             base.append([dict(zip(("kind", "start", "end"), x)) for x in ok])
-            found.append([{"kind": k, "start": a, "end": b, "votes": votes(text, k, a, b, s), "base": s and k in KINDS} for k, a, b, s in all_ + loose(text, all_)])
+            found.append([{"kind": k, "start": a, "end": b, "votes": votes(text, k, a, b, s), "slots": slots_of(text, k, a, b)} for k, a, b, s in all_ + loose(text, all_)])
         n = np.array(counts, np.int64).reshape(-1, len(KINDS))
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), *[pa.array(n[:, i]) for i in range(len(KINDS))], pa.array(digest, pa.string()), pa.array(base, pa.list_(span)), pa.array(found, pa.list_(cand))],
@@ -140,7 +227,7 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 SPAN = "struct<kind:string,start:bigint,end:bigint>"
-FOUND = "struct<kind:string,start:bigint,end:bigint,votes:int,base:boolean>"
+FOUND = "struct<kind:string,start:bigint,end:bigint,votes:int,slots:array<int>>"
 
 
 def scanned(documents: DataFrame) -> DataFrame:
@@ -169,50 +256,75 @@ def expectation_maximisation(pattern: np.ndarray, count: np.ndarray, rounds: int
     return p
 
 
-def span_classifier(kinds: list[str], pattern: np.ndarray, count: np.ndarray, p: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """Scores of a logistic regression on one-hot votes and kinds, fitted to the soft labels p weighted by count."""
-    names = sorted(set(kinds))
-    x = np.c_[np.ones(len(kinds)), np.array([[k == n for n in names] for k in kinds], float), np.eye(3)[pattern].reshape(len(kinds), -1)]
-    w, share = np.zeros(x.shape[1]), count / count.sum()
+def span_classifier(slots: list[list[int]], p: np.ndarray, rounds: int = 200, rate: float = 0.5, l2: float = 1e-4) -> np.ndarray:
+    """Weights of a logistic regression on hashed features, the last one the bias, fitted to the soft labels p."""
+    n = np.array([len(x) for x in slots])
+    row = np.repeat(np.arange(len(slots)), n + 1)
+    flat = np.concatenate([np.array([*x, SLOTS], np.int64) for x in slots])
+    value = 1 / np.sqrt(n + 1.0)[row]
+    w, h = np.zeros(SLOTS + 1), np.full(SLOTS + 1, 1e-8)
     for _ in range(rounds):
-        w -= 2.0 * (x.T @ ((1 / (1 + np.exp(-x @ w)) - p) * share) + 1e-3 * w)
-    return 1 / (1 + np.exp(-x @ w))
+        score = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[flat] * value, len(slots)), -30, 30)))
+        g = np.bincount(flat, (score - p)[row] * value, SLOTS + 1) / len(slots) + l2 * w
+        h += g * g
+        w -= rate * g / np.sqrt(h)
+    return w
 
 
-def fit_pii(scan_: DataFrame, threshold: float = 0.8) -> set[tuple[str, int]]:
-    """The (kind, votes) of the added kinds that the final classifier takes as personal data.
+def span_score(weights: np.ndarray, slots: list[int]) -> float:
+    at = [*slots, SLOTS]
+    return float(1 / (1 + np.exp(-np.clip(weights[at].sum() / math.sqrt(len(at)), -30, 30))))
 
-    What leaves the executors are the counts by kind and vote pattern: at most 7 kinds times 81 patterns.
+
+def fit_pii(candidates: DataFrame, bound: int = 20000) -> np.ndarray:
+    """candidates(key, kind, votes, slots) -> the span classifier's weights; without candidates they are 0 and accept nothing.
+
+    The labelers' reliabilities come from the counts of vote patterns over all candidates: at most 8 kinds times 243
+    patterns leave the executors. The classifier is fitted on the candidates whose `key`, a hash, is below bound / all:
+    all of them, or about `bound` if there are more.
     """
-    rows = scan_.select(F.explode("found").alias("f")).groupBy("f.kind", "f.votes").count().orderBy("kind", "votes").collect()
+    rows = candidates.groupBy("votes").count().orderBy("votes").collect()
     if not rows:
-        return set()
-    kinds, code, count = [r["kind"] for r in rows], np.array([r["votes"] for r in rows]), np.array([r["count"] for r in rows], float)
-    pattern = code[:, None] // 3 ** np.arange(4) % 3
-    p = expectation_maximisation(pattern, count)
-    score = span_classifier(kinds, pattern, count, p)
-    return {(k, int(c)) for k, c, s, v in zip(kinds, code, score, pattern) if k in ADDED and s >= threshold and v[3] == 2 and v[2] > 0}
+        return np.zeros(SLOTS + 1)
+    code, count = np.array([r["votes"] for r in rows]), np.array([r["count"] for r in rows], float)
+    p = expectation_maximisation(code[:, None] // 3 ** np.arange(len(LABELERS)) % 3, count)
+    label = dict(zip(code.tolist(), p.tolist()))
+    few = candidates.where(F.pmod("key", F.lit(1 << 40)) < int(min(1.0, bound / count.sum()) * (1 << 40))).select("votes", "slots").orderBy("votes", "slots").collect()
+    return span_classifier([r["slots"] for r in few], np.array([label[r["votes"]] for r in few])) if few else np.zeros(SLOTS + 1)
+
 
+def candidates_of(scan_: DataFrame) -> DataFrame:
+    return scan_.select("doc_id", F.explode("found").alias("f")).select(F.xxhash64("doc_id", "f.kind", "f.start").alias("key"), "f.kind", "f.votes", "f.slots")
 
-def find_pii(documents: DataFrame, save=None, threshold: float = 0.8) -> DataFrame:
-    """documents(doc_id, text, ...) -> (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, all_spans).
 
-    Base spans stay as they are; the classifier adds spans of the kinds in ADDED that touch none of them. Two narrow
-    passes and one small aggregate. `save` keeps the scan between the passes (a function of a DataFrame), else it runs
-    twice. Null texts have no spans; repeated rows are judged each; an empty table gives no row; other columns are ignored.
+def find_pii(documents: DataFrame, save: Callable[[DataFrame], DataFrame] | None = None, threshold: float = 0.8) -> DataFrame:
+    """documents(doc_id, text, ...) -> (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans).
+
+    Base spans stay as they are. Five labelers vote on every candidate, expectation-maximisation tells how far each is to
+    be trusted and so how likely each pattern of votes is, and a classifier of a span's characters and surroundings,
+    trained on that, adds the spans of the kinds in ADDED that it scores `threshold` or more; these touch no base span.
+    Two narrow passes and small aggregates. `save` keeps the scan between them (a function of a DataFrame), else it runs
+    anew. Null texts have no spans; repeated rows are judged each; an empty table gives no row; other columns are ignored.
     """
     found = scanned(documents)
     found = save(found) if save else found
-    taken = fit_pii(found, threshold)
-    keys = F.array(*[F.lit(f"{k}:{v}") for k, v in sorted(taken)]).cast("array<string>")
+    weights = found.sparkSession.sparkContext.broadcast(fit_pii(candidates_of(found)))  # SLOTS + 1 numbers
     order = {k: i for i, k in enumerate(KINDS + ADDED)}
-    place = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
-    more = F.filter("found", lambda f: ~f["base"] & F.array_contains(keys, F.concat(f["kind"], F.lit(":"), f["votes"].cast("string"))))
-    both = F.concat(F.col("base"), F.transform(more, lambda f: F.struct(f["kind"].alias("kind"), f["start"].alias("start"), f["end"].alias("end"))))
-    ranked = F.array_sort(F.transform(both, lambda s: F.struct(F.element_at(place, s["kind"]).alias("o"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    out = found.withColumn("all_spans", ranked)
-    text = F.array_join(F.transform("all_spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return out.select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", text.alias("spans"))
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans, n = [], []
+            for base, more in zip(batch.column("base").to_pylist(), batch.column("found").to_pylist()):
+                all_ = base + [f for f in more if f["kind"] in ADDED and span_score(weights.value, f["slots"]) >= threshold]
+                all_.sort(key=lambda f: (order[f["kind"]], f["start"]))
+                spans.append(",".join(f"{f['kind']}:{f['start']}:{f['end']}" for f in all_))
+                n.append(len(all_))
+            names = batch.schema.names[:-2]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(spans, pa.string()), pa.array(n, pa.int64())], [*names, "spans", "n_spans"])
+
+    kept = [f"n_{k}" for k in KINDS]
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return found.select("doc_id", *kept, "base_sha256", "base", "found").mapInArrow(decide, f"doc_id {kind}, {', '.join(f'{k} long' for k in kept)}, base_sha256 string, spans string, n_spans long")
 
 
 def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
@@ -226,8 +338,14 @@ def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def redact(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The same rows and columns with personal data in `text` replaced by <kind>, and n_chars, if there, counted anew."""
-    taken = fit_pii(scanned(documents), threshold)
+    """The same rows and columns with personal data in `text` replaced by <kind>, and n_chars, if there, counted anew.
+
+    Null texts stay null; ids may be null or repeated, as they only draw the classifier's sample; columns may have any
+    name; an empty table gives no row.
+    """
+    candidates = saved(candidates_of(scanned(documents)), "candidates")
+    weights = documents.sparkSession.sparkContext.broadcast(fit_pii(candidates))  # SLOTS + 1 numbers
+    forget(candidates)
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,7 +355,7 @@ def redact(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
                 if text:
                     base = matches(text)
                     spans = [(a, b, k) for k, a, b, ok in base if ok]
-                    spans += [(a, b, k) for k, a, b, s in loose(text, base) if (k, votes(text, k, a, b, s)) in taken]
+                    spans += [(a, b, k) for k, a, b, _ in loose(text, base) if span_score(weights.value, slots_of(text, k, a, b)) >= threshold]
                     text = masked(text, spans) if spans else text
                 out.append(text)
             names = batch.schema.names

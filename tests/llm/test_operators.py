@@ -383,6 +383,44 @@ def test_mixing(spark, texts, documents):
     assert mixing.mix(documents.unionByName(documents)).count() == 2 * len(texts)
 
 
+def test_mixing_draws_shards_and_permutes_blocks(spark):
+    """Numbers go to each block once a pass, in no regular order; shards get what the digest says."""
+    for blocks in (1, 2, 3, 5, 17, 64, 1000):
+        rows = spark.range(2 * blocks).select(F.lit("s").alias("source"), F.col("id").alias("number"), F.lit(blocks).cast("long").alias("blocks"))
+        got = {r["number"]: r["index"] for r in mixing.permuted(rows, 7).collect()}
+        assert sorted(got[i] for i in range(blocks)) == sorted(got[i] for i in range(blocks, 2 * blocks)) == list(range(blocks))
+        steps = Counter((got[i + 1] - got[i]) % blocks for i in range(blocks - 1))
+        assert blocks < 1000 or max(steps.values()) < 8 and [got[i] for i in range(blocks)] != [got[i] for i in range(blocks, 2 * blocks)]
+    r = random.Random(15)
+    docs = spark.createDataFrame([(i, prose(r, 500), f"s{i % 2}") for i in range(300)], "doc_id long, text string, source string")
+    digest = mixing.mix_digest(mixing.mix(docs)).collect()
+    words = Counter()
+    for x in digest:
+        parts = [tuple(map(int, y.split(":"))) for y in x["shards"].split(",") if y]
+        assert sum(n for _, n in parts) == x["taken"] and len({k for k, _ in parts}) == len(parts)
+        words.update({(k, x["source"]): n for k, n in parts})
+    out = mixing.mixed_shards(docs).groupBy("shard", "source").agg(F.sum("words").alias("n"), F.sum(mixing.word_count(F.col("text"))).alias("counted")).collect()
+    assert {(x["shard"], x["source"]): x["n"] for x in out} == words and all(x["n"] == x["counted"] for x in out)
+    # multinomial: counts vary as they should around slots / shards
+    for source in ("s0", "s1"):
+        per = np.array([words[k, source] / 64 for k in range(64)])
+        assert 0.5 * per.mean() < per.var() < 2 * per.mean()
+
+
+def test_mixed_documents_with_clashing_names_null_and_repeated_ids(spark):
+    r = random.Random(16)
+    full = prose(r, 700)
+    rows = [(1, "", "a", 10), (1, full, "a", 11), (None, full, "a", 12), (None, None, None, 13), (2, "word " * 70, None, 14)]
+    names = ("size", "spans", "nth", "row", "words", "copy", "turn", "_row", "index", "k")
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, tag long").select("*", *[F.concat(F.lit(n), "tag").alias(n) for n in names])
+    mixed = mixing.mixed_documents(df, share=2.0)
+    assert mixed.columns == df.columns
+    got = mixed.collect()
+    assert {x["tag"] for x in got} == {11, 12, 14} and all(x[n] == f"{n}{x['tag']}" for x in got for n in names)
+    assert Counter(x["tag"] for x in got) == {11: 2, 12: 2, 14: 2} and all(x["text"].split() == full.split() for x in got if x["tag"] < 13)
+    assert mixing.mixed_documents(df.limit(0)).count() == 0
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -420,6 +458,32 @@ def test_pii_adds_what_several_labelers_support(spark):
     assert red[1000] == "please call my phone <phone_local> today, ssn <ssn> ok" and red[0] == clean[0][1]
 
 
+def test_pii_finds_secrets_and_leaves_clean_texts_alone(spark):
+    r = random.Random(17)
+    hexes = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    private = {i: f'{prose(r, 20)} token = "{hexes(40)}" {prose(r, 20)}' for i in range(80)} | {i: f"{prose(r, 9)} password: {hexes(6)}Z{i} {prose(r, 9)}" for i in range(80, 120)}
+    clean = {1000 + i: f"{prose(r, 30)} order {r.randrange(10**15, 10**16)} in build-2019-release-{i} of {'abcdefgh' * 4} {prose(r, 9)}" for i in range(200)}
+    docs = spark.createDataFrame([*private.items(), *clean.items(), (5000, None), (5001, "")], "doc_id long, text string")
+    out = {x["doc_id"]: x for x in pii.find_pii(docs).collect()}
+    base = {i: sum(out[i][f"n_{k}"] for k in pii.KINDS) for i in out}
+    for i, text in private.items():
+        found = [x.split(":") for x in out[i]["spans"].split(",")]
+        assert out[i]["n_spans"] == base[i] + 1 and any(k == "secret" and re.search(rf'(token = "|password: ){re.escape(text[int(a) : int(b)])}["\\s]', text) for k, a, b in found)
+    assert all(out[i]["n_spans"] == base[i] for i in [*clean, 5000, 5001])
+
+
+def test_pii_classifier_accepts_what_no_labeler_decides(spark):
+    """Every labeler abstains on the last span; its characters and the word before it are those of the others' secrets."""
+    r = random.Random(18)
+    code = lambda: "".join(r.sample("abcdef23", 8)) + "".join(r.sample("abcdef23", 8))
+    rows = [(i, f"my wachtwoord token {code()} there") for i in range(150)] + [(1000 + i, f"see revision build-of-{r.randrange(10**6)}-commit-notes here") for i in range(150)]
+    silent = "my wachtwoord 23abcdef32fedcba there"
+    ((kind, start, end, strict),) = pii.loose(silent, pii.matches(silent))
+    assert (np.array([pii.votes(silent, kind, start, end, strict)]) // 3 ** np.arange(5) % 3 == 1).all()
+    out = {x["doc_id"]: x["spans"] for x in pii.find_pii(spark.createDataFrame([*rows, (5000, silent)], "doc_id long, text string")).collect()}
+    assert out[5000] == f"secret:{start}:{end}" and not any(out[i] for i in range(1000, 1150))
+
+
 def test_packing(spark, texts, documents):
     import public_tokenizers
     from tokenizers import Tokenizer
