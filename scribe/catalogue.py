@@ -1,7 +1,7 @@
 """The registered queries of the library and their DuckDB counterparts.
 
-All run over whole tables. Texts are scored as lines of forty words, because edit distances are quadratic in the length,
-and beyond ASCII as question marks, because DuckDB's edit distance counts bytes.
+All run over whole tables. Texts are scored as lines of forty words, because edit distances are quadratic in the length.
+DuckDB's edit distance counts bytes, so its side writes each distinct character of a pair as one byte.
 """
 
 from __future__ import annotations
@@ -35,14 +35,15 @@ CHARSET = text.Charset()
 # --- scoring -------------------------------------------------------------------------------------------------------
 
 PAIRS_SQL = r"""
-WITH s AS (SELECT doc_id, lang, string_split(trim(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '?', 'g'), '\s+', ' ', 'g')), ' ') AS w FROM documents),
+WITH s AS (SELECT doc_id, lang, string_split(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), ' ') AS w FROM documents),
 l AS (SELECT doc_id, lang, w, unnest(range(0, len(w), 40)) AS at_ FROM s),
 p AS (SELECT doc_id * 1000000 + at_ AS sample_id, lang, array_to_string(w[at_ + 1:at_ + 40], ' ') AS reference FROM l),
 q AS (SELECT *, trim(regexp_replace(replace(replace(reference, 'th', 't'), ' of', ''), '\s+', ' ', 'g')) AS prediction FROM p WHERE reference <> ''),
-t AS (SELECT *, string_split(reference, ' ') AS a, CASE WHEN prediction = '' THEN [] ELSE string_split(prediction, ' ') END AS b,
+t AS (SELECT *, string_split(reference, ' ') AS a, CASE WHEN prediction = '' THEN [] ELSE string_split(prediction, ' ') END AS b, list_distinct(string_split(reference || prediction, '')) AS letters,
   lower(regexp_replace(reference, '[^0-9a-zA-Z]+', '', 'g')) AS x, lower(regexp_replace(prediction, '[^0-9a-zA-Z]+', '', 'g')) AS y FROM q),
 u AS (SELECT *, list_distinct(list_concat(a, b)) AS names FROM t),
-m AS (SELECT sample_id, lang, reference, prediction, levenshtein(reference, prediction) AS char_edits, length(reference) AS ref_chars,
+m AS (SELECT sample_id, lang, reference, prediction, length(reference) AS ref_chars,
+  levenshtein(array_to_string(list_transform(string_split(reference, ''), lambda z: chr((33 + list_position(letters, z))::INT)), ''), CASE WHEN prediction = '' THEN '' ELSE array_to_string(list_transform(string_split(prediction, ''), lambda z: chr((33 + list_position(letters, z))::INT)), '') END) AS char_edits,
   levenshtein(array_to_string(list_transform(a, lambda z: chr((33 + list_position(names, z))::INT)), ''), array_to_string(list_transform(b, lambda z: chr((33 + list_position(names, z))::INT)), '')) AS word_edits,
   len(a) AS ref_words, reference = prediction AS exact_match, levenshtein(x, y) AS norm_edits, length(x) AS norm_chars, x = y AS norm_match FROM u),
 v AS (SELECT *, char_edits / ref_chars AS cer, word_edits / ref_words AS wer FROM m)
@@ -54,12 +55,12 @@ TOTALS_SQL = """count(*) AS num_samples, round(sum(char_edits) / sum(ref_chars),
 
 
 def scoring_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of forty words; they are cut inside the row, so that no line carries its whole text along."""
     d = table(spark, sf_dir, "documents")
-    ascii_ = text.collapse(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", "?"))
-    d = d.select("doc_id", "lang", F.split(ascii_, " ").alias("w"))
-    lines = d.select("doc_id", "lang", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1, F.lit(40))).alias("at"))
-    line = F.array_join(F.slice("w", F.col("at") + 1, F.lit(40)), " ")
-    p = lines.select((F.col("doc_id") * 1000000 + F.col("at")).alias("sample_id"), "lang", line.alias("reference")).where("reference <> ''")
+    words = F.array(F.struct(F.split(text.collapse(F.coalesce("text", F.lit(""))), " ").alias("w")))
+    cut = lambda x: F.transform(F.sequence(F.lit(0), F.size(x["w"]) - 1, F.lit(40)), lambda at: F.struct(at.alias("at"), F.array_join(F.slice(x["w"], at + 1, F.lit(40)), " ").alias("line")))
+    lines = d.select("doc_id", "lang", F.explode(F.transform(words, cut)[0]).alias("l"))
+    p = lines.select((F.col("doc_id") * 1000000 + F.col("l.at")).alias("sample_id"), "lang", F.col("l.line").alias("reference")).where("reference <> ''")
     return p.withColumn("prediction", F.replace(F.replace("reference", F.lit("th"), F.lit("t")), F.lit(" of"), F.lit("")))
 
 
@@ -69,23 +70,23 @@ def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
 
 @query(PAIRS_SQL + f"SELECT {TOTALS_SQL} FROM v")
 def corpus_metrics(spark, sf_dir):
-    return rounded(metrics.corpus_metrics(metrics.sample_metrics(scoring_pairs(spark, sf_dir), normalise=False, compose=False), normalise=False))
+    return rounded(metrics.corpus_metrics(metrics.sample_metrics(scoring_pairs(spark, sf_dir), normalise=False), normalise=False))
 
 
 @query(PAIRS_SQL + "SELECT count(*) AS num_samples, round(sum(norm_edits) / sum(norm_chars), 9) AS cer_normalized, round(avg(norm_match::DOUBLE), 9) AS sequence_accuracy_normalized FROM v")
 def normalized_metrics(spark, sf_dir):
-    out = metrics.corpus_metrics(metrics.sample_metrics(scoring_pairs(spark, sf_dir), compose=False))
+    out = metrics.corpus_metrics(metrics.sample_metrics(scoring_pairs(spark, sf_dir)))
     return rounded(out.select("num_samples", "cer_normalized", "sequence_accuracy_normalized"))
 
 
 @query(PAIRS_SQL + f"SELECT lang, grouping(lang)::BIGINT AS level, {TOTALS_SQL} FROM v GROUP BY ROLLUP (lang)")
 def metrics_by_lang(spark, sf_dir):
-    return rounded(metrics.grouped_metrics(metrics.sample_metrics(scoring_pairs(spark, sf_dir), normalise=False, compose=False), "lang", normalise=False))
+    return rounded(metrics.grouped_metrics(metrics.sample_metrics(scoring_pairs(spark, sf_dir), normalise=False), "lang", normalise=False))
 
 
 @query(PAIRS_SQL + "SELECT sample_id, reference, prediction, round(cer, 9) AS cer, round(wer, 9) AS wer, char_edits FROM v ORDER BY char_edits / ref_chars DESC, char_edits DESC, sample_id LIMIT 20")
 def worst_samples(spark, sf_dir):
-    out = metrics.worst_samples(metrics.sample_metrics(scoring_pairs(spark, sf_dir), normalise=False, compose=False), 20)
+    out = metrics.worst_samples(metrics.sample_metrics(scoring_pairs(spark, sf_dir), normalise=False), 20)
     return rounded(out.select("sample_id", "reference", "prediction", "cer", "wer", F.col("char_edits").cast("long").alias("char_edits")))
 
 
@@ -343,13 +344,13 @@ def fastest_model(spark, sf_dir):
     return runs.fastest_and_best(r, "run_id")
 
 
-@query(REQUESTS_SQL + """, c AS (SELECT event_id AS id, CASE WHEN event_id % 10 = 0 THEN '' ELSE 'click' END AS new FROM events WHERE event_id % 5 = 0)
+@query(REQUESTS_SQL + r""", c AS (SELECT event_id AS id, CASE WHEN event_id % 10 = 0 THEN '' ELSE 'cl  ick' END AS new FROM events WHERE event_id % 5 = 0)
 SELECT q.id, CASE WHEN new = '' THEN NULL WHEN new IS NOT NULL THEN new WHEN q.id % 3 = 0 THEN 'truth' END AS ground_truth,
-  round(CASE WHEN new = '' THEN NULL WHEN new IS NOT NULL THEN levenshtein(new, text) / length(new) ELSE cer END, 9) AS cer FROM q LEFT JOIN c ON q.id = c.id""")
+  round(CASE WHEN new = '' THEN NULL WHEN new IS NOT NULL THEN levenshtein(regexp_replace(new, '\s+', ' ', 'g'), trim(regexp_replace(text, '\s+', ' ', 'g'))) / length(regexp_replace(new, '\s+', ' ', 'g')) ELSE cer END, 9) AS cer FROM q LEFT JOIN c ON q.id = c.id""")
 def apply_corrections(spark, sf_dir):
     r = requests(spark, sf_dir).withColumn("exact_match", F.lit(None).cast("boolean"))
     e = table(spark, sf_dir, "events").where("event_id % 5 = 0")
-    changes = e.select(F.col("event_id").alias("id"), "ts", F.when(F.col("event_id") % 10 == 0, "  ").otherwise("click").alias("ground_truth"))
+    changes = e.select(F.col("event_id").alias("id"), "ts", F.when(F.col("event_id") % 10 == 0, "  ").otherwise(" cl  ick ").alias("ground_truth"))
     older = changes.withColumn("ts", F.col("ts") - F.expr("INTERVAL 1 DAY")).withColumn("ground_truth", F.lit("an older one"))
     return rounded(runs.apply_corrections(r, changes.unionByName(older)).select("id", "ground_truth", "cer"))
 
@@ -390,9 +391,7 @@ def best_epoch(spark, sf_dir):
 @query(EPOCHS_SQL + "SELECT run, event_type AS metric, len(list(epoch)) AS known, (SELECT count(*) FROM events WHERE user_id = run) AS epochs, round(sum(value), 6) AS total FROM h GROUP BY ALL")
 def metric_series(spark, sf_dir):
     history = epochs(spark, sf_dir).select("run", "epoch", F.create_map("event_type", "value").alias("metrics"))
-    s = runs.metric_series(history)
-    known = F.filter("values", lambda v: v.isNotNull())
-    return s.select("run", "metric", F.size(known).cast("long").alias("known"), F.size("epochs").cast("long").alias("epochs"), F.round(F.aggregate(known, F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
+    return runs.metric_points(history).groupBy("run", "metric").agg(F.count("value").alias("known"), F.count(F.lit(1)).alias("epochs"), F.round(F.sum("value"), 6).alias("total"))
 
 
 @query("""WITH RECURSIVE h AS (SELECT user_id AS run_name, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch, value FROM events),
@@ -489,13 +488,45 @@ def group_rows(spark, sf_dir):
     return laid.select("page_id", F.size("rows").cast("long").alias("rows"), F.size(F.flatten("rows")).cast("long").alias("boxes"))
 
 
-@query("""SELECT doc_id AS page_id, CASE WHEN count(*) >= 4 THEN 1 ELSE 0 END::BIGINT AS gutters, CASE WHEN count(*) >= 4 THEN 300 END AS a, CASE WHEN count(*) >= 4 THEN 500 END AS b
-FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents) GROUP BY doc_id""")
+@query("""WITH d AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents),
+g AS (SELECT doc_id, count(*) AS n, 240 + 20 * (doc_id % 3) AS a, 290 + 30 * (doc_id % 5) AS b FROM d GROUP BY doc_id),
+f AS (SELECT *, n >= 4 AND 2 * n - n // 4 >= 6 AND n // 4 <= greatest(1, floor(n * 0.2::DOUBLE)) AND b - a >= 30 AND n - n // 4 >= n * 0.6::DOUBLE AS ok FROM g)
+SELECT doc_id AS page_id, ok::BIGINT AS gutters, CASE WHEN ok THEN a END AS a, CASE WHEN ok THEN b END AS b FROM f""")
 def gutters(spark, sf_dir):
-    """Two columns of boxes for each document, a row for each line; pages of four lines or more have one gutter."""
+    """Two columns of boxes for each document, a row for each line; every fourth row is one box across both."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", "\n")).alias("line", "t"))
-    box = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.lit(40).alias("x"), F.lit(260).alias("width")), F.struct(F.lit(1).alias("side"), F.lit(500).alias("x"), F.lit(260).alias("width"))))
-    boxes = d.select("page_id", "line", box.alias("b")).select("page_id", (F.col("line") * 2 + F.col("b.side")).alias("idx"), "b.x", (F.col("line") * 40).alias("y"), "b.width", F.lit(24).alias("height"))
+    right = (F.col("page_id") % 5 * 30 + 290).cast("int")
+    box = lambda side, x, width: F.struct(F.lit(side).alias("side"), x.alias("x"), width.cast("int").alias("width"))
+    both = F.array(box(0, F.lit(40), F.col("page_id") % 3 * 20 + 200), box(1, right, F.lit(260)))
+    boxes = d.select("page_id", "line", F.explode(F.when(F.col("line") % 4 == 3, F.array(box(0, F.lit(40), right + 220))).otherwise(both)).alias("b"))
+    boxes = boxes.select("page_id", (F.col("line") * 2 + F.col("b.side")).alias("idx"), "b.x", (F.col("line") * 40).alias("y"), "b.width", F.lit(24).alias("height"))
     pages = d.select("page_id").distinct().withColumns({"page_width": F.lit(800), "char_height": F.lit(20.0)})
     found = layout.find_gutters(boxes, pages)
     return found.select("page_id", F.size("gutters").cast("long").alias("gutters"), F.get("gutters", F.lit(0))["a"].alias("a"), F.get("gutters", F.lit(0))["b"].alias("b"))
+
+
+@query("""WITH l AS (SELECT doc_id AS page_id, unnest(range(len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS t FROM documents),
+k AS (SELECT page_id, i * 40 AS y, length(t) % 4 AS k FROM l)
+SELECT page_id, CASE WHEN k = 2 THEN y ELSE y + 5 + 4 * (k = 0)::INT END AS begin, y + 25 + 4 * (k = 0)::INT AS "end" FROM k
+UNION ALL SELECT page_id, y, y + 3 FROM k WHERE k = 0""")
+def row_bands_joined(spark, sf_dir):
+    """A thick run of rows for each line; where the length is even a thin one stands over it, near enough to be joined or not."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    kind, y = F.length("t") % 4, F.col("line") * 40
+    run = lambda a, b: F.sequence(y + a, y + b - 1)
+    rows = F.when(kind == 2, F.concat(run(0, 3), run(5, 25))).when(kind == 0, F.concat(run(0, 3), run(9, 29))).otherwise(run(5, 25))
+    return layout.row_bands(d.select("page_id", F.explode(rows).alias("row"), F.lit(50).alias("ink")), 400)
+
+
+@query(r"""WITH l AS (SELECT item_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS line FROM benchmark),
+w AS (SELECT item_id, line, string_split_regex(trim(t), '\s+') AS w FROM l WHERE trim(t) <> ''),
+b AS (SELECT item_id, line, len(w) AS n, unnest(range(len(w))) AS k FROM w),
+y AS (SELECT item_id, line, n, line * 40 + (line * 1000 + k) * 7 % 5 AS y FROM b),
+m AS (SELECT item_id, line, any_value(n) AS n, min(y) AS y0, max(y) + 24 AS y1, floor((max(y) + 24 - min(y)) * 0.18::DOUBLE)::BIGINT AS pad FROM y GROUP BY item_id, line)
+SELECT item_id AS page_id, line * 1000 AS idx, 10 - pad AS x, greatest(0, y0 - pad) AS y, (n - 1) * 100 + 80 + 2 * pad AS width, y1 + pad - greatest(0, y0 - pad) AS height FROM m""")
+def regions(spark, sf_dir):
+    """The words of a line are near enough to be one region, which is then grown."""
+    boxes, _ = word_boxes(spark, sf_dir)
+    pages = boxes.select("page_id").distinct().withColumns({"page_width": F.lit(10**6), "char_height": F.lit(20.0)})
+    out = layout.regions(boxes, pages).select("page_id", F.explode("boxes").alias("b"))
+    return out.select("page_id", *[F.col(f"b.{c}").cast("long").alias(c) for c in ("idx", "x", "y", "width", "height")])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,6 +30,17 @@ def canvas_width(widest: Column, least: int = 32, most: int = 2048) -> Column:
     return F.least(F.greatest((F.ceil(widest / 4) * 4).cast("int"), F.lit(least)), F.lit(most))
 
 
+def shared_canvas(lines: DataFrame, *batch: str, target_height: int = 64, least: int = 128, most: int = 2048) -> DataFrame:
+    """lines(batch..., width, height) -> the same with canvas, content_ratio and compressed.
+
+    All lines of a batch share the canvas of its widest one; a line that is wider still, where the canvas is at its
+    limit, is compressed to fit and fills it.
+    """
+    natural = natural_width(F.col("width"), F.greatest(F.lit(1), F.col("height")), target_height)
+    rows = lines.withColumn("natural", natural).withColumn("canvas", canvas_width(F.max("natural").over(Window.partitionBy(*batch)), least, most))
+    return rows.withColumns({"content_ratio": F.least("natural", "canvas") / F.col("canvas"), "compressed": F.col("natural") > F.col("canvas")})
+
+
 def time_steps(width: int) -> int:
     return width // 4 - 1
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scribe.functions.text import normalize_text
+
 #: Private code points that stand for the words of one pair; enough for lines and pages, see word_edits().
 FIRST, LAST = 0x3400, 0xD7FF
 
@@ -54,7 +56,8 @@ def wer(reference: Column, prediction: Column) -> Column:
 
 
 def score(reference: Column, prediction: Column) -> Column:
-    """struct(cer, wer, exact_match); all null where there is no reference."""
+    """struct(cer, wer, exact_match) of both texts after normalize_text(); all null where there is no reference."""
+    reference, prediction = normalize_text(reference), normalize_text(prediction)
     return F.when(reference.isNotNull(), F.struct(cer(reference, prediction).alias("cer"), wer(reference, prediction).alias("wer"), (reference == prediction).alias("exact_match")))
 
 

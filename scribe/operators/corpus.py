@@ -95,32 +95,42 @@ def draw(seed: int, key: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
-def seeded_subset(rows: DataFrame, n: int, seed: int = 42, key: str = "id") -> DataFrame:
-    """n rows in pseudorandom order of their keys; a top-n, so that each task sends n rows at most."""
+def seeded_subset(rows: DataFrame, n: int, seed: int = 42, key: str = "id", order: str | None = None) -> DataFrame:
+    """n rows drawn by their keys, in the order that they came in (`order`, else the key); a top-n, so that each task sends n rows at most."""
     if n <= 0:
         raise ValueError("the subset must have a row at least")
-    return rows.orderBy(draw(seed, key), key).limit(n)
+    return rows.orderBy(draw(seed, key), key).limit(n).orderBy(order or key)
 
 
 def split_caps(rows: DataFrame, caps: dict[str, int], seed: int = 42, key: str = "id", split: str = "split") -> DataFrame:
     """At most caps[split] rows of each split, drawn by hash after cleaning; splits without a cap stay whole."""
     cap = F.coalesce(F.element_at(F.create_map(*[x for k, v in caps.items() for x in (F.lit(k), F.lit(v))]), F.col(split)), F.lit(2**31 - 1))
-    place = F.row_number().over(Window.partitionBy(split).orderBy(draw(seed, key), key))
-    return rows.withColumn("place", place).where(F.col("place") <= cap).drop("place")
+    d = rows.withColumn("_draw", draw(seed, key)).withColumn("_stretch", F.substring("_draw", 1, STRETCH))
+    along = Window.partitionBy(split).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    counts = d.groupBy(split, "_stretch").agg(F.count(F.lit(1)).alias("_count")).withColumn("_before", F.coalesce(F.sum("_count").over(along), F.lit(0)))
+    # stretches beyond a cap are not ranked at all
+    wanted = counts.where(F.col("_before") < cap).select(F.col(split).alias("_split"), F.col("_stretch").alias("_s"), "_before")
+    d = d.join(wanted, F.col(split).eqNullSafe(F.col("_split")) & (F.col("_stretch") == F.col("_s")))
+    place = F.row_number().over(Window.partitionBy(split, "_stretch").orderBy("_draw", key)) + F.col("_before")
+    return d.withColumn("_place", place).where(F.col("_place") <= cap).select(*rows.columns)
+
+
+#: Leading hex digits of a draw that deal out an order: so many stretches that each one's rows fit a task.
+STRETCH = 4
 
 
 def drawn(rows: DataFrame, seed: int, key: str) -> DataFrame:
     """rows with `place`, the 0-based place in the drawn order, and `n`, all rows.
 
-    The order is dealt out by the first two hex digits of the draw, 256 stretches whose counts place them.
+    The order is dealt out by the first STRETCH hex digits of the draw, stretches whose counts place them.
     """
-    d = rows.withColumn("_draw", draw(seed, key)).withColumn("_stretch", F.substring("_draw", 1, 2))
+    d = rows.withColumn("_draw", draw(seed, key)).withColumn("_stretch", F.substring("_draw", 1, STRETCH))
     counts = d.groupBy("_stretch").agg(F.count(F.lit(1)).alias("_count"))
     along = Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     counts = counts.select("_stretch", F.coalesce(F.sum("_count").over(along), F.lit(0)).alias("_before"), F.sum("_count").over(every).alias("n"))
     within = Window.partitionBy("_stretch").orderBy("_draw", key)
-    # 256 rows at most
+    # 16 ** STRETCH rows at most
     return d.withColumn("_in", F.row_number().over(within) - 1).join(F.broadcast(counts), "_stretch").withColumn("place", F.col("_in") + F.col("_before")).drop("_draw", "_stretch", "_in", "_before")
 
 
@@ -204,6 +214,29 @@ def minibatches(rows: DataFrame, size: int, drop_last: bool, order: str = "ord")
     return out.withColumn("in_batch", F.count(F.lit(1)).over(Window.partitionBy("batch"))).where(F.col("in_batch") == size).drop("in_batch")
 
 
+def encodable(rows: DataFrame, charset: Charset, label: str = "label") -> DataFrame:
+    """Rows of whose labels something is left in the alphabet; an error, when the result is used, if that is none of some."""
+    lost = (charset.encoded_length(F.col(label)) == 0) & (F.size(charset.unsupported(F.col(label))) > 0)
+    marked = rows.withColumn("_lost", F.coalesce(lost, F.lit(False)))
+    sums = marked.agg(F.count(F.lit(1)).alias("_n"), F.count_if(~F.col("_lost")).alias("_left"))  # one row
+    checked = marked.crossJoin(F.broadcast(sums)).where(F.when((F.col("_n") > 0) & (F.col("_left") == 0), F.raise_error(F.lit("no label is left by the alphabet")).cast("boolean")).otherwise(~F.col("_lost")))
+    return checked.select(*rows.columns)
+
+
+def labels_only(manifest: DataFrame, normalised: bool = True) -> DataFrame:
+    """The labels of a manifest alone, with their white space collapsed or as they are."""
+    return manifest.select((collapse(F.col("label")) if normalised else F.col("label")).alias("label"))
+
+
+def known_ids(requested: DataFrame, known: DataFrame, key: str, shown: int = 20) -> DataFrame:
+    """The requested ids, or an error that names unknown ones and what there is; a check of a request, so a few ids."""
+    unknown = [r[0] for r in disjoint_ids(requested, known, key).limit(shown).collect()]
+    if unknown:
+        there = [r[0] for r in known.select(key).distinct().orderBy(key).limit(shown).collect()]
+        raise LookupError(f"unknown: {unknown}; available: {there}")
+    return requested
+
+
 def disjoint_ids(requested: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """Ids that were asked for and are not known."""
     return requested.select(key).exceptAll(known.select(key)).distinct()

@@ -85,3 +85,14 @@ def worst_samples(samples: DataFrame, k: int, *by: str, order: str = "sample_id"
     if not by:
         return samples.orderBy(*worst).limit(k)
     return samples.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*worst))).where(F.col("place") <= k)
+
+
+def evaluate(predictions: DataFrame, references: DataFrame, key: str = "sample_id") -> tuple[DataFrame, DataFrame]:
+    """predictions(key, prediction) and references(key, reference) -> (one row of totals, the samples)."""
+    samples = sample_metrics(pair(predictions, references, key))
+    return corpus_metrics(samples), samples
+
+
+def validation_metrics(samples: DataFrame) -> DataFrame:
+    """Totals of samples that also have a confidence, with its mean; 0 without samples."""
+    return samples.agg(*totals(), F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("mean_confidence"))

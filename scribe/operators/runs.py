@@ -58,6 +58,11 @@ def active(jobs: DataFrame) -> DataFrame:
     return jobs.where(F.col("status").isin("queued", "running"))
 
 
+def recent_jobs(jobs: DataFrame, n: int = 50) -> DataFrame:
+    """The newest jobs first."""
+    return jobs.orderBy(F.desc("created_at"), F.desc("id")).limit(n)
+
+
 def history_statistics(requests: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
     """One row; averages of scores are over scored rows only and null without any."""
     recent = F.col("created_at") >= as_of - F.expr(f"INTERVAL {days} DAYS")
@@ -161,6 +166,17 @@ def files_with_labels(files: DataFrame, labels: DataFrame) -> DataFrame:
     return files.join(labels.select("path", "text", "kind"), "path", "left").na.fill({"text": "", "kind": "printed"})
 
 
+def marked_count(lines: DataFrame) -> DataFrame:
+    """How many lines of each document are marked as of low confidence."""
+    return lines.groupBy("doc").agg(F.count_if("marked").alias("marked"), F.count(F.lit(1)).alias("lines"))
+
+
+def with_names(runs: DataFrame, names: DataFrame) -> DataFrame:
+    """Adds experiment_arm and display_name from names(model_id, ...); models that are not listed are 'other' under their id."""
+    out = runs.drop("experiment_arm", "display_name").join(names.select("model_id", "experiment_arm", "display_name"), "model_id", "left")
+    return out.withColumns({"experiment_arm": F.coalesce("experiment_arm", F.lit("other")), "display_name": F.coalesce("display_name", "model_id")})
+
+
 def filter_lines(lines: DataFrame, least: float, doc: str = "doc") -> DataFrame:
     """Lines with text and, if least > 0, enough confidence, numbered anew from 0 in each document."""
     kept = lines.where(F.trim("text") != "")
@@ -193,8 +209,22 @@ def retention(files: DataFrame, as_of: Column, days: int) -> tuple[DataFrame, Da
     return files.where(~old), summary
 
 
+def metric_points(history: DataFrame) -> DataFrame:
+    """history(run, epoch, metrics map) -> (run, metric, epoch, value) on all epochs of the run, value null where absent.
+
+    The series as rows, however long a run is; each epoch of a run is met by the run's few metrics.
+    """
+    long = history.select("run", "epoch", F.explode("metrics").alias("metric", "value")).where(~F.col("metric").isin("epoch", "timestamp"))
+    every = history.select("run", "epoch").distinct().join(long.select("run", "metric").distinct(), "run")
+    last = long.groupBy("run", "metric", "epoch").agg(F.max("value").alias("value"))
+    return every.join(last, ["run", "metric", "epoch"], "left")
+
+
 def metric_series(history: DataFrame) -> DataFrame:
-    """history(run, epoch, metrics map): for each run and metric the values on all epochs of the run, null where absent."""
+    """history(run, epoch, metrics map): for each run and metric the values on all epochs of the run, null where absent.
+
+    One array for each metric of a run, made for charts; metric_points() has the same as rows.
+    """
     long = history.select("run", "epoch", F.explode("metrics").alias("metric", "value")).where(~F.col("metric").isin("epoch", "timestamp"))
     epochs = history.groupBy("run").agg(F.array_sort(F.collect_set("epoch")).alias("epochs"))
     values = long.groupBy("run", "metric").agg(F.map_from_entries(F.collect_list(F.struct("epoch", "value"))).alias("at"))
@@ -269,7 +299,7 @@ def apply_corrections(requests: DataFrame, corrections: DataFrame) -> DataFrame:
     last = corrections.groupBy("id").agg(F.max(F.struct("ts", F.coalesce(F.trim("ground_truth"), F.lit("")).alias("new")))["new"].alias("new"))
     out = requests.join(last, "id", "left")
     new = F.nullif("new", F.lit(""))
-    result = F.when(new.isNotNull(), scoring.score(new, F.coalesce("text", F.lit(""))))
+    result = scoring.score(new, F.coalesce("text", F.lit("")))  # null without a reference
     changed = F.col("new").isNotNull()
     fields = {"ground_truth": new, "cer": result["cer"], "wer": result["wer"], "exact_match": result["exact_match"]}
     return out.withColumns({c: F.when(changed, v).otherwise(F.col(c)) for c, v in fields.items()}).drop("new")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -85,18 +88,34 @@ def early_stop(epochs: DataFrame, patience: int, mode: str = "min", min_delta: f
 
     An epoch improves if it beats the last accepted best by more than min_delta; after `patience` others in a row the
     run stops there (null: it never does, as with a patience under 1). Null and non-finite values are passed over.
+    Rows are sorted within the partitions and folded as they come, so a run of any length is three values in memory.
     """
-    series = epochs.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(F.col("epoch").cast("long").alias("epoch"), F.col("value").cast("double").alias("value")))).alias("series"))
-    start = F.struct(F.lit(None).cast("double").alias("best"), F.lit(None).cast("long").alias("best_epoch"), F.lit(0).alias("waited"), F.lit(None).cast("long").alias("stop_epoch"))
-
-    def step(s: Column, e: Column) -> Column:
-        v = e["value"]
-        skip = v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")) | s["stop_epoch"].isNotNull()
-        better = s["best"].isNull() | ((v < s["best"] - min_delta) if mode == "min" else (v > s["best"] + min_delta))
-        waited = s["waited"] + 1
-        stop = F.when(F.lit(patience >= 1) & (waited >= patience), e["epoch"])
-        yes = F.struct(v.alias("best"), e["epoch"].alias("best_epoch"), F.lit(0).alias("waited"), s["stop_epoch"].alias("stop_epoch"))
-        no = F.struct(s["best"].alias("best"), s["best_epoch"].alias("best_epoch"), waited.alias("waited"), stop.alias("stop_epoch"))
-        return F.when(skip, s).when(better, yes).otherwise(no)
-
-    return series.select(run, F.aggregate("series", start, step).alias("s")).select(run, "s.best", "s.best_epoch", "s.stop_epoch")
+    sign = 1 if mode == "min" else -1
+    kind = epochs.schema[run].dataType.simpleString()
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, now, best, at, waited, stop = True, None, None, None, 0, None
+        for rows in batches:
+            done = []
+            for name, epoch, value in zip(rows["run"].tolist(), rows["epoch"].tolist(), rows["value"].tolist()):
+                if first or name != now:
+                    if not first:
+                        done.append((now, best, at, stop))
+                    first, now, best, at, waited, stop = False, name, None, None, 0, None
+                if stop is not None or value is None or not abs(value) < float("inf"):
+                    continue
+                if best is None or sign * value < sign * best - min_delta:
+                    best, at, waited = value, epoch, 0
+                else:
+                    waited += 1
+                    stop = epoch if 1 <= patience <= waited else None
+            yield frame(done)
+        if not first:
+            yield frame([(now, best, at, stop)])
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=[run, "best", "best_epoch", "stop_epoch"])
+        return out.astype({"best": "float64", "best_epoch": "Int64", "stop_epoch": "Int64"})
+
+    rows = epochs.select(F.col(run).alias("run"), F.col("epoch").cast("long").alias("epoch"), F.col("value").cast("double").alias("value"))
+    return rows.repartition("run").sortWithinPartitions("run", "epoch", "value").mapInPandas(fold, f"{run} {kind}, best double, best_epoch long, stop_epoch long")

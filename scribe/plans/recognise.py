@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from scribe.functions import scoring, text
-from scribe.operators import runs
+from scribe.functions import scoring
+from scribe.operators import latency, metrics, runs
 
 
 def recognise(images: DataFrame, recogniser: Callable[[list], list[tuple[str, float]]], column: str = "image", batch: int = 16) -> DataFrame:
@@ -22,45 +22,72 @@ def recognise(images: DataFrame, recogniser: Callable[[list], list[tuple[str, fl
     keep = [f for f in images.schema.fields if f.name != column]
     out = StructType(keep).add("text", "string").add("confidence", "double").add("inference_ms", "double").add("error", "string")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import time
-
-        for rows in batches:
-            got: list[tuple] = []
-            for i in range(0, len(rows), batch):
-                crops = list(rows[column].iloc[i : i + batch])
-                began = time.perf_counter()
-                try:
-                    answers = [(t, float(c), None) for t, c in recogniser(crops)]
-                except Exception:  # noqa: BLE001  any fault of a recogniser is a row's error
-                    answers = []
-                    for crop in crops:
-                        try:
-                            t, c = recogniser([crop])[0]
-                            answers.append((t, float(c), None))
-                        except Exception as fault:  # noqa: BLE001
-                            answers.append((None, None, f"{type(fault).__name__}: {fault}"))
-                each = (time.perf_counter() - began) * 1000 / max(1, len(crops))
-                got += [(t, c, each, e) for t, c, e in answers]
-            result = rows.drop(columns=[column]).reset_index(drop=True)
-            for k, name in enumerate(("text", "confidence", "inference_ms", "error")):
-                result[name] = pd.Series([g[k] for g in got], dtype="object" if k in (0, 3) else "float64")
-            yield result[[f.name for f in out.fields]]
-
-    return images.mapInPandas(run, out)
+    return images.mapInPandas(lambda batches: _recognised(batches, recogniser, column, batch, out), out)
+
+
+def _recognised(batches: Iterator[pd.DataFrame], recogniser: Callable, column: str, batch: int, out: StructType) -> Iterator[pd.DataFrame]:
+    import time
+
+    for rows in batches:
+        got: list[tuple] = []
+        for i in range(0, len(rows), batch):
+            crops = list(rows[column].iloc[i : i + batch])
+            began = time.perf_counter()
+            try:
+                answers = [(t, float(c), None) for t, c in recogniser(crops)]
+            except Exception:  # noqa: BLE001  any fault of a recogniser is a row's error
+                answers = []
+                for crop in crops:
+                    try:
+                        t, c = recogniser([crop])[0]
+                        answers.append((t, float(c), None))
+                    except Exception as fault:  # noqa: BLE001
+                        answers.append((None, None, f"{type(fault).__name__}: {fault}"))
+            each = (time.perf_counter() - began) * 1000 / max(1, len(crops))
+            got += [(t, c, each, e) for t, c, e in answers]
+        result = rows.drop(columns=[column]).reset_index(drop=True)
+        for k, name in enumerate(("text", "confidence", "inference_ms", "error")):
+            result[name] = pd.Series([g[k] for g in got], dtype="object" if k in (0, 3) else "float64")
+        yield result[[f.name for f in out.fields]]
 
 
 def require_success(results: DataFrame) -> DataFrame:
-    """The results, or an error if there are some and all of them failed."""
+    """The results, or an error if there are some and all of them failed.
+
+    They are persisted, so that the recogniser runs once for this check and for what is done with them after it.
+    """
+    results = results.persist()
     n, good = results.agg(F.count(F.lit(1)), F.count_if(F.col("error").isNull())).first()
     if n and not good:
         raise RuntimeError("every recognition failed")
     return results
 
 
+def benchmark(images: DataFrame, recogniser: Callable[[list], list[tuple[str, float]]], model_id: str, dataset: str, split: str, provenance: str = "project", experiment_arm: str = "other", max_samples: int | None = None, batch_size: int = 32, warmup: int = 2, column: str = "image") -> tuple[DataFrame, DataFrame]:
+    """images(ord, label, image, error?) -> (one evaluation run, its scored samples).
+
+    The first `max_samples` rows by the 0-based `ord` go through the recogniser in batches of that order; rows that could
+    not be read or recognised are counted as failed and not scored. Warm-up batches are scored but not timed.
+    """
+    rows = images if max_samples is None else images.where(F.col("ord") < max_samples)
+    rows = latency.number_batches(rows, batch_size, warmup)
+    unread = F.col("error").isNotNull() if "error" in images.columns else F.lit(False)
+    rows = rows.withColumn("unread", unread).drop("error")
+    readable = rows.where(~F.col("unread")).drop("unread")
+    out = StructType([f for f in readable.schema.fields if f.name != column]).add("text", "string").add("confidence", "double").add("inference_ms", "double").add("error", "string")
+    done = readable.groupBy("batch").applyInPandas(lambda part: next(_recognised(iter([part.sort_values("ord")]), recogniser, column, batch_size, out)), out).persist()
+    samples = metrics.sample_metrics(done.where("error is null").select(F.col("ord").alias("sample_id"), "batch", F.col("label").alias("reference"), F.coalesce("text", F.lit("")).alias("prediction"), "confidence"))
+    batches = done.groupBy("batch", "warm").agg(F.sum("inference_ms").alias("ms"), F.count(F.lit(1)).alias("size"))
+    cost = latency.latency_stats(batches)
+    failed = rows.agg(F.count_if("unread").alias("unread")).crossJoin(done.agg(F.count_if(F.col("error").isNotNull()).alias("faults")))
+    run = metrics.validation_metrics(samples).crossJoin(cost).crossJoin(failed).withColumn("failed_samples", F.col("unread") + F.col("faults")).drop("unread", "faults")  # one row each
+    fixed = {"model_id": model_id, "dataset": dataset, "split": split, "provenance": provenance, "experiment_arm": experiment_arm, "batch_size": batch_size}
+    return run.withColumns({k: F.lit(v) for k, v in fixed.items()}), samples
+
+
 def score_results(results: DataFrame, reference: str = "ground_truth") -> DataFrame:
     """Adds cer, wer and exact_match where there is a reference and no error."""
-    s = scoring.score(F.when(F.col("error").isNull(), text.normalize_text(F.col(reference), compose=False)), text.normalize_text(F.coalesce("text", F.lit("")), compose=False))
+    s = scoring.score(F.when(F.col("error").isNull(), F.col(reference)), F.coalesce("text", F.lit("")))
     return results.withColumns({c: s[c] for c in ("cer", "wer", "exact_match")})
 
 

@@ -57,14 +57,38 @@ def contrastive_progress(history: DataFrame, batch_size: int) -> DataFrame:
     return history.select("run", "epoch", F.try_element_at("metrics", F.lit("accuracy")).alias("accuracy"), F.lit(1.0 / (2 * batch_size - 1)).alias("chance"))
 
 
-def document_benchmark(entries: DataFrame, predictions: DataFrame) -> DataFrame:
+def document_benchmark(entries: DataFrame, predictions: DataFrame, capture: str | None = None) -> DataFrame:
     """entries(file, capture, text) and predictions(model_id, file, text, elapsed_s, error) -> totals by model and capture.
 
-    Failed pages are left out of the figures and counted; models come by CER.
+    Of one capture, or of all. Failed pages are left out of the figures and counted; models come by CER.
     """
+    entries = entries if capture is None else entries.where(F.col("capture") == capture)
     both = predictions.join(entries.select("file", "capture", F.col("text").alias("reference")), "file")
     good = both.where("error is null").withColumnRenamed("text", "prediction")
     samples = metrics.sample_metrics(good.withColumn("sample_id", F.col("file")))
     scores = metrics.grouped_metrics(samples, "model_id", "capture").where("model_id is not null")
     cost = both.groupBy("model_id").agg(F.count_if(F.col("error").isNotNull()).alias("failed"), (F.sum("elapsed_s") / F.count(F.lit(1))).alias("seconds_per_page"))
     return scores.join(cost, "model_id").orderBy(F.col("cer").asc_nulls_last(), "model_id", "level")
+
+
+#: Decimals of reports; figures are rounded where they leave, never before.
+DECIMALS = {"cer": 6, "wer": 6, "cer_macro": 6, "wer_macro": 6, "cer_normalized": 6, "sequence_accuracy": 6, "sequence_accuracy_normalized": 6, "character_accuracy": 6, "avg_inference_ms": 3, "median_inference_ms": 3, "p95_inference_ms": 3, "throughput_images_per_s": 2, "peak_memory_mb": 2, "model_size_mb": 2}
+
+
+def report_rows(rows: DataFrame, decimals: dict[str, int] = DECIMALS) -> DataFrame:
+    """Rows as a report has them: known figures rounded."""
+    return rows.select(*[F.round(c, decimals[c]).alias(c) if c in decimals else F.col(c) for c in rows.columns])
+
+
+def comparison_table(latest: DataFrame) -> DataFrame:
+    """The latest runs as a table with their place: project models first, then by CER, runs without one last."""
+    from pyspark.sql import Window
+
+    # one row for each model
+    place = F.row_number().over(Window.orderBy(*runs.comparison_order(latest)))
+    return report_rows(latest.withColumn("place", place))
+
+
+def rejects_of(rows: DataFrame) -> DataFrame:
+    """rows(reason?) of a source that marks its lines: how many were read, kept and left out by reason."""
+    return rows.groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))

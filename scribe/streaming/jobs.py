@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -26,9 +26,10 @@ def daily_statistics(requests: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def job_progress(events: DataFrame, path: str) -> DataStreamWriter:
-    """Keeps the latest state of every job: each micro-batch is merged with the last snapshot into a new one.
+    """Keeps the latest state of every job: each micro-batch writes the states of the jobs that it touches, merged.
 
-    Snapshots are numbered by micro-batch, so a batch that is run again writes the same one again; read the newest.
+    Parts are numbered by micro-batch and a merge reads earlier ones only, so a batch that is run again writes the same
+    part again. read_jobs() takes each job's newest state.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -36,7 +37,7 @@ def job_progress(events: DataFrame, path: str) -> DataStreamWriter:
         fields = [c for c in batch.columns if c not in ("job_id", "ts", "history_entry")]
         now = runs.upsert_jobs(batch).select("job_id", "ts", *fields, "history")
         if number > 0:
-            before = spark.read.parquet(f"{path}/batch={number - 1}")
+            before = newest(spark.read.parquet(path).where(F.col("batch") < number).join(batch.select("job_id").distinct(), "job_id", "left_semi"))
             both = before.withColumn("new", F.lit(0)).unionByName(now.withColumn("new", F.lit(1)))
             latest = [F.max(F.when(F.col(c).isNotNull(), F.struct("new", "ts", F.col(c))))[c].alias(c) for c in fields]
             history = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("new", "history"))), lambda h: h["history"]))
@@ -46,6 +47,18 @@ def job_progress(events: DataFrame, path: str) -> DataStreamWriter:
     return events.writeStream.foreachBatch(merge)
 
 
+def newest(states: DataFrame) -> DataFrame:
+    """states(job_id, batch, ...) -> each job's row of its last batch."""
+    held = [c for c in states.columns if c not in ("job_id", "batch")]
+    last = states.groupBy("job_id").agg(F.max_by(F.struct(*held), "batch").alias("s"))
+    return last.select("job_id", *[F.col(f"s.{c}").alias(c) for c in held])
+
+
+def read_jobs(spark: SparkSession, path: str) -> DataFrame:
+    """The newest state of every job that job_progress() has written."""
+    return newest(spark.read.parquet(path))
+
+
 class EarlyStop(StatefulProcessor):
     """One run's best value and how many epochs have passed without a better one; says once when to stop."""
 
