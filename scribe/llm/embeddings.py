@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, saved
+from .common import connected_components, forget, saved
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -25,41 +25,84 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
     return centres
 
 
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return (x @ centres.T - 0.5 * (centres**2).sum(1)).argmax(1)
+
+
 class Quantiser:
-    """Coarse centres and one code book for each subspace of the residuals, fitted on a bounded sample of unit vectors."""
+    """Coarse lists and one code book for each subspace of the residuals, fitted on a bounded sample of unit vectors.
+
+    Up to `centres` lists have one level; more are pairs of a centre and a centre of what it leaves, so that their number
+    can grow with the table while the sample stays as it is. Without a sample all vectors are in one list about 0.
+    """
 
-    def __init__(self, sample: np.ndarray, lists: int, parts: int, words: int):
-        self.coarse = kmeans(sample, lists)
+    def __init__(self, sample: np.ndarray, dims: int, lists: int, parts: int, words: int, centres: int):
+        sample = sample if len(sample) else np.zeros((1, dims))
+        sizes = [lists] if lists <= centres else [min(centres, math.ceil(math.sqrt(lists)))] * 2
+        self.levels, rest = [], sample
+        for k in sizes:
+            self.levels.append(kmeans(rest, k))
+            rest = rest - self.levels[-1][nearest(rest, self.levels[-1])]
         self.parts = parts
-        rest = sample - self.coarse[self.nearest(sample)]
         self.words = [kmeans(r, words) for r in np.array_split(rest, parts, axis=1)]
-        # how far codes are from what they stand for: the slack of table-lookup distances
-        code = self.codes(rest)
-        self.error = float(np.quantile(np.sqrt(((rest - self.decode(code)) ** 2).sum(1)), 0.999)) if len(rest) else 0.0
-
-    def nearest(self, x: np.ndarray) -> np.ndarray:
-        return (x @ self.coarse.T - 0.5 * (self.coarse**2).sum(1)).argmax(1)
-
-    def codes(self, rest: np.ndarray) -> np.ndarray:
-        return np.stack([(r @ w.T - 0.5 * (w**2).sum(1)).argmax(1) for r, w in zip(np.array_split(rest, self.parts, axis=1), self.words)], 1).astype(np.uint8)
 
-    def decode(self, code: np.ndarray) -> np.ndarray:
-        return np.concatenate([w[code[:, j]] for j, w in enumerate(self.words)], 1)
+    @property
+    def lists(self) -> int:
+        return math.prod(len(c) for c in self.levels)
+
+    def centre(self, at: int) -> np.ndarray:
+        total = 0.0
+        for c in self.levels[::-1]:
+            at, k = divmod(at, len(c))
+            total = total + c[k]
+        return total
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(list, residual) of each vector."""
+        own, rest = np.zeros(len(x), np.int64), x
+        for c in self.levels:
+            k = nearest(rest, c)
+            own, rest = own * len(c) + k, rest - c[k]
+        return own, rest
+
+    def codes(self, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(codes, distance of each residual from what its code stands for)."""
+        parts = np.array_split(rest, self.parts, axis=1)
+        code = np.stack([nearest(r, w) for r, w in zip(parts, self.words)], 1).astype(np.uint8)
+        off = sum(((r - w[code[:, j]]) ** 2).sum(1) for j, (r, w) in enumerate(zip(parts, self.words)))
+        return code, np.sqrt(off)
 
     def probes(self, x: np.ndarray, reach: float, sure: float) -> list[np.ndarray]:
         """The lists that a vector within `reach` of x may be in.
 
         x + d is nearer to centre c than to x's own o only if d (c - o) > half the difference of the squared distances.
         For d of length `reach` in no special direction that product has the deviation reach |c - o| / sqrt(dims);
-        lists beyond `sure` deviations are left out.
+        centres beyond `sure` deviations are left out, on each level of each centre taken on the one before.
         """
-        far = (self.coarse**2).sum(1) - 2 * x @ self.coarse.T
-        own = far.argmin(1)
-        apart = np.sqrt(np.maximum(0, ((self.coarse[:, None] - self.coarse[None]) ** 2).sum(2)))
-        margin = (far - far[np.arange(len(x)), own][:, None]) / 2
-        near = margin <= sure * reach / math.sqrt(x.shape[1]) * apart[own]
-        near[np.arange(len(x)), own] = True
-        return [np.flatnonzero(row) for row in near]
+        row, at, rest = np.arange(len(x)), np.zeros(len(x), np.int64), x
+        for c in self.levels:
+            apart = np.sqrt(np.maximum(0, ((c[:, None] - c[None]) ** 2).sum(2)))
+            rows, ats, rests = [], [], []
+            for i in range(0, len(row), 4096):
+                part = rest[i : i + 4096]
+                far = (c**2).sum(1) - 2 * part @ c.T
+                own = far.argmin(1)
+                near = (far - far[np.arange(len(part)), own][:, None]) / 2 <= sure * reach / math.sqrt(x.shape[1]) * apart[own]
+                a, k = np.nonzero(near)
+                rows.append(row[i : i + 4096][a])
+                ats.append(at[i : i + 4096][a] * len(c) + k)
+                rests.append(part[a] - c[k])
+            row, at, rest = np.concatenate(rows), np.concatenate(ats), np.concatenate(rests)
+        o = np.argsort(row, kind="stable")
+        return np.split(at[o].astype(np.int32), np.cumsum(np.bincount(row, minlength=len(x)))[:-1])
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1; first by their largest component, so that squares neither overflow nor vanish."""
+    if not len(x):
+        return x
+    x = x / np.abs(x).max(1)[:, None]
+    return x / np.sqrt((x**2).sum(1))[:, None]
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -78,77 +121,86 @@ def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array(keep, np.int64)
 
 
-def near_vectors(embeddings: DataFrame, least: float = 0.93, sample: int = 8192, per_list: int = 400, parts: int = 8, words: int = 64, sure: float = 6.0, block: int = 512) -> DataFrame:
+def near_vectors(embeddings: DataFrame, least: float = 0.93, sample: int = 8192, per_list: int = 1000, parts: int = 8, words: int = 64, sure: float = 4.5, block: int = 4096, centres: int = 1024) -> DataFrame:
     """embeddings(vec_id, embedding, label, ...) -> (vec_id, n_links, component_id, kept), one row per vector.
 
-    Vectors with the same non-null label and cosine >= `least` are linked. Equal vectors of a label become one class
-    with its members counted. The coarse centres and code books come from about `sample` vectors; every class is
-    indexed in its nearest list and searches the lists that a neighbour may be in. A list's entries and searchers meet
-    in blocks of at most `block` by `block`, however long a list is; a block compares codes by tables, takes what may
-    be near enough given the codes' error, and confirms by exact cosine. It returns each class's number of links and a
-    spanning forest of them, not the pairs. Null, zero and non-finite vectors, vectors of another length than the
-    sample's, and null labels link with nothing but get their row; null ids are left out; repeated ids count as one
-    vector with the smallest values; an empty table gives no row.
+    Vectors of one length with the same non-null label and cosine >= `least` are linked. Equal vectors of a label become
+    one class with its members counted. Each vector length has lists and code books of its own, from its share of about
+    `sample` vectors, and so many lists that the largest label has about `per_list` classes in one; a length that the
+    sample has too few of is one list. Every class is indexed in its nearest list and searches the lists that a neighbour
+    may be in. A list's entries and searchers meet in blocks of at most about `block` by `block`, however long a list is;
+    a block compares codes by tables, takes what may be near enough given each code's own error, which loses nothing, and
+    confirms by exact cosine. It returns each class's number of links and a spanning forest of them, not the pairs. Null,
+    zero and non-finite vectors and null labels link with nothing but get their row; null ids are left out; repeated ids
+    count as one vector with the smallest values; an empty table gives no row.
     """
     spark = embeddings.sparkSession
     rows = embeddings.where("vec_id is not null").groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("r")).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("r.label").alias("label"), F.col("r.embedding").alias("embedding"))
     usable = F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("embedding", lambda v: v != 0)
     rows = saved(rows.withColumn("usable", F.coalesce(usable, F.lit(False))), "vectors")
     classes = rows.where("usable").groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("members"))
-    classes = saved(classes.withColumn("embedding", F.col("embedding").cast("array<double>")), "classes")
-    n = classes.count()
-    if not n:
+    classes = saved(classes.withColumn("dims", F.size("embedding")), "classes")
+    # one row for each vector length
+    lengths = classes.groupBy("dims", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("dims").agg(F.sum("n").alias("n"), F.max("n").alias("most")).orderBy("dims").collect()
+    if not lengths:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
 
-    # a bounded sample by hash: about `sample` rows, whatever n is
-    chosen = classes.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int(min(1.0, sample / n) * (1 << 40))).orderBy("id").select("embedding")
-    chosen = [r["embedding"] for r in chosen.collect()] or [classes.select("embedding").orderBy("id").first()["embedding"]]
-    dims = max((len(r) for r in chosen), key=[len(r) for r in chosen].count)
-    x = np.array([r for r in chosen if len(r) == dims])
-    x /= np.abs(x).max(1)[:, None]
-    x /= np.sqrt((x**2).sum(1))[:, None]
-    labels = max(1, classes.agg(F.approx_count_distinct("label")).first()[0])
-    # a list of one label should hold about per_list classes; the sample bounds the number of centres
-    quantiser = spark.sparkContext.broadcast(Quantiser(x, int(min(1024, max(1, n / labels / per_list), max(1, len(x) / 8))), min(parts, dims), words))
+    # a bounded sample by hash: about `sample` rows, whatever n is, and as many again at most for rare lengths
+    n = sum(r["n"] for r in lengths)
+    floor = min(256.0, sample / len(lengths))
+    share = F.lit(0)
+    for r in lengths:
+        share = F.when(F.col("dims") == r["dims"], int(min(1.0, max(sample / n, floor / r["n"])) * (1 << 40))).otherwise(share)
+    chosen = classes.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < share).select("dims", "id", F.col("embedding").cast("array<double>").alias("v")).orderBy("dims", "id").collect()
+    books = {}
+    for r in lengths:
+        x = unit(np.array([c["v"] for c in chosen if c["dims"] == r["dims"]], float).reshape(-1, r["dims"]))
+        x = x if len(x) >= 16 else x[:0]
+        most = min(centres, max(1, len(x) // 8))  # centres on a level; eight vectors of the sample each
+        books[r["dims"]] = Quantiser(x, r["dims"], max(1, min(r["most"] // per_list, most**2)), min(parts, r["dims"]), words, most)
+    shared = spark.sparkContext.broadcast(books)  # bounded by the sample
     reach = math.sqrt(2 - 2 * least)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = quantiser.value
-        for rows in batches:
-            rows = rows[[len(v) == dims for v in rows["embedding"]]]
-            if len(rows):
-                v = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
-                v /= np.abs(v).max(1)[:, None]
-                v /= np.sqrt((v**2).sum(1))[:, None]
-                own = q.nearest(v)
-                code = q.codes(v - q.coarse[own])
-                yield pd.DataFrame({"label": rows["label"], "id": rows["id"], "members": rows["members"], "vector": list(v), "own": own, "probes": q.probes(v, reach, sure), "code": [c.tobytes() for c in code]})
-
-    kind = classes.schema["label"].dataType.simpleString()
-    placed = saved(classes.mapInPandas(place, f"label {kind}, id long, members long, vector array<double>, own long, probes array<long>, code binary"), "placed")
-    lists = placed.groupBy("label", F.col("own").alias("list")).agg(F.count(F.lit(1)).alias("n")).select("label", "list", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    asked = placed.select("label", F.explode("probes").alias("list")).groupBy("label", "list").agg(F.count(F.lit(1)).alias("n")).select("label", "list", F.ceil(F.col("n") / block).cast("int").alias("ask_blocks"))
-    lists = lists.join(asked, ["label", "list"])
+        for every in batches:
+            for dims, rows in every.groupby("dims"):
+                q, v = shared.value[int(dims)], unit(np.stack(rows["embedding"].to_numpy()).astype(np.float64))
+                own, rest = q.place(v)
+                code, error = q.codes(rest)
+                yield rows.assign(own=own, probes=q.probes(v, reach, sure), code=[c.tobytes() for c in code], error=error)
+
+    kind, of = classes.schema["label"].dataType.simpleString(), classes.schema["embedding"].dataType.simpleString()
+    placed = saved(classes.mapInPandas(place, f"label {kind}, embedding {of}, id long, members long, dims int, own long, probes array<int>, code binary, error double"), "placed")
+    key = ["label", "dims", "list"]
+    lists = placed.groupBy("label", "dims", F.col("own").alias("list")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    asked = placed.select("label", "dims", F.explode(F.col("probes").cast("array<bigint>")).alias("list")).groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("ask_blocks"))
+    lists = saved(lists.join(asked, key), "lists")
     # every entry meets every block of searchers and the other way round; a row's own block is drawn by its id's hash
     spread = lambda blocks: F.explode(F.sequence(F.lit(0), blocks - 1))
-    entries = placed.withColumn("list", F.col("own")).join(lists, ["label", "list"]).withColumn("entry", F.lit(True)).withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("*", spread(F.col("ask_blocks")).alias("s"))
-    searchers = placed.withColumn("list", F.explode("probes")).join(lists, ["label", "list"]).withColumn("entry", F.lit(False)).withColumn("s", F.pmod(F.xxhash64("id", F.lit(3)), F.col("ask_blocks")).cast("int")).select("*", spread(F.col("blocks")).alias("b"))
-    names = ["label", "list", "b", "s", "entry", "id", "members", "vector", "own", "probes", "code"]
+    entries = placed.withColumn("list", F.col("own")).join(lists, key).withColumn("entry", F.lit(True)).withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("*", spread(F.col("ask_blocks")).alias("s"))
+    searchers = placed.withColumn("list", F.explode(F.col("probes").cast("array<bigint>"))).join(lists, key).withColumn("entry", F.lit(False)).withColumn("s", F.pmod(F.xxhash64("id", F.lit(3)), F.col("ask_blocks")).cast("int")).select("*", spread(F.col("blocks")).alias("b"))
+    # entries need their codes, searchers their own list
+    none = lambda like: F.lit(None).cast(like)
+    names = [*key, "b", "s", "entry", "id", "members", "embedding"]
+    entries = entries.select(*names, none("long").alias("own"), "probes", "code", "error")
+    searchers = searchers.select(*names, "own", none("array<int>").alias("probes"), none("binary").alias("code"), none("double").alias("error"))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        q, at = quantiser.value, int(group["list"].iloc[0])
+        q, at = shared.value[int(group["dims"].iloc[0])], int(group["list"].iloc[0])
         e, s = group[group["entry"]].reset_index(drop=True), group[~group["entry"]].reset_index(drop=True)
         out = pd.DataFrame({"id": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "other": np.zeros(0, np.int64)})
         if not len(e) or not len(s):
             return out
-        ev, code = np.stack(e["vector"].to_numpy()), np.frombuffer(b"".join(e["code"]), np.uint8).reshape(len(e), -1)
+        vectors = lambda f: unit(np.stack(f["embedding"].to_numpy()).astype(np.float64))
+        ev, centre = vectors(e), q.centre(at)
+        code, bound = np.frombuffer(b"".join(e["code"]), np.uint8).reshape(len(e), -1), (reach + e["error"].to_numpy() + 1e-9) ** 2
         found_s, found_e = [], []
         for i in range(0, len(s), 64):
-            sv = np.stack(s["vector"].to_numpy()[i : i + 64])
+            sv = vectors(s.iloc[i : i + 64])
             far = np.zeros((len(sv), len(e)))
-            for j, (part, book) in enumerate(zip(np.array_split(sv - q.coarse[at], q.parts, axis=1), q.words)):
+            for j, (part, book) in enumerate(zip(np.array_split(sv - centre, q.parts, axis=1), q.words)):
                 far += ((part[:, None] - book[None]) ** 2).sum(2)[:, code[:, j]]
-            a, b = np.nonzero(far <= (reach + q.error) ** 2)
+            a, b = np.nonzero(far <= bound)
             close = np.einsum("ij,ij->i", sv[a], ev[b]) >= least
             found_s.append(a[close] + i)
             found_e.append(b[close])
@@ -158,23 +210,24 @@ def near_vectors(embeddings: DataFrame, least: float = 0.93, sample: int = 8192,
         if not len(a):
             return out
         # a pair is found once from each side that searches the other's list; the other side counts here if it does not
-        asks = np.zeros((len(e), len(q.coarse)), bool)
-        for k, p in enumerate(e["probes"]):
-            asks[k, p] = True
-        alone = ~asks[b, s["own"].to_numpy()[a]]
+        asks = np.concatenate([p.astype(np.int64) + k * q.lists for k, p in enumerate(e["probes"])])
+        alone = ~np.isin(b * q.lists + s["own"].to_numpy().astype(np.int64)[a], asks)
         link = pd.concat([pd.DataFrame({"id": ids, "links": e["members"].to_numpy()[b]}), pd.DataFrame({"id": ide[alone], "links": s["members"].to_numpy()[a[alone]]})]).groupby("id", as_index=False).sum()
-        both, inverse = np.unique(np.r_[ids, ide], return_inverse=True)
+        _, inverse = np.unique(np.r_[ids, ide], return_inverse=True)
         keep = forest(inverse[: len(ids)], inverse[len(ids) :])
         tree = pd.DataFrame({"id": ids[keep], "links": np.zeros(len(keep), np.int64), "other": ide[keep]})
         return pd.concat([link.assign(other=-1), tree])[["id", "links", "other"]].astype(np.int64)
 
     # rows of the forest have links = 0, rows of counts have no other
-    met = entries.select(*names).unionByName(searchers.select(*names)).groupBy("label", "list", "b", "s").applyInPandas(compare, "id long, links long, other long")
+    met = entries.unionByName(searchers).groupBy(*key, "b", "s").applyInPandas(compare, "id long, links long, other long")
     met = saved(met, "links")
+    forget(placed, lists)
     links = met.where("links > 0").groupBy("id").agg(F.sum("links").alias("links"))
     parts_ = connected_components(met.where("links = 0").select(F.col("id").alias("a"), F.col("other").alias("b")))
     result = classes.select("label", "embedding", "id", "members").join(links, "id", "left").join(parts_, "id", "left").select("label", "embedding", (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    of_row = rows.withColumn("embedding", F.when(F.col("usable"), F.col("embedding").cast("array<double>"))).join(result, ["label", "embedding"], "left")
+    # saved, so that a class with many members is a join whose large partitions Spark splits
+    result = saved(result, "result")
+    of_row = rows.withColumn("embedding", F.when(F.col("usable"), F.col("embedding"))).join(result, ["label", "embedding"], "left")
     return of_row.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), (F.coalesce("component_id", "vec_id") == F.col("vec_id")).alias("kept"))
 
 

@@ -174,19 +174,15 @@ def votes(text: str, kind: str, start: int, end: int, strict: bool) -> int:
     before = text[max(0, start - 40) : start]
     cue = 2 if CUE[family].search(before) else 0 if NOT.search(before) else 1
     left, right = text[start - 1 : start], text[end : end + 1]
-    if left.isalnum() or right.isalnum() or left in ("/", "#"):
+    if left.isalnum() or right.isalnum() or left in ("/", "#") or (left == "=" and family != "secret"):
         apart = 0
-    elif family == "secret":
-        apart = 2 if re.search(r"[=:]\s*['\"]?$", before) else 1
     else:
-        apart = 0 if left == "=" else 2
+        apart = 2 if re.search(r"[:=]\s*['\"]?$", before) else 1
     if family == "secret":
         bits = entropy(said)
         variety = 2 if bits >= 3.4 else 0 if bits < 2.2 else 1
-    elif family == "email":
-        variety = 1
     else:
-        variety = 0 if len(set(digits)) < 2 or digits in "01234567890123456789" else 2 if len(set(digits)) > 3 else 1
+        variety = 0 if family != "email" and (len(set(digits)) < 2 or digits in "01234567890123456789") else 1
     return shape + 3 * listed + 9 * cue + 27 * apart + 81 * variety
 
 
@@ -235,12 +231,15 @@ def scanned(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, base array<{SPAN}>, found array<{FOUND}>")
 
 
-def expectation_maximisation(pattern: np.ndarray, count: np.ndarray, rounds: int = 50) -> np.ndarray:
+def expectation_maximisation(pattern: np.ndarray, count: np.ndarray, known: np.ndarray | None = None, rounds: int = 50) -> np.ndarray:
     """P(personal | votes) of each vote pattern (patterns x labelers, 0..2), labelers independent given the truth.
 
-    Starts from a majority vote; the table of each labeler, P(vote | truth), is smoothed by one.
+    Starts from a majority vote; the table of each labeler, P(vote | truth), is smoothed by one. Where `known` is 1 or 0
+    that is the truth: matches of the base patterns are personal data, and those that fail their tests are not.
     """
-    p = 1 / (1 + np.exp(-(pattern - 1).sum(1).astype(float)))
+    known = np.full(len(count), np.nan) if known is None else known
+    sure = ~np.isnan(known)
+    p = np.where(sure, np.nan_to_num(known), 1 / (1 + np.exp(-(pattern - 1).sum(1).astype(float))))
     for _ in range(rounds):
         share = (p @ count + 1) / (count.sum() + 2)
         one, two = np.log(share), np.log(1 - share)
@@ -252,7 +251,7 @@ def expectation_maximisation(pattern: np.ndarray, count: np.ndarray, rounds: int
             if yes[2] * no[0] < yes[0] * no[2]:
                 yes = no = (yes + no) / 2
             one, two = one + np.log(yes)[pattern[:, j]], two + np.log(no)[pattern[:, j]]
-        p = 1 / (1 + np.exp(np.clip(two - one, -500, 500)))
+        p = np.where(sure, p, 1 / (1 + np.exp(np.clip(two - one, -500, 500))))
     return p
 
 
@@ -283,14 +282,16 @@ def fit_pii(candidates: DataFrame, bound: int = 20000) -> np.ndarray:
     patterns leave the executors. The classifier is fitted on the candidates whose `key`, a hash, is below bound / all:
     all of them, or about `bound` if there are more.
     """
-    rows = candidates.groupBy("votes").count().orderBy("votes").collect()
+    base = F.col("kind").isin(*KINDS)
+    rows = candidates.groupBy(base.alias("base"), "votes").count().orderBy("base", "votes").collect()
     if not rows:
         return np.zeros(SLOTS + 1)
     code, count = np.array([r["votes"] for r in rows]), np.array([r["count"] for r in rows], float)
-    p = expectation_maximisation(code[:, None] // 3 ** np.arange(len(LABELERS)) % 3, count)
-    label = dict(zip(code.tolist(), p.tolist()))
-    few = candidates.where(F.pmod("key", F.lit(1 << 40)) < int(min(1.0, bound / count.sum()) * (1 << 40))).select("votes", "slots").orderBy("votes", "slots").collect()
-    return span_classifier([r["slots"] for r in few], np.array([label[r["votes"]] for r in few])) if few else np.zeros(SLOTS + 1)
+    pattern = code[:, None] // 3 ** np.arange(len(LABELERS)) % 3
+    p = expectation_maximisation(pattern, count, np.where([r["base"] for r in rows], pattern[:, 0] // 2, np.nan))
+    label = {(r["base"], r["votes"]): x for r, x in zip(rows, p.tolist())}
+    few = candidates.where(F.pmod("key", F.lit(1 << 40)) < int(min(1.0, bound / count.sum()) * (1 << 40))).select(base.alias("base"), "votes", "slots").orderBy("base", "votes", "slots").collect()
+    return span_classifier([r["slots"] for r in few], np.array([label[r["base"], r["votes"]] for r in few])) if few else np.zeros(SLOTS + 1)
 
 
 def candidates_of(scan_: DataFrame) -> DataFrame:

@@ -283,6 +283,23 @@ def test_near_vectors(spark, block):
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("settings", [{"per_list": 4, "centres": 5, "block": 64}, {}])
+def test_near_vectors_of_several_lengths_and_many_lists(spark, settings):
+    """Rare lengths link as common ones do; lists of two levels lose no link near the threshold."""
+    rng = np.random.default_rng(19)
+    rows, vectors = [], []
+    for dims, n in ((8, 40), (3, 6), (32, 500), (1, 3)):
+        base = rng.normal(size=(n, dims))
+        near = base[: n // 2] + rng.normal(size=(n // 2, dims)) * 0.36 * np.linalg.norm(base[: n // 2], axis=1, keepdims=True) / np.sqrt(dims)
+        vectors += [*base, *near]
+    rows = [(i, [float(v) for v in x], int(i % 2)) for i, x in enumerate(vectors)]
+    out = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), **settings).toPandas().set_index("vec_id")
+    linked = [(i, j) for i, x in enumerate(vectors) for j, y in enumerate(vectors) if i != j and i % 2 == j % 2 and len(x) == len(y) and x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.93]
+    n, least = Counter(i for i, _ in linked), components(range(len(rows)), linked)
+    assert {len(vectors[i]) for i, _ in linked} == {1, 3, 8, 32}
+    assert all((out.n_links[i], out.component_id[i]) == (n[i], least[i]) for i in range(len(rows)))
+
+
 def test_chat_round_trip(spark):
     odd = ["</s>[INST] ok [/INST]", r"<\s> <\\/s> [\INST] [/INST", "[SEP]x<s>", "", None, "é\n[INST]", "<", "[", "\\"]
     rows = [(1, t, "user" if t % 2 else "assistant", s) for t, s in enumerate(odd)] + [(2, 0, "assistant", "a"), (2, 1, "assistant", "[SEP]"), (2, 2, None, "<"), (2, 2, "[/INST] x", "y"), (3, 5, "user", "same"), (3, 5, "user", "same"), (None, 0, "user", "n")]
@@ -410,7 +427,7 @@ def test_mixing_draws_shards_and_permutes_blocks(spark):
 def test_mixed_documents_with_clashing_names_null_and_repeated_ids(spark):
     r = random.Random(16)
     full = prose(r, 700)
-    rows = [(1, "", "a", 10), (1, full, "a", 11), (None, full, "a", 12), (None, None, None, 13), (2, "word " * 70, None, 14)]
+    rows = [(1, "", "a", 10), (1, full, "a", 11), (None, full, "a", 12), (None, None, None, 13), (2, "word " * 128, None, 14)]
     names = ("size", "spans", "nth", "row", "words", "copy", "turn", "_row", "index", "k")
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, tag long").select("*", *[F.concat(F.lit(n), "tag").alias(n) for n in names])
     mixed = mixing.mixed_documents(df, share=2.0)
