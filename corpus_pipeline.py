@@ -1,51 +1,5 @@
-"""A training-data pipeline: quality filter, near-dedup, personal data masked, sources mixed, documents packed."""
+"""The training-data pipeline: STAGES over documents, run() and its SQL."""
 
-from __future__ import annotations
+from scribe.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-
-from scribe.llm.common import saved, table
-from scribe.llm.mixing import mixed_documents
-from scribe.llm.neardup import keep_first
-from scribe.llm.packing import pack
-from scribe.llm.pii import redact
-from scribe.llm.quality import fit_quality, score_quality
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labels that are not held out, scores below one half go."""
-    return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels"))).where("score >= 0.5").select(*docs.columns)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with similarity 0.8 or more on shingles of five words stays."""
-    return keep_first(docs)
-
-
-def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts becomes the name of its kind; no document goes."""
-    return redact(docs)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts become what the mix takes of them; a part that is taken twice comes back in a second row of its document."""
-    return mixed_documents(docs)
-
-
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row's tokens in sequences of at most 2048."""
-    return pack(docs)
-
-
-STAGES = [("quality", quality), ("near_dedup", near_dedup), ("pii", mask_pii), ("mixing", mix_sources), ("packing", pack_sequences)]
-
-#: SQL cannot express the classifier, the packing plan or the tokeniser; tests compare the stages with plain Python.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each one's rows saved and read again before the next."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

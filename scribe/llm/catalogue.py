@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
-from . import chat, embeddings, mixing, neardup, packing, pii, quality, repetition, suffixes, urls
+from . import chat, embeddings, mixing, neardup, packing, pii, pipeline, quality, repetition, suffixes, urls
 from .common import saved, table
 
 
@@ -51,7 +49,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
     "op1_quality_classifier": op1_quality_classifier,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_url_filters": op3_url_filters,

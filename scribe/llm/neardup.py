@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, saved
+from .common import connected_components, forget, free_name, saved
 from .textbytes import mixed, pieces, texts_of, words_of
 
 #: Minwise functions; the first COORDINATES of them choose paths, one bit of each makes the sketch.
@@ -93,13 +93,14 @@ def fetched(ids: DataFrame, documents: DataFrame, words: int, sets: DataFrame |
 
 
 def confirmed(pairs: DataFrame, documents: DataFrame, words: int, percent: int, sets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """The pairs (a, b) whose full sets fulfil 100 * intersection >= percent * union, and the sets fetched so far."""
-    pairs = saved(pairs, "pairs")
+    """Of distinct pairs (a, b) those whose full sets fulfil 100 * intersection >= percent * union, and the sets fetched so far."""
+    pairs = pairs if hasattr(pairs, "_saved_in") else saved(pairs, "pairs")
     sets = fetched(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))), documents, words, sets)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")).hint("merge"), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
     common = F.size(F.array_intersect("x", "y"))
-    links = both.where(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b").distinct()
-    return saved(links, "links"), sets
+    links = saved(both.where(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b"), "links")
+    forget(pairs)
+    return links, sets
 
 
 def compared_in_blocks(rows: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, block: int = 512) -> DataFrame:
@@ -141,18 +142,7 @@ def compared_in_blocks(rows: DataFrame, nodes: DataFrame, sets: DataFrame, perce
     return asked.select(*names).unionByName(asking.select(*names)).groupBy("node", "e", "s").applyInPandas(compare, "a long, b long").distinct()
 
 
-def near_documents(documents: DataFrame, words: int = 5, percent: int = 80, **settings) -> DataFrame:
-    """See chosen_paths(); its many steps each end in a saved table, so their shuffle files go as soon as a step is over."""
-    conf, key = documents.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(key, None)
-    conf.set(key, "true")
-    try:
-        return chosen_paths(documents, words, percent, **settings)
-    finally:
-        conf.unset(key) if before is None else conf.set(key, before)
-
-
-def chosen_paths(documents: DataFrame, words: int = 5, percent: int = 80, trees: int = 10, small: int = 64, depth: int = 8, stars: int = 1) -> DataFrame:
+def near_documents(documents: DataFrame, words: int = 5, percent: int = 80, trees: int = 10, small: int = 64, depth: int = 8, stars: int = 1) -> DataFrame:
     """documents(doc_id, text, ...) -> (doc_id, n_shingles, component_id, kept), one row per document.
 
     Equal sets are one class, held by its smallest doc_id. In each of `trees` trees a class goes to the node of one
@@ -165,7 +155,9 @@ def chosen_paths(documents: DataFrame, words: int = 5, percent: int = 80, trees:
     Before that each class is compared with a hub, or two, drawn in each of its nodes, what links is joined, and nodes
     that are large still get up to `stars` rounds of new hubs: a large group of near copies is then one component, whose
     classes need no comparison with each other. All links are confirmed on full sets. Null and empty texts link with nothing,
-    rows with a null id are left out, repeated rows are one document each, an empty table gives no row.
+    rows with a null id are left out, ids that are no integers are an error (keep_first() numbers rows of any id),
+    repeated rows are one document each, an empty table gives no row. The many steps each end in a saved table, whose
+    shuffle files go as soon as it is written; tables go when no step reads them any more.
     """
     # expected bits that differ at the threshold, and 5.5 deviations more
     chance = (1 - percent / 100) / 2
@@ -193,26 +185,29 @@ def chosen_paths(documents: DataFrame, words: int = 5, percent: int = 80, trees:
     rows = roots(classes)
     first = rows.groupBy("node").agg(F.count(F.lit(1)).alias("m"), *[hubs(k).alias(f"h{k}") for k in range(2)]).where("m > 1")
     first = first.select("node", F.explode(F.when(F.col("m") > small, F.array("h0", "h1")).otherwise(F.array("h0"))).alias("h")).select("node", *[F.col(f"h.{c}").alias(c) for c in held])
+    first = saved(first, "hubs")
     links, sets = confirmed(star(rows, first, F.lit(True)), documents, words, percent)
+    forget(first)
     known = parts_of(links)
     for _ in range(stars):  # nodes that are large still: hubs of the largest component and of the others
         rows = roots(known, "part")
         by_part = rows.groupBy("node", "part").agg(F.count(F.lit(1)).alias("k"), *[hubs(k).alias(f"h{k}") for k in (4, 5)])
         nodes = by_part.groupBy("node").agg((F.sum("k") - F.max("k")).alias("rest"), F.max(F.struct("k", "part", "h4", "h5")).alias("main"), F.min(F.struct("h4", "part")).alias("other")).where(F.col("rest") > small)
         picked = nodes.select("node", F.explode(F.array(F.struct(F.col("main.h4").alias("h"), F.col("main.part").alias("part")), F.struct(F.col("main.h5").alias("h"), F.col("main.part").alias("part")), F.struct(F.col("other.h4").alias("h"), F.col("other.part").alias("part")))).alias("x"))
-        hub = picked.select("node", *[F.col(f"x.h.{c}").alias(c) for c in held], F.col("x.part").alias("part"))
+        hub = saved(picked.select("node", *[F.col(f"x.h.{c}").alias(c) for c in held], F.col("x.part").alias("part")), "hubs")
         pairs = saved(star(rows, hub, F.col("a.part") != F.col("b.part")), "star")
+        forget(hub)
         if pairs.isEmpty():
             break
         more, sets = confirmed(pairs, documents, words, percent, sets)
         if more.isEmpty():
             break
         links = links.unionByName(more)
-        known = parts_of(links)
+        before, known = known, parts_of(links)
+        forget(before)
 
     rows, found = roots(known, "part"), []
     for level in range(depth):
-        rows = saved(rows, "nodes") if level else rows  # the roots are a cheap projection of what is saved
         by_part = rows.groupBy("node", "part").agg(F.count(F.lit(1)).alias("k"))
         nodes = by_part.groupBy("node").agg(F.sum("k").alias("m"), (F.sum("k") - F.max("k")).alias("rest"), F.max(F.struct("k", "part"))["part"].alias("main")).where("rest > 0")
         nodes = saved(nodes, "sizes")
@@ -221,6 +216,7 @@ def chosen_paths(documents: DataFrame, words: int = 5, percent: int = 80, trees:
         near = here.where("part <> main").alias("a").join(here.alias("b").hint("merge"), pair)
         found.append(saved(near.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct(), "near"))
         large = saved(nodes.where(F.col("m") > 2 * small), "large")
+        forget(nodes)
         if large.isEmpty():
             break
         down = rows.join(large.select("node", "m").hint("merge"), "node").join(known.select("id", "paths").hint("merge"), "id")
@@ -237,14 +233,19 @@ def chosen_paths(documents: DataFrame, words: int = 5, percent: int = 80, trees:
             found.append(saved(compared_in_blocks(held_in, dense, sets, percent), "blocks"))
         if level == depth - 1:
             break
+        gone = rows
         rows = down.join(dense.select(F.col("node").alias("parent")).hint("merge"), "parent", "left_anti").select("node", *held, "part")
+        rows = saved(rows, "nodes")  # a later level reads it twice; level 0, a cheap projection, is not saved
+        forget(gone, large, dense)
     pairs = found[0]
     for part in found[1:]:
         pairs = pairs.unionByName(part)
     more, _ = confirmed(pairs.distinct(), documents, words, percent, sets)
+    forget(known, *found)
     whole = connected_components(links.unionByName(more))
     of_class = classes.select("f0", "f1", F.col("id"), F.col("n").alias("m")).join(whole, "id", "left").select("f0", "f1", F.coalesce("component", "id").alias("component"))
-    # empty sets have no class; a class with many copies is a join whose large partitions Spark splits
+    # empty sets have no class; saved, so that a class with many copies is a join whose large partitions Spark splits
+    of_class = saved(of_class, "components")
     out = marks.select("doc_id", F.col("n").alias("n_shingles"), "f0", "f1").join(of_class.hint("merge"), ["f0", "f1"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
@@ -257,11 +258,12 @@ def keep_first(documents: DataFrame, words: int = 5, percent: int = 80) -> DataF
     any type or repeated: copies under one id collapse, and other texts under it are judged each. Null and empty texts
     stay.
     """
-    rows = saved(documents.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    near = near_documents(rows.select(F.col("_row").alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias("_row"), "component_id")
-    named = rows.select("_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("first"))
-    first = near.join(named.hint("merge"), "_row").groupBy("component_id").agg(F.min("first").alias("first"))
-    return rows.join(first.select(F.col("first._row").alias("_row")).hint("merge"), "_row", "left_semi").select(*documents.columns)
+    row = free_name(documents.columns, "row")
+    rows = saved(documents.withColumn(row, F.monotonically_increasing_id()), "rows")
+    near = near_documents(rows.select(F.col(row).alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias(row), "component_id")
+    named = rows.select(row, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row")).alias("first"))
+    first = near.join(named.hint("merge"), row).groupBy("component_id").agg(F.min("first").alias("first"))
+    return rows.join(first.select(F.col("first.row").alias(row)).hint("merge"), row, "left_semi").select(*documents.columns)
 
 
 SQL = r"""

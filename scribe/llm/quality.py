@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
 from .textbytes import mixed, pieces, texts_of, words_of
 
 BITS = 18
@@ -78,7 +79,8 @@ def train_shard(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("at")
     w = ftrl([(y, np.asarray(s, np.int64), np.asarray(v, np.float64)) for y, s, v in zip(rows["y"], rows["slots"], rows["values"])])
     at = np.flatnonzero(w)
-    return pd.DataFrame({"slot": at.astype(np.int32), "weight": w[at]})
+    # slot -1 counts the tasks that had rows
+    return pd.DataFrame({"slot": np.r_[-1, at].astype(np.int32), "weight": np.r_[1.0, w[at]]})
 
 
 def held_out(doc_id: Column) -> Column:
@@ -89,7 +91,7 @@ def fit_quality(documents: DataFrame, labels: DataFrame, bound: int = 20000, sha
     """Weights fitted on labelled documents that are not held out: all of them, or about `bound` if there are more.
 
     The sample takes documents whose hash is below bound / all, so no row order matters. Each of `shards` tasks runs
-    the updates over its part and the sparse weights are averaged, at most 2 ** BITS rows. Documents with several
+    the updates over its part and the sparse weights are averaged over the tasks that had any, at most 2 ** BITS rows. Documents with several
     labels take their mean's side; null labels and ids are left out; without any label all weights are 0.
     """
     y = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("float").alias("y"))
@@ -100,17 +102,21 @@ def fit_quality(documents: DataFrame, labels: DataFrame, bound: int = 20000, sha
     rows = documents.select("doc_id", "text").join(F.broadcast(y), "doc_id").select("y", (F.col("at") % shards).cast("int").alias("shard"), "at", "text")
     sparse = rows.mapInArrow(featurise, "y float, shard int, at long, slots array<int>, values array<float>")
     fitted = sparse.groupBy("shard").applyInPandas(train_shard, "slot int, weight double").groupBy("slot").agg(F.sum("weight").alias("weight")).toPandas()
-    used = max(1, min(shards, n))
+    slot, weight = fitted["slot"].to_numpy(), fitted["weight"].to_numpy()
     weights = np.zeros(1 << BITS, np.float32)
-    weights[fitted["slot"].to_numpy()] = fitted["weight"].to_numpy() / used
+    weights[slot[slot >= 0]] = weight[slot >= 0] / max(1.0, weight[slot < 0].sum())
     return weights
 
 
-def score_quality(documents: DataFrame, weights: np.ndarray) -> DataFrame:
-    """All columns of documents and `score`; a narrow step. Null and empty texts score by the bias alone."""
+def score_quality(documents: DataFrame, weights: np.ndarray, name: str = "score") -> DataFrame:
+    """All columns of documents and the score, named `name`, which none of them may be; a narrow step.
+
+    Null and empty texts score by the bias alone.
+    """
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(weights)  # 1 MB, fixed by BITS
-    documents = documents.drop("score")
+    if free_name(documents.columns, name) != name:
+        raise ValueError(f"documents have a column {name!r} already")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
@@ -120,11 +126,11 @@ def score_quality(documents: DataFrame, weights: np.ndarray) -> DataFrame:
             for i, j in pieces(offsets):
                 slot, doc, count = ngram_slots(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 out[i:j] = np.bincount(doc, w[slot], j - i) * SCALE / np.maximum(count, 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(out + w[0], -500, 500))))], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(out + w[0], -500, 500))))], [*batch.schema.names, name])
 
     from pyspark.sql.types import DoubleType, StructType
 
-    return documents.mapInArrow(score, StructType([*documents.schema.fields]).add("score", DoubleType()))
+    return documents.mapInArrow(score, StructType([*documents.schema.fields]).add(name, DoubleType()))
 
 
 def quality_scores(documents: DataFrame, labels: DataFrame, bound: int = 20000) -> DataFrame:

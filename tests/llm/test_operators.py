@@ -84,7 +84,7 @@ def test_connected_components(spark):
 def test_quality_learns_held_out_labels(spark):
     r = random.Random(2)
     rows = [(i, prose(r, 80) if i % 3 else " ".join(w + "$$$" for w in prose(r, 80).split())) for i in range(600)] + [(1000, None), (1001, "")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash"))  # op1's own columns
     labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(600)] + [(None, 1), (3, None), (4, 1)], "doc_id long, quality int")
     out = quality.quality_scores(docs, labels).toPandas().set_index("doc_id")
     assert len(out) == 602 and out.score.between(0, 1).all()
@@ -96,7 +96,38 @@ def test_quality_learns_held_out_labels(spark):
     assert set(quality.quality_scores(docs, labels.limit(0)).select("score").distinct().toPandas().score) == {0.5}
 
 
+def test_updates_and_scores_like_plain_python(spark):
+    """Follow-the-regularised-leader by dictionaries, and a dot product by a loop, over the same features."""
+    import math
+
+    r = random.Random(20)
+    rows = [(float(r.random() < 0.5), np.array(sorted(r.sample(range(1, 60), r.randrange(0, 12))), np.int64)) for _ in range(120)]
+    rows = [(y, s, np.array([r.uniform(0.1, 2) for _ in s])) for y, s in rows]
+    alpha, beta, l1, l2, z, n = 0.3, 1.0, 0.02, 0.01, Counter(), Counter()
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+    for _ in range(4):
+        for y, slots, values in rows:
+            x = {0: 1.0, **dict(zip(slots.tolist(), values.tolist()))}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+    mine = quality.ftrl(rows)
+    assert np.allclose(mine[:60], [weight(i) for i in range(60)]) and not mine[60:].any()
+    weights = np.random.default_rng(21).normal(size=1 << quality.BITS).astype(np.float32)
+    texts = ["one two two three", "", "Ünï $$$ x", None]
+    out = quality.score_quality(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), weights).orderBy("doc_id").collect()
+    for row, text in zip(out, texts):
+        buf = np.frombuffer((text or "").encode(), np.uint8)
+        slots, _, count = quality.ngram_slots(buf, np.array([0, len(buf)]))
+        total = float(weights[0]) + sum(float(weights[s]) * quality.SCALE / max(1, len((text or "").split())) for s in slots)
+        assert row["score"] == pytest.approx(1 / (1 + math.exp(-total)), rel=1e-5)
+
+
 def test_quality_scores_are_the_same_in_any_batch(spark, documents):
+    documents = documents.drop("score")
     weights = np.random.default_rng(3).normal(size=1 << quality.BITS).astype(np.float32)
     a = quality.score_quality(documents, weights).select("doc_id", "score").toPandas().set_index("doc_id").score
     b = quality.score_quality(documents.repartition(7), weights).select("doc_id", "score").toPandas().set_index("doc_id").score
@@ -553,9 +584,38 @@ def test_columns_that_enter_save_sequences():
     assert bound <= n[None] < n[300] < n[0] and n[0] > 1.15 * bound and n[None] <= 1.03 * bound
 
 
+def tables(spark, path, docs, labels):
+    docs.write.parquet(f"{path}/documents.parquet")
+    labels.write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def test_pipeline_with_clashing_columns_null_and_repeated_ids(spark, tmp_path):
+    from scribe.llm import pipeline
+
+    r = random.Random(22)
+    a, b, c = (prose(r, 200, 4000) for _ in range(3))
+    rows = [(None, a, "s0", 1), (None, b, "s0", 2), (5, c, None, 3), (5, c, None, 4), (6, None, "s1", 5), (7, "", "s1", 6), (8, a + " more", "s1", 7)]
+    names = ("score", "size", "nth", "spans", "kept_id", "row", "_row", "component_id", "words", "found", "id")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, tag long").select("*", *[F.concat(F.lit(n), "tag").alias(n) for n in names])
+    where = tables(spark, tmp_path, docs, spark.createDataFrame([(5, 1), (8, 1), (6, 1)], "doc_id long, quality int"))
+    now, tags = docs, {}
+    for name, stage in pipeline.STAGES[:-1]:
+        stage(spark, now, where).write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        got = now.collect()
+        assert now.columns == docs.columns and all(x[n] == f"{n}{x['tag']}" for x in got for n in names)
+        tags[name] = Counter(x["tag"] for x in got)
+    assert set(tags["quality"]) == {1, 2, 3, 4, 5, 6, 7}
+    assert set(tags["near_dedup"]) - {3, 4} == {2, 5, 6, 7} and len(set(tags["near_dedup"]) & {3, 4}) == 1  # 1 is a near copy of 7, whose id is not null
+    assert tags["pii"] == tags["near_dedup"] and set(tags["mixing"]) == set(tags["pii"]) - {5, 6}
+    assert pipeline.STAGES[-1][1](spark, now, where).count() >= len(now.collect())
+
+
 def test_pipeline_keeps_what_it_should(spark, tmp_path):
     import corpus_pipeline
 
+    assert corpus_pipeline.run(spark, tables(spark, tmp_path / "none", docs=empty(spark), labels=empty(spark).selectExpr("doc_id", "1 as quality"))).count() == 0
     r = random.Random(9)
     rows = [(i, prose(r, 120, 3000) if i % 4 else " ".join(w + "%%%" for w in prose(r, 120).split()), "en", f"s{i % 2}") for i in range(240)]
     rows += [(300 + k, rows[1][1].replace(" w", " w", 1) + (" end" if k else ""), "en", "s0") for k in range(3)] + [(400, "write to a.b@c.de now " + prose(r, 90, 3000), "en", "s1"), (401, None, None, None)]
