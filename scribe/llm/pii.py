@@ -53,7 +53,9 @@ CUES = {
 AGAINST = "version license isbn order build rfc section issn doi sha commit revision checksum".split()
 CUE = {k: re.compile(r"\b(?:" + "|".join(v.split()) + r")\b", re.I) for k, v in CUES.items()}
 NOT = re.compile(r"\b(?:" + "|".join(AGAINST) + r")\b", re.I)
-LABELERS = ("shape", "gazetteer", "cue words", "surroundings", "variety")
+LABELERS = ("shape", "gazetteer", "cue words", "counter words", "surroundings", "variety")
+#: What is believed of P(vote | personal) beforehand, by its weight beside what is seen; mirrored if not personal.
+BELIEF = 0.1 * np.array([0.1, 0.3, 0.6])
 #: Slots of the span classifier's hashed features.
 SLOTS = 1 << 14
 
@@ -172,7 +174,7 @@ def votes(text: str, kind: str, start: int, end: int, strict: bool) -> int:
     else:
         listed = 1
     before = text[max(0, start - 40) : start]
-    cue = 2 if CUE[family].search(before) else 0 if NOT.search(before) else 1
+    cue, counter = 2 if CUE[family].search(before) else 1, 0 if NOT.search(before) else 1
     left, right = text[start - 1 : start], text[end : end + 1]
     if left.isalnum() or right.isalnum() or left in ("/", "#") or (left == "=" and family != "secret"):
         apart = 0
@@ -183,7 +185,7 @@ def votes(text: str, kind: str, start: int, end: int, strict: bool) -> int:
         variety = 2 if bits >= 3.4 else 0 if bits < 2.2 else 1
     else:
         variety = 0 if family != "email" and (len(set(digits)) < 2 or digits in "01234567890123456789") else 1
-    return shape + 3 * listed + 9 * cue + 27 * apart + 81 * variety
+    return shape + 3 * listed + 9 * cue + 27 * counter + 81 * apart + 243 * variety
 
 
 def slots_of(text: str, kind: str, start: int, end: int) -> list[int]:
@@ -234,19 +236,20 @@ def scanned(documents: DataFrame) -> DataFrame:
 def expectation_maximisation(pattern: np.ndarray, count: np.ndarray, known: np.ndarray | None = None, rounds: int = 50) -> np.ndarray:
     """P(personal | votes) of each vote pattern (patterns x labelers, 0..2), labelers independent given the truth.
 
-    Starts from a majority vote; the table of each labeler, P(vote | truth), is smoothed by one. Where `known` is 1 or 0
+    Starts from a majority vote; the table of each labeler, P(vote | truth), is smoothed by one and by BELIEF. Both truths are taken to
+    be as likely beforehand, so that the larger one does not draw the other's patterns over. Where `known` is 1 or 0
     that is the truth: matches of the base patterns are personal data, and those that fail their tests are not.
     """
     known = np.full(len(count), np.nan) if known is None else known
     sure = ~np.isnan(known)
     p = np.where(sure, np.nan_to_num(known), 1 / (1 + np.exp(-(pattern - 1).sum(1).astype(float))))
     for _ in range(rounds):
-        share = (p @ count + 1) / (count.sum() + 2)
-        one, two = np.log(share), np.log(1 - share)
+        one, two = np.zeros(len(count)), np.zeros(len(count))
         for j in range(pattern.shape[1]):
             yes = np.bincount(pattern[:, j], p * count, 3) + 1
             no = np.bincount(pattern[:, j], (1 - p) * count, 3) + 1
-            # a labeler is taken to be better than chance, which keeps the two classes from changing places
+            # a labeler is taken to be better than chance, which keeps the two truths from changing places
+            yes, no = yes / yes.sum() + BELIEF, no / no.sum() + BELIEF[::-1]
             yes, no = yes / yes.sum(), no / no.sum()
             if yes[2] * no[0] < yes[0] * no[2]:
                 yes = no = (yes + no) / 2
@@ -278,7 +281,7 @@ def span_score(weights: np.ndarray, slots: list[int]) -> float:
 def fit_pii(candidates: DataFrame, bound: int = 20000) -> np.ndarray:
     """candidates(key, kind, votes, slots) -> the span classifier's weights; without candidates they are 0 and accept nothing.
 
-    The labelers' reliabilities come from the counts of vote patterns over all candidates: at most 8 kinds times 243
+    The labelers' reliabilities come from the counts of vote patterns over all candidates: at most twice 729
     patterns leave the executors. The classifier is fitted on the candidates whose `key`, a hash, is below bound / all:
     all of them, or about `bound` if there are more.
     """
@@ -301,7 +304,7 @@ def candidates_of(scan_: DataFrame) -> DataFrame:
 def find_pii(documents: DataFrame, save: Callable[[DataFrame], DataFrame] | None = None, threshold: float = 0.8) -> DataFrame:
     """documents(doc_id, text, ...) -> (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans).
 
-    Base spans stay as they are. Five labelers vote on every candidate, expectation-maximisation tells how far each is to
+    Base spans stay as they are. Six labelers vote on every candidate, expectation-maximisation tells how far each is to
     be trusted and so how likely each pattern of votes is, and a classifier of a span's characters and surroundings,
     trained on that, adds the spans of the kinds in ADDED that it scores `threshold` or more; these touch no base span.
     Two narrow passes and small aggregates. `save` keeps the scan between them (a function of a DataFrame), else it runs
