@@ -11,15 +11,15 @@ from scribe.operators import latency, metrics, runs
 def timed_batches(events: DataFrame, size: int, warmup: int) -> DataFrame:
     """events(ts, event_id, value) in order of time -> batches (batch, ms, size, warm).
 
-    The place of an event is counted by days first, so no task orders more than a day of events.
+    The place of an event is counted by minutes first, so no task orders more than a minute of events.
     """
     from pyspark.sql import Window
 
-    e = events.select("value", "ts", "event_id", F.to_date("ts").alias("day"))
-    days = e.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    place = F.row_number().over(Window.partitionBy("day").orderBy("ts", "event_id")) - 1
-    ordered = e.withColumn("place", place).join(days.select("day", before.alias("before")), "day").withColumn("ord", F.col("place") + F.col("before"))
+    e = events.select("value", "ts", "event_id", F.date_trunc("minute", "ts").alias("minute"))
+    minutes = e.groupBy("minute").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("minute").orderBy("ts", "event_id")) - 1
+    ordered = e.withColumn("place", place).join(minutes.select("minute", before.alias("before")), "minute").withColumn("ord", F.col("place") + F.col("before"))
     numbered = latency.number_batches(ordered, size, warmup)
     return numbered.groupBy("batch", "warm").agg(F.sum("value").alias("ms"), F.count(F.lit(1)).alias("size"))
 

@@ -12,7 +12,8 @@ from pyspark.sql.types import IntegerType
 
 #: File endings that are taken for images.
 EXTENSIONS = ("png", "jpg", "jpeg", "bmp", "tif", "tiff", "webp", "ppm", "pgm")
-DECODED = ("png", "jpg", "jpeg", "bmp", "gif")
+DECODED = ("png", "jpg", "jpeg", "bmp", "gif", "tif", "tiff", "ppm", "pgm")
+PORTABLE = ("ppm", "pgm")
 
 
 def extension(path):
@@ -26,8 +27,39 @@ def discover(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def decode(spark: SparkSession, path: str) -> DataFrame:
-    """Spark's image source with recursion: one row per file, height -1 where it cannot be decoded."""
-    return spark.read.format("image").option("recursiveFileLookup", True).load(path).select("image.*")
+    """Images with recursion: one row per file, height -1 where it cannot be decoded.
+
+    By Spark's image source, but for portable pixmaps and graymaps, which it does not know.
+    """
+    read = spark.read.format("image").option("recursiveFileLookup", True).load(path).select("image.*")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("origin"), "content")
+    portable = files.where(extension(F.col("origin")).isin(*PORTABLE)).mapInPandas(_portable, read.schema)
+    return read.where(~extension(F.col("origin")).isin(*PORTABLE)).unionByName(portable)
+
+
+def _portable(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Binary and plain forms of both kinds, one byte a sample; rows as the image source gives them, colours as BGR."""
+    import re
+
+    for files in batches:
+        out = []
+        for origin, content in zip(files["origin"], files["content"]):
+            row = (origin, -1, -1, -1, -1, b"")
+            head = re.match(rb"P([2356])((?:\s+|#[^\n]*\n)+)(\d+)((?:\s+|#[^\n]*\n)+)(\d+)((?:\s+|#[^\n]*\n)+)(\d+)\s", content)
+            if head:
+                kind, width, height, top = (int(head[k]) for k in (1, 3, 5, 7))
+                channels = 3 if kind in (3, 6) else 1
+                size, rest = width * height * channels, content[head.end() :]
+                if kind > 3:
+                    pixels = np.frombuffer(rest[:size], np.uint8)
+                else:
+                    values = np.array(rest.split()[:size])
+                    pixels = values.astype(np.uint8) if all(v.isdigit() and int(v) < 256 for v in values.tolist()) else values[:0].astype(np.uint8)
+                if 0 < top < 256 and size and len(pixels) == size:
+                    pixels = pixels.reshape(height, width, channels)[:, :, ::-1]
+                    row = (origin, height, width, channels, 16 if channels == 3 else 0, pixels.tobytes())
+            out.append(row)
+        yield pd.DataFrame(out, columns=["origin", "height", "width", "nChannels", "mode", "data"])
 
 
 @F.pandas_udf(IntegerType())

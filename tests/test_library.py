@@ -504,7 +504,7 @@ def duck():
 def test_queries_match_duckdb(spark, duck, name):
     out = catalogue.QUERIES[name](spark, SF)
     mine = [tuple(r) for r in out.collect()]
-    assert mine
+    assert mine or name == "delete_ids"  # the smallest table has an order for every id
     if name in catalogue.ORACLES:
         theirs = duck.sql(f"SELECT {', '.join(chr(34) + c + chr(34) for c in out.columns)} FROM ({catalogue.ORACLES[name]})").fetchall()
         plain = lambda rows: sorted(repr(tuple(float(f"{x:.6g}") if isinstance(x, float) else x for x in r)) for r in rows)
@@ -570,3 +570,22 @@ def test_benchmark_counts_failures_and_leaves_warm_up_untimed(spark):
     r = run.first()
     assert (r["num_samples"], r["failed_samples"], r["cer"], r["mean_confidence"]) == (7, 2, 0.0, 0.5) and r["model_id"] == "m"
     assert r["timed_samples"] == 5 and samples.count() == 7
+
+
+def test_portable_and_tiff_images(spark, folder):
+    import struct
+
+    def tiff(w, h, pixels):
+        tags = [(256, 3, 1, w), (257, 3, 1, h), (258, 3, 1, 8), (259, 3, 1, 1), (262, 3, 1, 1), (273, 4, 1, 8), (277, 3, 1, 1), (278, 3, 1, h), (279, 4, 1, w * h)]
+        body = pixels + b"\0" * (len(pixels) % 2)
+        return struct.pack("<2sHI", b"II", 42, 8 + len(body)) + body + struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags) + struct.pack("<I", 0)
+
+    grey = bytes(range(0, 160, 2))
+    files = {"a.pgm": b"P5\n# made by hand\n10 8\n255\n" + grey, "b.ppm": b"P3 6 6 255\n" + b"10 20 30 " * 36, "c.ppm": b"P6 10 10 255 short", "d.tif": tiff(10, 8, grey), "e.webp": b"RIFF", "f.pgm": b"P2 2 2 255 1 2 3 400"}
+    for name, data in files.items():
+        with open(f"{folder}/{name}", "wb") as f:
+            f.write(data)
+    out = {r["origin"].rsplit("/", 1)[1]: r for r in images.screen(images.decode(spark, folder)).collect()}
+    assert {n: r["reason"] for n, r in out.items()} == {"a.pgm": None, "b.ppm": None, "c.ppm": "undecodable", "d.tif": None, "e.webp": "unsupported_format", "f.pgm": "undecodable"}
+    assert (out["a.pgm"]["height"], out["a.pgm"]["width"], bytes(out["a.pgm"]["data"])) == (8, 10, grey) and bytes(out["b.ppm"]["data"])[:3] == bytes([30, 20, 10])
+    assert (out["d.tif"]["height"], out["d.tif"]["width"]) == (8, 10)
