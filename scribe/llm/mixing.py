@@ -92,7 +92,7 @@ def mix(documents: DataFrame, block: int = 64, shards: int = 64, seed: int = 7,
 
     Work by source would meet in one task for a hot source: running word counts are taken within (source, bucket), the
     buckets being so many that each holds some thousands of documents, and then over the buckets' sums; slots are dealt
-    out by ranges of 1,000.
+    out by ranges of 1,000, which are made from ranges of a million, so that no array grows with a source.
     """
     copy = F.col(row) if row else F.monotonically_increasing_id()
     d = saved(documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), copy.alias("copy")), "sizes")
@@ -115,8 +115,10 @@ def mix(documents: DataFrame, block: int = 64, shards: int = 64, seed: int = 7,
 
     def numbers(rows: DataFrame, count: str, *keys: str) -> DataFrame:
         """Each row once for each of 0 ... count - 1, as `k`, made in many tasks."""
-        ranges = rows.where(F.col(count) > 0).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1, F.lit(1000).cast("long"))).alias("from")).repartition(tasks, *keys, "from")
-        return ranges.select("*", F.explode(F.sequence("from", F.least(F.col("from") + 999, F.col(count) - 1))).alias("k")).drop("from")
+        upto = lambda n: F.least(F.col("from") + n - 1, F.col(count) - 1)
+        ranges = rows.where(F.col(count) > 0).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1, F.lit(10**6).cast("long"))).alias("from"))
+        ranges = ranges.withColumn("from", F.explode(F.sequence("from", upto(10**6), F.lit(1000).cast("long")))).repartition(tasks, *keys, "from")
+        return ranges.select("*", F.explode(F.sequence("from", upto(1000))).alias("k")).drop("from")
 
     draws = numbers(t.select("source", "slots"), "slots", "source").select("source", (drawn(F.lit(seed), F.lit("shard"), F.col("source"), F.col("k")) % shards).alias("shard"))
     counts = saved(draws.groupBy("source", "shard").agg(F.count(F.lit(1)).alias("slots")), "shards")
