@@ -71,23 +71,29 @@ def free_name(columns: Iterable[str], name: str) -> str:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) pairs of longs -> (id, component), component being the smallest id that is reachable.
 
-    Alternates large-star and small-star rounds; each is one aggregate and one equi-join by vertex. The aggregates are
-    saved before the joins, so a vertex with many edges is a join whose large partitions Spark splits. Ids without an
-    edge to another id have no row.
+    Contracts the graph: every id goes to the least of itself and its neighbours, in later rounds also on from there,
+    edges are drawn between where their ends went, and so on until none is left; then the steps are followed back. The smallest id of a component never
+    moves. Each round is one aggregate and one equi-join for each end of the edges; the aggregate is saved before, so an
+    id with many edges is a join whose large partitions Spark splits. Ids without an edge to another id have no row.
     """
     e = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
-    while True:
-        now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first()
-        if now == before or not now[0]:
-            # at the end every edge leads to its component's smallest id
-            return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
-        before = now
+    steps = []
+    while not steps or not e.isEmpty():
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        large = saved(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
-        lower = saved(large.groupBy("u").agg(F.min("v").alias("m")), "lower")
-        small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        after = saved(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        forget(e, least, large, lower)
-        e = after
+        m = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        for _ in steps:  # twice as far with each jump, so that a chain takes the logarithm of its length in rounds
+            near, m = m, saved(m.join(m.select(F.col("u").alias("m"), F.col("m").alias("far")), "m").select("u", F.col("far").alias("m")), "least")
+            forget(near)
+        steps.append(m)
+        to = lambda end: steps[-1].select(F.col("u").alias(end), F.col("m").alias(f"{end}_to"))
+        moved = e.join(to("u"), "u").join(to("v"), "v").where("u_to <> v_to")
+        before, e = e, saved(moved.select(F.greatest("u_to", "v_to").alias("u"), F.least("u_to", "v_to").alias("v")).distinct(), "edges")
+        forget(before)
+    where = steps.pop()
+    while steps:
+        step = steps.pop()
+        back = step.join(where.select(F.col("u").alias("m"), F.col("m").alias("end")), "m", "left").select("u", F.coalesce("end", "m").alias("m"))
+        before, where = where, saved(back, "least") if steps else back
+        if steps:
+            forget(step, before)
+    return where.select(F.col("u").alias("id"), F.col("m").alias("component"))

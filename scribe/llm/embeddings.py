@@ -227,6 +227,7 @@ def near_vectors(embeddings: DataFrame, least: float = 0.93, sample: int = 8192,
     result = classes.select("label", "embedding", "id", "members").join(links, "id", "left").join(parts_, "id", "left").select("label", "embedding", (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     # saved, so that a class with many members is a join whose large partitions Spark splits
     result = saved(result, "result")
+    forget(classes, met)
     of_row = rows.withColumn("embedding", F.when(F.col("usable"), F.col("embedding"))).join(result, ["label", "embedding"], "left")
     return of_row.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), (F.coalesce("component_id", "vec_id") == F.col("vec_id")).alias("kept"))
 

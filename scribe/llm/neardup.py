@@ -246,6 +246,7 @@ def near_documents(documents: DataFrame, words: int = 5, percent: int = 80, tree
     of_class = classes.select("f0", "f1", F.col("id"), F.col("n").alias("m")).join(whole, "id", "left").select("f0", "f1", F.coalesce("component", "id").alias("component"))
     # empty sets have no class; saved, so that a class with many copies is a join whose large partitions Spark splits
     of_class = saved(of_class, "components")
+    forget(classes)
     out = marks.select("doc_id", F.col("n").alias("n_shingles"), "f0", "f1").join(of_class.hint("merge"), ["f0", "f1"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
