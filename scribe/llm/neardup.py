@@ -103,19 +103,48 @@ def confirmed(pairs: DataFrame, documents: DataFrame, words: int, percent: int,
     return links, sets
 
 
-def compared_in_blocks(rows: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, block: int = 512) -> DataFrame:
-    """(a, b) that are linked in nodes of any size: classes outside `main` against all.
+def in_blocks(rows: DataFrame, nodes: DataFrame, block: int, *columns: str) -> DataFrame:
+    """rows(node, id, part, columns...) of nodes(node, m, rest, main), grouped into blocks (node, e, s).
 
-    rows(node, id, part) of nodes(node, m, rest, main). Both sides of a node are dealt to blocks by hash, so a task holds
-    at most about `block` by `block` sets whatever the node's size; pairs that are not linked never leave it. The sets are
-    whole, as in confirmed(), so the one link that is passed on for each part is a true one.
+    Classes outside `main` ask (asks), all are asked. Both sides of a node are dealt to blocks by hash, so a task holds at
+    most about `block` by `block` rows whatever the node's size.
     """
-    here = rows.select("node", "id", "part").join(nodes.select("node", "main", F.ceil(F.col("rest") / block).cast("int").alias("asking"), F.ceil(F.col("m") / block).cast("int").alias("all")).hint("merge"), "node")
-    here = here.join(sets.select("id", "set").hint("merge"), "id")
+    sizes = nodes.select("node", "main", F.ceil(F.col("rest") / block).cast("int").alias("asking"), F.ceil(F.col("m") / block).cast("int").alias("all"))
+    here = rows.select("node", "id", "part", *columns).join(sizes.hint("merge"), "node")
     spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     asked = here.withColumn("asks", F.lit(False)).withColumn("e", F.pmod(F.xxhash64("id"), F.col("all")).cast("int")).withColumn("s", spread(F.col("asking")))
     asking = here.where("part <> main").withColumn("asks", F.lit(True)).withColumn("s", F.pmod(F.xxhash64("id", F.lit(1)), F.col("asking")).cast("int")).withColumn("e", spread(F.col("all")))
-    names = ["node", "e", "s", "asks", "id", "part", "set"]
+    names = ["node", "e", "s", "asks", "id", "part", *columns]
+    return asked.select(*names).unionByName(asking.select(*names))
+
+
+def may_meet(rows: DataFrame, nodes: DataFrame, percent: int, most_bits: int, block: int = 2048) -> DataFrame:
+    """(node, id) of the classes that may be linked with one of another part in their node, by sizes and sketches alone."""
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        s, e = group[group["asks"]], group[~group["asks"]]
+        alive: list[np.ndarray] = [np.zeros(0, np.int64)]
+        if len(s) and len(e):
+            n, part, ids = e["n"].to_numpy(), e["part"].to_numpy(), e["id"].to_numpy()
+            bits = [e[c].to_numpy() for c in SKETCH]
+            for own, own_part, size, *words in zip(s["id"], s["part"], s["n"], *[s[c] for c in SKETCH]):
+                near = np.flatnonzero((part != own_part) & (n * 100 >= size * percent) & (size * 100 >= n * percent))
+                differ = sum(np.bitwise_count(b[near] ^ np.int64(w)).astype(np.int64) for b, w in zip(bits, words))
+                near = near[differ <= most_bits]
+                if len(near):
+                    alive += [ids[near], np.array([own], np.int64)]
+        found = np.unique(np.concatenate(alive))
+        return pd.DataFrame({"node": np.full(len(found), group["node"].iloc[0], np.int64), "id": found})
+
+    return in_blocks(rows, nodes, block, "n", *SKETCH).groupBy("node", "e", "s").applyInPandas(compare, "node long, id long").distinct()
+
+
+def compared_in_blocks(rows: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, block: int = 512) -> DataFrame:
+    """(a, b) that are linked in nodes of any size: classes outside `main` against all, see in_blocks().
+
+    Pairs that are not linked never leave a block. The sets are whole, as in confirmed(), so the one link that is passed on
+    for each part is a true one.
+    """
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         s, e = group[group["asks"]], group[~group["asks"]]
@@ -139,7 +168,8 @@ def compared_in_blocks(rows: DataFrame, nodes: DataFrame, sets: DataFrame, perce
         a, b = np.array(out_a, np.int64), np.array(out_b, np.int64)
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return asked.select(*names).unionByName(asking.select(*names)).groupBy("node", "e", "s").applyInPandas(compare, "a long, b long").distinct()
+    held = rows.join(sets.select("id", "set").hint("merge"), "id")
+    return in_blocks(held, nodes, block, "set").groupBy("node", "e", "s").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_documents(documents: DataFrame, words: int = 5, percent: int = 80, trees: int = 10, small: int = 64, depth: int = 8, stars: int = 1) -> DataFrame:
@@ -229,8 +259,11 @@ def near_documents(documents: DataFrame, words: int = 5, percent: int = 80, tree
         dense = saved(large.join(dense.hint("merge"), "node", "left_semi"), "dense")
         if not dense.isEmpty():
             held_in = rows.join(dense.select("node").hint("merge"), "node", "left_semi")
-            sets = fetched(held_in.select(F.col("id").alias("doc_id")), documents, words, sets)
-            found.append(saved(compared_in_blocks(held_in, dense, sets, percent), "blocks"))
+            # sets are fetched and carried only for classes that sizes and sketches leave a chance, and blocks made of these
+            alive = saved(held_in.join(may_meet(held_in, dense, percent, most_bits).hint("merge"), ["node", "id"], "left_semi").select("node", "id", "part"), "alive")
+            left = alive.join(dense.select("node", "main").hint("merge"), "node").groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("part") != F.col("main")).alias("rest"), F.first("main").alias("main"))
+            sets = fetched(alive.select(F.col("id").alias("doc_id")), documents, words, sets)
+            found.append(saved(compared_in_blocks(alive, saved(left, "left"), sets, percent), "blocks"))
         if level == depth - 1:
             break
         gone = rows
