@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +69,23 @@ def free_name(columns: Iterable[str], name: str) -> str:
     return name
 
 
+def hash_filter(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
+    """The first `bits` bits of the 64-bit hashes in a column as a set of bits: 2 ** bits / 8 bytes, however many there are."""
+    slot = F.shiftrightunsigned(column, 64 - bits) + 1
+    pages = hashes.groupBy(F.bitmap_bucket_number(slot).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    out = np.zeros((max(1, (1 << bits) >> 15), 4096), np.uint8)
+    for row in pages.collect():  # at most 2 ** bits / 2 ** 15 pages of 4 kB
+        out[row["page"] - 1] = np.frombuffer(row["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def in_filter(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may be in a hash_filter(); those that are in it always are."""
+    bits = max(15, (len(filter_) * 8).bit_length() - 1)
+    slot = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    return (filter_[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) pairs of longs -> (id, component), component being the smallest id that is reachable.
 

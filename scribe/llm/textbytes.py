@@ -69,12 +69,13 @@ def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mixed((sums[end] - sums[start]) * powers("down", UNBASE, n + 1)[start])
 
 
-def words_of(buf: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
+def words_of(buf: np.ndarray, offsets: np.ndarray, lower: bool, between: np.ndarray = SPACE) -> Words:
+    """The maximal runs of bytes that are not `between`, within documents."""
     n, docs = len(buf), len(offsets) - 1
     if not n:
         none = np.zeros(0, np.int64)
         return Words(none, none, none, np.zeros(docs + 1, np.int64), np.zeros(0, np.uint64))
-    word = ~SPACE[buf]
+    word = ~between[buf]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     edge[[0, n]] = True
@@ -82,3 +83,15 @@ def words_of(buf: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
     end = np.flatnonzero(word & (edge[1:] | ~np.r_[word[1:], False])) + 1
     doc = np.searchsorted(offsets, start, "right") - 1
     return Words(start, end, doc, np.searchsorted(start, offsets), span_hashes(LOWER[buf] if lower else buf, start, end))
+
+
+def stretches(buf: np.ndarray, between: np.ndarray = SPACE, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of about `limit` bytes that end behind a byte of `between`, so that long texts are read piece by piece."""
+    at, n = 0, len(buf)
+    while at < n:
+        to = min(n, at + limit)
+        while to < n and not between[buf[to - 1]]:
+            gap = np.flatnonzero(between[buf[to : to + limit]])
+            to = to + int(gap[0]) + 1 if len(gap) else min(n, to + limit)
+        yield at, to
+        at = to
