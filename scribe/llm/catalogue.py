@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, embeddings, mixing, neardup, packing, pii, pipeline, quality, repetition, search, suffixes, urls
+from . import alignment, chat, embeddings, mixing, neardup, packing, pii, pipeline, quality, repetition, search, suffixes, urls
 from .common import saved, table
 
 
@@ -48,6 +48,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokens(table(spark, sf_dir, "documents"))
+
+
 def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -64,6 +68,7 @@ QUERIES = {
     "op8_mixing_sources": op8_mixing_sources,
     "op9_pii": op9_pii,
     "op10_packing": op10_packing,
+    "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
     "op12_ranked_lexical_search": op12_ranked_lexical_search,
 }
 
