@@ -17,7 +17,7 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from .common import forget, saved
 from .packing import load_encoder
-from .textbytes import pieces, texts_of
+from .textbytes import decimals, pieces, texts_of
 
 #: Before a blank that follows anything else both vocabularies begin a new token, so long texts are cut there.
 CUT = re.compile(r"(?<=[!-~]) ")
@@ -91,23 +91,6 @@ def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([one, two[two["start"] < two["at"]]], ignore_index=True)[["a", "end_a", "b", "end_b"]]
 
 
-#: Five digits of every id below 100,000, the place of what follows, and which of them are written.
-DIGITS = np.full((100_000, 6), 48, np.uint8)
-for _k in range(5):
-    DIGITS[:, _k] += (np.arange(100_000) // 10 ** (4 - _k) % 10).astype(np.uint8)
-WRITTEN = np.ones((100_000, 6), bool)
-for _k in range(4):
-    WRITTEN[:, _k] = np.arange(100_000) >= 10 ** (4 - _k)
-
-
-def decimals(ids: np.ndarray, after: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes of the ids in decimal, each followed by a byte; where each one ends)."""
-    rows = DIGITS[ids]
-    rows[:, 5] = after
-    keep = WRITTEN[ids]
-    return rows[keep], np.cumsum(keep.sum(1))
-
-
 @dataclass
 class Aligned:
     """What align() finds in a list of stretches: per stretch the overlaps and groups, its part of the digest, links in order."""

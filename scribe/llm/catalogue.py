@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, chat, embeddings, mixing, neardup, packing, pii, pipeline, quality, repetition, search, suffixes, urls
+from . import alignment, chat, chunks, embeddings, mixing, neardup, packing, pii, pipeline, quality, repetition, search, suffixes, urls
 from .common import saved, table
 
 
@@ -56,6 +56,10 @@ def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.encode_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "pipeline": pipeline.run,
     "op1_quality_classifier": op1_quality_classifier,
@@ -70,6 +74,7 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
     "op12_ranked_lexical_search": op12_ranked_lexical_search,
+    "op13_bpe_encoding": op13_bpe_encoding,
 }
 
 ORACLES = {

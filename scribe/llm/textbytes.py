@@ -95,3 +95,20 @@ def stretches(buf: np.ndarray, between: np.ndarray = SPACE, limit: int = 1 << 20
             to = to + int(gap[0]) + 1 if len(gap) else min(n, to + limit)
         yield at, to
         at = to
+
+
+#: Five digits of every id below 100,000, the place of what follows, and which of them are written.
+DIGITS = np.full((100_000, 6), 48, np.uint8)
+for _k in range(5):
+    DIGITS[:, _k] += (np.arange(100_000) // 10 ** (4 - _k) % 10).astype(np.uint8)
+WRITTEN = np.ones((100_000, 6), bool)
+for _k in range(4):
+    WRITTEN[:, _k] = np.arange(100_000) >= 10 ** (4 - _k)
+
+
+def decimals(ids: np.ndarray, after: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of the ids in decimal, each followed by a byte; where each one ends)."""
+    rows = DIGITS[ids]
+    rows[:, 5] = after
+    keep = WRITTEN[ids]
+    return rows[keep], np.cumsum(keep.sum(1))
