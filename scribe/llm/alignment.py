@@ -19,8 +19,8 @@ from .common import forget, saved
 from .packing import load_encoder
 from .textbytes import decimals, pieces, texts_of
 
-#: Before a blank that follows anything else both vocabularies begin a new token, so long texts are cut there.
-CUT = re.compile(r"(?<=[!-~]) ")
+#: Before a blank between other plain characters both vocabularies begin a new token, so long texts are cut there.
+CUT = re.compile(r"(?<=[!-~]) (?=[!-~])")
 
 
 class Pieces:

@@ -45,7 +45,7 @@ def chunk_ends(buf: np.ndarray, offsets: np.ndarray, limit: int = 1 << 20) -> tu
     ends = np.unique(ends)
     start = offsets[np.searchsorted(offsets, ends - 1, "right") - 1]
     ends, start = ends[ends - start >= WINDOW], start[ends - start >= WINDOW]
-    ends = ends[np.diff(ends, prepend=-LEAST) >= LEAST]
+    ends = ends[(np.diff(ends, prepend=-LEAST) >= LEAST) | (np.diff(start, prepend=-1) > 0)]
     ends = np.unique(np.concatenate([ends, offsets[1:][np.diff(offsets) > 0]]))
     return ends, np.searchsorted(ends, offsets, "right")
 
