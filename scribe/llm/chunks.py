@@ -280,9 +280,9 @@ def encode_documents(documents: DataFrame, vocabulary: str | None = None) -> Dat
     without documents there is no row.
     """
     repeated = hash_filter(repeated_chunks(documents), "h", FILTER_BITS)
-    scanned = saved(scan(documents, repeated, vocabulary), "scanned")
+    scanned = saved(scan(documents, repeated, vocabulary), "scanned", "zstd")
     waiting = scanned.where("text is not null")
-    uses = saved(uses_of(waiting, repeated), "uses")
+    uses = saved(uses_of(waiting, repeated), "uses", "zstd")
     chunks = uses.where("chunk is not null").dropDuplicates(["key"])
     known = saved(encode_chunks(chunks, vocabulary), "chunks")
     sent = uses.select("row", "place", "key").join(known, "key")

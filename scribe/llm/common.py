@@ -33,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def saved(df: DataFrame, tag: str) -> DataFrame:
+def saved(df: DataFrame, tag: str, codec: str | None = None) -> DataFrame:
     """Cuts the lineage by a Parquet table in the shared folder; the write's own shuffle files go when it is done.
 
     An aggregate that is to meet a hot key in a join is saved first: Spark splits a join's large partitions only where
@@ -44,7 +44,7 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     back = spark.read.parquet(path)
