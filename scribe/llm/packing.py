@@ -52,8 +52,8 @@ def tokenise(documents: DataFrame, length: int = 2048, vocabulary: str | None =
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def best_pattern(price: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
-    """Unbounded knapsack by dynamic programming: counts of the sizes that fit `room` at the highest total price."""
+def best_fills(price: np.ndarray, sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack by dynamic programming: the highest price for every width up to `room`, and the size put in last."""
     best, last = np.zeros(room + 1), np.full(room + 1, -1)
     fits = np.searchsorted(sizes, np.arange(room + 1), "right")
     for w in range(int(sizes[0]), room + 1):
@@ -63,14 +63,20 @@ def best_pattern(price: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float
             best[w], last[w] = offer[k], k
         else:
             best[w] = best[w - 1]
-    counts, left = np.zeros(len(sizes), np.int64), room
+    return best, last
+
+
+def filled(last: np.ndarray, sizes: np.ndarray, width: int, first: int) -> np.ndarray:
+    """Counts of the sizes in the best fill of `width` by best_fills(), `first` put in before."""
+    counts = np.zeros(len(sizes))
+    counts[first], left = 1, width - int(sizes[first])
     while left > 0:
         if last[left] < 0:
             left -= 1
         else:
             counts[last[left]] += 1
             left -= int(sizes[last[left]])
-    return float(best[room]), counts
+    return counts
 
 
 def fullest(left: np.ndarray, sizes: np.ndarray, room: int) -> np.ndarray:
@@ -92,48 +98,76 @@ def fullest(left: np.ndarray, sizes: np.ndarray, room: int) -> np.ndarray:
     return counts
 
 
-def cutting_patterns(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = 0.002, rounds: int | None = None) -> list[tuple[np.ndarray, int]]:
+def cutting_patterns(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = 0.0003, rounds: int | None = None) -> list[tuple[np.ndarray, int]]:
     """[(pieces of each size, how many sequences)], together exactly the demand.
 
     Column generation: the linear program (cover every size's demand by as few patterns as can be) starts from patterns
-    of one size each and is kept as an explicit basis inverse. Each round prices the patterns by a knapsack and lets the
-    best one enter; where a size's price turns negative its surplus enters instead, at no cost. It ends when no pattern
-    prices above 1 + gap, or the value is within `gap` of the best bound so far, value / best price and the total size
-    being two; some three rounds a size do. `rounds` limits them for tests. Patterns are rounded down and what is left,
-    less than one sequence for each pattern, is packed sequence by sequence, each as full as can be.
+    of one size each and is kept as an explicit basis inverse. A pool holds the columns found so far: at first those
+    that fill sequence after sequence as full as can be; each round adds what a knapsack prices highest, the best
+    pattern with each size in it, under prices half way between the program's and those of the best bound. Of the pool
+    the best column enters until none prices above 1 + gap / 4; where a size's price turns negative its surplus enters
+    instead, at no cost. It ends when the value is within `gap` of the best bound, value / best price and the total
+    size being two, or the knapsack finds no column. `rounds` limits the columns that enter, for tests. Patterns are
+    rounded down and what is left, less than one sequence for each pattern, is packed sequence by sequence, each as full
+    as can be.
     """
     m = len(sizes)
     if not m:
         return []
     each = (room // sizes).astype(float)
     basis, inverse, cost = np.diag(each), np.diag(1 / each), np.ones(m)
+    price, x, entered = 1 / each, demand / each, 0
+    most_entered = 60 * m + 60 if rounds is None else rounds
 
-    def enter(column: np.ndarray, price: float) -> bool:
-        step = inverse @ column
+    def enter(column: np.ndarray, own: float) -> bool:
+        nonlocal price, x, entered
+        used = np.flatnonzero(column)
+        step = inverse[:, used] @ column[used]
         ok = step > 1e-9
         if not ok.any():
             return False
-        x = np.maximum(inverse @ demand, 0)
         out = int(np.argmin(np.where(ok, x / np.where(ok, step, 1), np.inf)))
-        basis[:, out], cost[out] = column, price
-        row = inverse[out] / step[out]
+        row, many = inverse[out] / step[out], x[out] / step[out]
+        price = price + (own - price[used] @ column[used]) * row
+        x = np.maximum(x - many * step, 0)
+        x[out] = many
+        basis[:, out], cost[out] = column, own
         step[out] -= 1
-        inverse[:] -= np.outer(step, row)
+        np.subtract(inverse, step[:, None] * row, out=inverse)
+        entered += 1
+        if entered % 1000 == 0:  # against drift
+            inverse[:] = np.linalg.inv(basis)
+            price, x = cost @ inverse, np.maximum(inverse @ demand, 0)
         return True
 
-    bound = float(sizes @ demand / room)
-    for k in range(60 * m + 60 if rounds is None else rounds):
-        if k % 200 == 199:  # against drift
-            inverse[:] = np.linalg.inv(basis)
-        price, value = cost @ inverse, float(cost @ inverse @ demand)
-        if value <= bound * (1 + gap):
-            break
-        low = int(np.argmin(price))
-        if price[low] < -1e-7 and enter(-np.eye(m)[low], 0.0):
-            continue
-        most, column = best_pattern(np.maximum(price, 0), sizes, room)
-        bound = max(bound, value / most)
-        if most <= 1 + gap or not enter(column.astype(float), 1.0):
+    left, pool = demand.astype(np.int64), []
+    while left.any():
+        counts = fullest(left, sizes, room)
+        left = left - counts * int((left[counts > 0] // counts[counts > 0]).min())
+        pool.append(counts)
+    pool = np.array(pool, float)
+    centre, bound, weight = sizes / room, float(sizes @ demand / room), 0.5
+    while entered < most_entered:
+        smooth = weight * centre + (1 - weight) * np.maximum(price, 0)
+        best, last = best_fills(smooth, sizes, room)
+        if smooth @ demand / best[room] > bound:
+            bound, centre = float(smooth @ demand / best[room]), smooth / best[room]
+        columns = np.array([filled(last, sizes, room, j) for j in np.argsort(-(smooth + best[room - sizes]))[:100].tolist()])
+        new = columns[columns @ price > 1 + gap / 2]
+        if not len(new):
+            if not weight:
+                break
+            weight = weight / 2 if weight > 0.05 else 0.0
+        pool = np.concatenate([pool, new])
+        while entered < most_entered and float(cost @ x) > bound * (1 + gap):
+            offers, low = pool @ price, int(np.argmin(price))
+            k = int(np.argmax(offers))
+            if price[low] < -1e-7 and -price[low] > offers[k] - 1:
+                if not enter(-np.eye(m)[low], 0.0):
+                    break
+            elif offers[k] <= 1 + gap / 4 or not enter(pool[k], 1.0):
+                break
+        if float(cost @ x) <= bound * (1 + gap):
             break
     x = np.where(cost > 0, np.linalg.solve(basis, demand), 0)
     plan, left = [], demand.astype(np.int64).copy()
@@ -165,8 +199,9 @@ def pack(documents: DataFrame, length: int = 2048, unit: int = 4, vocabulary: st
     pieces = saved(tokenise(documents, length, vocabulary), "pieces")
     spark = pieces.sparkSession
     class_of = F.ceil(F.col("length") / unit).cast("long")
-    key = F.xxhash64("doc_id", "start", "ids_crc32")
-    keyed = pieces.select("*", class_of.alias("class"), F.monotonically_increasing_id().alias("row"), key.alias("key"))
+    # the row's number is part of the key, so that equal rows are dealt to all buckets; the saved table numbers rows alike again
+    keyed = pieces.select("*", class_of.alias("class"), F.monotonically_increasing_id().alias("row"))
+    keyed = keyed.withColumn("key", F.xxhash64("doc_id", "start", "ids_crc32", "row"))
     counts = keyed.groupBy("class").count().orderBy("class").collect()
     if not counts:
         return pieces.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(length).cast("long").alias("padded"))
