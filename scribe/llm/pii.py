@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -26,17 +27,18 @@ IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOOSE = {
-    "email_spelled": re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63} ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z0-9-]{1,63}){1,8}"),
     "phone_local": re.compile(r"(?<![0-9+.)-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[.-][0-9]{4}(?![0-9-])"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
 }
+AT = re.compile(r" ?(?:\[at\]|\(at\)) ?")
+SPELLED = re.compile(r"[A-Za-z0-9-]+(?: ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z0-9-]+)+")
 #: A secret is a run of these characters with letters and digits, or what is assigned to a word that names one.
 RUN = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 IN_RUN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
 DIGITS = re.compile(r"[0-9]+")
 ASSIGN = re.compile(r"[:=]")
 NAMED = re.compile(r"(?:password|passwd|pwd|passwort|contraseña|secret|token|api[_-]?key)['\"]?\s{0,4}$", re.I)
-VALUE = re.compile(r"\s{0,4}['\"]?([^\s'\"]{8,64})")
+VALUE = re.compile(r"\s{0,4}['\"]?([^\s'\"]{8,})")
 # Gazetteers: endings of mail domains, first digits of card issuers, beginnings of keys that services hand out, fillers.
 ENDINGS = frozenset("com org net edu gov io co info biz de fr es uk us eu".split())
 ISSUERS = ("4", "51", "52", "53", "54", "55", "34", "37", "6011", "65", "35")
@@ -104,8 +106,29 @@ def matches(text: str) -> list[tuple[str, int, int, bool]]:
     return out
 
 
+def spelled_emails(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses with the signs as words in brackets, found from each [at] outwards, so that long runs are walked once."""
+    last = 0
+    for m in AT.finditer(text):
+        start, domain = m.start(), SPELLED.match(text, m.end())
+        while start > last and text[start - 1] in LOCAL:
+            start -= 1
+        while start < m.start() and not text[start].isalnum():
+            start += 1
+        if domain and start < m.start():
+            last = domain.end()
+            yield start, last
+
+
 def secrets(text: str) -> Iterator[tuple[int, int]]:
-    """Runs of 16 to 512 characters with a letter and a digit, and values of 8 to 64 characters assigned to a name for secrets."""
+    """Whole values of 8 characters or more assigned to a name for secrets, and runs of 16 or more with a letter and a digit."""
+    last = 0
+    for m in ASSIGN.finditer(text):
+        if m.start() >= last and NAMED.search(text[max(0, m.start() - 24) : m.start()]):
+            value = VALUE.match(text, m.end())
+            if value:
+                last = value.end()
+                yield value.span(1)
     last = 0
     for m in DIGITS.finditer(text):
         start = m.start()
@@ -113,28 +136,41 @@ def secrets(text: str) -> Iterator[tuple[int, int]]:
             while start > last and text[start - 1] in IN_RUN:
                 start -= 1
             last = RUN.match(text, start).end()
-            if 16 <= last - start <= 512 and any(c.isalpha() for c in text[start:last]):
+            if last - start >= 16 and any(c.isalpha() for c in text[start:last]):
                 yield start, last
-    for m in ASSIGN.finditer(text):
-        if NAMED.search(text[max(0, m.start() - 24) : m.start()]):
-            value = VALUE.match(text, m.end())
-            if value:
-                yield value.span(1)
 
 
 def loose(text: str, base: list[tuple[str, int, int, bool]]) -> list[tuple[str, int, int, bool]]:
-    """Candidates of the added kinds that touch no base span."""
-    taken, out = sorted((a, b) for _, a, b, ok in base if ok), []
+    """Candidates of the added kinds that touch no base span and no candidate before them.
+
+    A secret may hold base spans inside: digits of a long one pass the test for cards by chance, and the rest of it
+    must not stay.
+    """
+    out: list[tuple[str, int, int, bool]] = []
+    held = ([], [])  # starts and ends of the base spans, those that overlap as one
+    for start, end in sorted((a, b) for _, a, b, ok in base if ok):
+        if held[1] and start < held[1][-1]:
+            held[1][-1] = max(held[1][-1], end)
+        else:
+            held[0].append(start)
+            held[1].append(end)
+    taken = ([], [])
 
     def offer(kind: str, start: int, end: int) -> None:
-        if not any(start < b and a < end for a, b in taken):
+        i, j = bisect.bisect_right(held[1], start), bisect.bisect_left(held[0], end)
+        inside = i < j and kind == "secret" and start <= held[0][i] and held[1][j - 1] <= end and end - start > held[1][j - 1] - held[0][i]
+        k = bisect.bisect_right(taken[1], start)
+        if (i == j or inside) and k == bisect.bisect_left(taken[0], end):
             out.append((kind, start, end, True))
-            taken.append((start, end))
+            taken[0].insert(k, start)
+            taken[1].insert(k, end)
 
+    if "at]" in text or "at)" in text:
+        for start, end in spelled_emails(text):
+            offer("email_spelled", start, end)
     for kind, pattern in LOOSE.items():
-        if kind != "email_spelled" or "at]" in text or "at)" in text:
-            for m in pattern.finditer(text):
-                offer(kind, *m.span())
+        for m in pattern.finditer(text):
+            offer(kind, *m.span())
     for start, end in secrets(text):
         offer("secret", start, end)
     return out
@@ -195,7 +231,7 @@ def slots_of(text: str, kind: str, start: int, end: int) -> list[int]:
     the spans, and then holds where the labelers are silent.
     """
     said = text[start:end]
-    shape = "".join("d" if c.isdigit() else "x" if c in "abcdef" else "l" if c.islower() else "U" if c.isupper() else c for c in said[:64])
+    shape = "".join("d" if c.isdigit() else "x" if c in "abcdef" else "l" if c.islower() else "U" if c.isupper() else c for c in said)
     left, right = re.findall(r"\w+|[^\w\s]", text[max(0, start - 48) : start].lower())[-4:], re.findall(r"\w+|[^\w\s]", text[end : end + 24].lower())[:2]
     names = {f"kind {kind}", f"{kind} {min(len(said), 64) // 4}", f"{kind} variety {int(2 * entropy(said))}", f"classes {''.join(sorted(set(shape)))[:12]}"}
     names |= {f"shape {shape[i : i + 2]}" for i in range(len(shape) - 1)} | {f"left {w}" for w in left} | {f"right {w}" for w in right}
