@@ -1,7 +1,8 @@
 """The registered queries of the library and their DuckDB counterparts.
 
-All run over whole tables. Texts are scored as lines of forty words, because edit distances are quadratic in the length.
-DuckDB's edit distance counts bytes, so its side writes each distinct character of a pair as one byte.
+All run over whole tables. Some score texts as lines of forty words, which is what a line recogniser gives; the whole_text
+queries score whole texts. DuckDB's edit distance counts bytes, so its side writes each distinct character of a pair as
+one byte; word distances of whole texts have more distinct words than that and are tested against a plain table.
 """
 
 from __future__ import annotations
@@ -90,6 +91,37 @@ def worst_samples(spark, sf_dir):
     return rounded(out.select("sample_id", "reference", "prediction", "cer", "wer", F.col("char_edits").cast("long").alias("char_edits")))
 
 
+WHOLE_SQL = r"""
+WITH p AS (SELECT doc_id, lang, trim(regexp_replace(text, '\s+', ' ', 'g')) AS reference,
+  trim(regexp_replace(replace(replace(replace(replace(replace(text, 'th', 't'), ' of', ''), 'é', 'e'), 'ß', 'ss'), 'ñ', 'n'), '\s+', ' ', 'g')) AS prediction FROM documents WHERE text IS NOT NULL),
+l AS (SELECT *, list_distinct(string_split(reference || prediction, '')) AS letters FROM p),
+m AS (SELECT doc_id, lang, reference, prediction, length(reference) AS ref_chars, levenshtein(array_to_string(list_transform(string_split(reference, ''), lambda z: chr(list_position(letters, z)::INT)), ''),
+  CASE WHEN prediction = '' THEN '' ELSE array_to_string(list_transform(string_split(prediction, ''), lambda z: chr(list_position(letters, z)::INT)), '') END) AS char_edits FROM l WHERE reference <> '')
+"""
+
+
+def whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts with predictions that lose letters, words and accents."""
+    d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("sample_id"), "lang", F.col("text").alias("reference"))
+    lost = F.col("reference")
+    for said, read in (("th", "t"), (" of", ""), ("é", "e"), ("ß", "ss"), ("ñ", "n")):
+        lost = F.replace(lost, F.lit(said), F.lit(read))
+    return d.where(text.collapse(F.col("reference")) != "").withColumn("prediction", lost)
+
+
+@query(WHOLE_SQL + """SELECT lang, count(*) AS num_samples, sum(char_edits)::BIGINT AS total_char_edits, sum(ref_chars)::BIGINT AS total_ref_chars, round(sum(char_edits) / sum(ref_chars), 9) AS cer,
+  round(avg(char_edits / ref_chars), 9) AS cer_macro, round(avg((reference = prediction)::DOUBLE), 9) AS sequence_accuracy FROM m GROUP BY lang""")
+def whole_text_metrics(spark, sf_dir):
+    out = metrics.grouped_metrics(metrics.sample_metrics(whole_texts(spark, sf_dir), normalise=False), "lang", normalise=False).where("level = 0")
+    return rounded(out.select("lang", "num_samples", "total_char_edits", "total_ref_chars", "cer", "cer_macro", "sequence_accuracy"))
+
+
+@query(None)
+def whole_text_words(spark, sf_dir):
+    """Word and normalised figures of every whole text; a test holds them against a plain table."""
+    return metrics.sample_metrics(whole_texts(spark, sf_dir)).select("sample_id", "word_edits", "ref_words", "norm_edits", "norm_chars")
+
+
 # --- corpora -------------------------------------------------------------------------------------------------------
 
 LINES_SQL = r"""

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scribe.functions.distance import char_distance, word_distance
 from scribe.functions.text import normalize_text
 
-#: Private code points that stand for the words of one pair; enough for lines and pages, see word_edits().
-FIRST, LAST = 0x3400, 0xD7FF
+#: Pairs with so many cells in their table are left to the built-in distance.
+SHORT = 1 << 20
 
 
 def words(text: Column) -> Column:
@@ -16,30 +17,17 @@ def words(text: Column) -> Column:
 
 
 def char_edits(reference: Column, prediction: Column) -> Column:
-    return F.levenshtein(reference, prediction)
+    """Edit distance in code points, of texts of any length.
 
-
-def word_edits(reference: Column, prediction: Column) -> Column:
-    """Edit distance between word lists: each distinct word of the pair becomes one character.
-
-    Texts of more than 42,000 distinct words are refused.
+    The built-in is quadratic, so only pairs of some thousand characters stay with it; the others go through Arrow.
     """
-    a, b = words(reference), words(prediction)
-    # a transform over one struct binds the word list once; inside the inner lambdas it would be made anew for each word
-    pair = F.array(F.struct(a.alias("a"), b.alias("b"), F.array_distinct(F.concat(a, b)).alias("names")))
+    long = F.length(reference) * F.length(prediction).cast("long") > SHORT
+    return F.coalesce(char_distance(F.when(long, reference), F.when(long, prediction)), F.when(~long, F.levenshtein(reference, prediction)))
 
-    def edits(p: Column) -> Column:
-        code = lambda ws: F.array_join(F.transform(ws, lambda w: _letter(F.array_position(p["names"], w))), "")
-        return F.when(F.size(p["names"]) > LAST - FIRST, F.raise_error(F.lit("too many distinct words")).cast("int")).otherwise(F.levenshtein(code(p["a"]), code(p["b"])))
 
-    return F.transform(pair, edits)[0]
-
-
-def _letter(position: Column) -> Column:
-    """One character of the Basic Multilingual Plane, from its three UTF-8 bytes."""
-    p = position.cast("int") + (FIRST - 1)
-    hexed = F.lpad(F.hex(F.lit(0xE08080) + F.shiftleft(F.shiftright(p, 12), 16) + F.shiftleft(F.shiftright(p, 6).bitwiseAND(F.lit(63)), 8) + p.bitwiseAND(F.lit(63))), 6, "0")
-    return F.decode(F.unhex(hexed), "UTF-8")
+def word_edits(reference: Column, prediction: Column) -> Column:
+    """Edit distance between word lists of any length."""
+    return word_distance(reference, prediction)
 
 
 def rate(edits: Column, length: Column, empty: Column) -> Column:

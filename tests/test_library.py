@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scribe import catalogue, catalogue_files  # noqa: F401
-from scribe.functions import geometry, scoring, text
+from scribe.functions import distance, geometry, scoring, text
 from scribe.operators import contrastive, corpus, latency, layout, metrics, runs, sequence
 from scribe.plans import prepare, recognise, reports
 from scribe.sources import images, labels, manifests, store
@@ -51,6 +51,44 @@ def test_word_edits_like_a_plain_table(spark):
     assert all(g["n"] == plain(g["a"].split(), g["b"].split()) for g in got)
 
 
+def plain_distance(a, b):
+    d = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        p, d[0] = d[0], i + 1
+        for j, y in enumerate(b):
+            p, d[j + 1] = d[j + 1], min(d[j + 1] + 1, d[j] + 1, p + (x != y))
+    return d[-1]
+
+
+def test_edit_distance_of_long_texts(spark):
+    r = random.Random(2)
+    for _ in range(1500):
+        a, b = ("".join(r.choice("aéß ") for _ in range(r.randrange(40))) for _ in range(2))
+        if r.random() < 0.4:
+            b = a[: r.randrange(len(a) + 1)] + b[:4] + a[r.randrange(len(a) + 1) :]
+        for strip in (1, 3, 7, 64):
+            assert distance.edit_distance(a, b, strip) == plain_distance(a, b)
+    words = [f"w{i}" for i in range(60_000)]  # more distinct words than there are letters to stand for them
+    changed = [w for i, w in enumerate(words) if i % 20_000 != 7] + ["end"]
+    assert distance.edit_distance(words, changed) == 4
+    long = "".join(r.choice("abcdé ") for _ in range(3000))
+    other = long[:500] + "x" + long[520:2000] + long[2001:]
+    row = texts(spark, [(long, other), (None, "a"), ("", "b")], "a", "b").select(scoring.char_edits(F.col("a"), F.col("b")).alias("c"), scoring.word_edits(F.col("a"), F.col("b")).alias("w")).collect()
+    assert row[0]["c"] == plain_distance(long, other) and row[0]["w"] == plain_distance(long.split(), other.split())
+    assert (row[1]["c"], row[1]["w"]) == (None, None) and (row[2]["c"], row[2]["w"]) == (1, 1)
+
+
+def test_whole_texts_like_a_plain_table(spark):
+    kept = catalogue.whole_texts(spark, SF).where("length(reference) < 1500")
+    got = metrics.sample_metrics(kept).collect()
+    clean = lambda t: "".join(c for c in t.lower() if c.isascii() and c.isalnum())
+    assert len(got) > 50
+    for x in got[:60]:
+        a, b = x["reference"], x["prediction"]
+        assert x["char_edits"] == plain_distance(a, b) and x["word_edits"] == plain_distance(a.split(), b.split()) and x["norm_edits"] == plain_distance(clean(a), clean(b))
+    assert any(not x["reference"].isascii() and x["char_edits"] for x in got)
+
+
 def pairs(spark, rows):
     return texts(spark, rows, "reference", "prediction").withColumn("sample_id", F.monotonically_increasing_id())
 
