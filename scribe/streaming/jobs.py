@@ -99,6 +99,84 @@ def early_stop_alerts(epochs: DataFrame, patience: int, mode: str = "min", min_d
     return epochs.groupBy("run_name").transformWithStateInPandas(EarlyStop(patience, mode, min_delta), "run_name string, stop_epoch long, best double", "Append", "None")
 
 
+class EarlyStopInOrder(StatefulProcessor):
+    """EarlyStop for epochs that come in any order: each waits until event time has passed it.
+
+    State of a run: its epochs that wait (a map), the values of the fold, and one timer. When the watermark passes the
+    earliest waiting epoch, all epochs that it has passed are folded in order. A run of which nothing has come for
+    `idle` milliseconds leaves no state.
+    """
+
+    def __init__(self, patience: int, mode: str, min_delta: float, idle: int):
+        self.fold, self.idle = (patience, mode, min_delta), idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("fold", "best double, waited int, stopped boolean, last long, timer long")
+        self.held = handle.getMapState("held", "at long, epoch long", "value double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        best, waited, stopped, last, timer = self.state.get() if self.state.exists() else (None, 0, False, 0, 0)
+        for part in rows:
+            for at, epoch, value in zip(part["ts"], part["epoch"], part["value"]):
+                at = int(at.timestamp() * 1000)
+                last = max(last, at)
+                if not stopped and value is not None and abs(value) < float("inf"):
+                    self.held.updateValue((at, int(epoch)), (float(value),))
+        self.state.update((best, waited, stopped, last, self.wake(timer, last, timerValues)))
+        yield from ()
+
+    def wake(self, timer: int, last: int, timerValues) -> int:
+        """Sets the timer to the earliest waiting epoch, or to where the run has been idle for long enough."""
+        waiting = [at for at, _ in self.held.keys()]
+        due = max(min(waiting) if waiting else last + self.idle, timerValues.getCurrentWatermarkInMs() + 1)
+        if timer != due:
+            if timer:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+        return due
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.state.exists():
+            return
+        now = timerValues.getCurrentWatermarkInMs()
+        best, waited, stopped, last, _ = self.state.get()
+        (patience, mode, min_delta), out = self.fold, []
+        sign = 1 if mode == "min" else -1
+        passed = sorted(((epoch, at), value[0]) for (at, epoch), value in self.held.iterator() if at <= now)
+        for (epoch, at), value in passed:
+            self.held.removeKey((at, epoch))
+            if stopped:
+                continue
+            if best is None or sign * value < sign * best - min_delta:
+                best, waited = value, 0
+            else:
+                waited += 1
+                if 1 <= patience <= waited:
+                    stopped = True
+                    out.append((key[0], epoch, best))
+        if not passed and now >= last + self.idle:
+            self.state.clear()
+        else:
+            self.state.update((best, waited, stopped, last, self.wake(0, last, timerValues)))
+        if out:
+            yield pd.DataFrame(out, columns=["run_name", "stop_epoch", "best"])
+
+    def close(self) -> None:
+        pass
+
+
+def early_stop_in_any_order(epochs: DataFrame, patience: int, mode: str = "min", min_delta: float = 1e-5, late: str = "1 hour", idle_days: float = 7) -> DataFrame:
+    """epochs(run_name, epoch, value, ts) -> (run_name, stop_epoch, best), one row when a run should stop.
+
+    Within `late` epochs may come in any order, also over micro-batches; those that come later still are left out. Times
+    must rise with epochs. An alert comes when the watermark has passed its epoch. The session needs the RocksDB state store.
+    """
+    rows = epochs.select("run_name", "epoch", "value", "ts").withWatermark("ts", late)
+    work = EarlyStopInOrder(patience, mode, min_delta, int(idle_days * 86_400_000))
+    return rows.groupBy("run_name").transformWithStateInPandas(work, "run_name string, stop_epoch long, best double", "Append", "EventTime")
+
+
 def ingest(labels: DataFrame, charset: Charset, most: int, good: str, rejected: str) -> DataStreamWriter:
     """Cleans labels(path, label) as they come, with the batch rules, into a table of good rows and one of rejects."""
     cleaned = corpus.clean_labels(labels, charset, most)
