@@ -6,9 +6,10 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from scribe.catalogue import ORACLES, REQUESTS_SQL, epochs, query, requests, rounded
-from scribe.operators import runs
+from scribe.operators import latency, quantiles, runs
 from scribe.session import scratch, table
 from scribe.sources import versions
+from scribe.sources.history import History, place_of
 from scribe.streaming import jobs, state
 
 ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
@@ -98,3 +99,74 @@ def stream_early_stop(spark, sf_dir):
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema("run_name string, stop_epoch long, best double").parquet(f"{path}/out")
+
+
+# --- exact percentiles ---------------------------------------------------------------------------------------------
+
+@query("""WITH b AS (SELECT event_type, event_id % 5 = 0 AS warm, value AS ms, event_id % 4 + 1 AS size, value / 10 AS load_ms, event_id % 11 = 0 AS failed FROM events), t AS (SELECT * FROM b WHERE NOT warm),
+e AS (SELECT event_type, ms / size AS each, unnest(range(size)) FROM t),
+q AS (SELECT event_type, quantile_cont(each, 0.5) AS median_ms, quantile_cont(each, 0.95) AS p95_ms FROM e GROUP BY event_type)
+SELECT event_type, sum(size)::BIGINT AS timed_samples, round(sum(ms) / sum(size), 6) AS avg_ms, round(any_value(median_ms), 6) AS median_ms, round(any_value(p95_ms), 6) AS p95_ms, round(sum(size) * 1000 / sum(ms), 6) AS throughput_per_s,
+  round(avg(load_ms) / 32, 6) AS avg_load_ms, count(*) FILTER (failed) AS failed FROM t JOIN q USING (event_type) GROUP BY event_type""")
+def latency_by_type(spark, sf_dir):
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    b = e.select("event_type", (k % 5 == 0).alias("warm"), F.col("value").alias("ms"), (k % 4 + 1).alias("size"), (F.col("value") / 10).alias("load_ms"), (k % 11 == 0).alias("failed"))
+    return rounded(latency.latency_stats(b, "event_type"), 6)
+
+
+@query("""WITH e AS (SELECT l_returnflag, l_extendedprice AS v, unnest(range(l_quantity::INT)) FROM lineitem)
+SELECT l_returnflag, round(quantile_cont(v, 0.01), 4) AS p01, round(quantile_cont(v, 0.5), 4) AS p50, round(quantile_cont(v, 0.999), 4) AS p999 FROM e GROUP BY l_returnflag""")
+def weighted_percentiles(spark, sf_dir):
+    out = quantiles.exact_percentiles(table(spark, sf_dir, "lineitem"), ["l_returnflag"], F.col("l_extendedprice"), F.col("l_quantity").cast("int"), {"p01": 0.01, "p50": 0.5, "p999": 0.999})
+    return rounded(out, 4)
+
+
+# --- pages and search of the history -------------------------------------------------------------------------------
+
+def history_of(spark: SparkSession, sf_dir: str) -> History:
+    made = History(spark, scratch(spark, "history"))
+    made.create(requests(spark, sf_dir), 12)
+    return made
+
+
+@query(REQUESTS_SQL + "SELECT id, created_at, model_id FROM q ORDER BY created_at DESC, id DESC LIMIT 150 OFFSET 400")
+def history_keyset_page(spark, sf_dir):
+    """Three pages of fifty rows, each from the cursor that the one before ended with, behind a page by its number."""
+    made = history_of(spark, sf_dir)
+    first = made.page(399, 1).select("id", "created_at")
+    cursor = first.select(place_of(F.col("created_at"), F.col("id")).alias("place")).first()["place"]
+    out = None
+    for _ in range(3):
+        rows, _files = made.after(cursor, 50)
+        cursor = rows.agg(F.min("place")).first()[0]
+        out = rows if out is None else out.unionByName(rows)
+    return out.select("id", "created_at", "model_id")
+
+
+@query(REQUESTS_SQL + "SELECT id, model_id, text FROM q WHERE lower(text) LIKE '%purch_se%' OR lower(original_filename) LIKE '%purch_se%' UNION ALL SELECT id, model_id, text FROM q WHERE lower(original_filename) LIKE '%\"k\": 42}%'")
+def history_trigram_search(spark, sf_dir):
+    made = history_of(spark, sf_dir)
+    return made.search("Purch_se").select("id", "model_id", "text").unionByName(made.search('"K": 42}').select("id", "model_id", "text"))
+
+
+# --- sliding statistics --------------------------------------------------------------------------------------------
+
+@query("""WITH e AS (SELECT date_trunc('day', ts) AS day, 'user-' || user_id AS model_id, value, event_id FROM events), w AS (SELECT day - to_days(k::INT) AS start, model_id, value FROM e, range(7) t(k))
+SELECT start::TIMESTAMP AS start, (start + INTERVAL 7 DAY)::TIMESTAMP AS "end", model_id, count(*) AS requests, round(avg(value), 6) AS avg_total_ms FROM w GROUP BY ALL""")
+def stream_sliding_statistics(spark, sf_dir):
+    """Seven-day windows of all requests, some a day late but before the watermark; rows that come too late count nowhere."""
+    rows = requests(spark, sf_dir).select(F.col("created_at").cast("timestamp").alias("created_at"), "model_id", "total_ms", "confidence")
+    path = scratch(spark, "sliding")
+    last = rows.agg(F.max("created_at")).first()[0]
+    at = lambda days: F.lit(last) + F.make_dt_interval(F.lit(days))
+    mark = rows.limit(1).select(at(60).alias("created_at"), F.lit("~").alias("model_id"), F.lit(0.0).alias("total_ms"), F.lit(0.0).alias("confidence"))
+    late = rows.withColumn("total_ms", F.lit(1e9))  # behind the mark's watermark: nothing of them may count
+    parts = [rows.where("pmod(unix_micros(created_at), 2) = 0"), rows.where("pmod(unix_micros(created_at), 2) <> 0"), mark, late, mark.withColumn("created_at", at(120))]
+    for k, part in enumerate(parts):
+        part.coalesce(1).write.mode("append").parquet(f"{path}/in/part={k}")
+    for k in range(len(parts)):
+        source = spark.readStream.schema(rows.schema).parquet(f"{path}/in/part={{{','.join(map(str, range(k + 1)))}}}")
+        running = jobs.sliding_statistics(source, late="40 days").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/c").outputMode("append").trigger(availableNow=True).start()
+        running.awaitTermination()
+    out = spark.read.parquet(f"{path}/out").where("model_id <> '~'")
+    return rounded(out.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "model_id", "requests", "avg_total_ms"), 6)

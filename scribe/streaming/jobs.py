@@ -25,6 +25,21 @@ def daily_statistics(requests: DataFrame, late: str = "1 day") -> DataFrame:
     return rolling_statistics(requests, "1 day", None, late)
 
 
+def sliding_statistics(requests: DataFrame, days: int = 7, late: str = "1 day") -> DataFrame:
+    """The counts and means of rolling_statistics() over `days` days that end with each day.
+
+    Requests are added up by day first; a closed day's one row for each model then goes to the `days` windows that hold
+    it. So no request is copied, and the state is a row for each open day and for each open window.
+    """
+    part = requests.withWatermark("created_at", late).groupBy(F.window("created_at", "1 day").alias("day"), "model_id")
+    sums = [F.count(F.lit(1)).alias("requests"), F.sum("total_ms").alias("ms"), F.count("total_ms").alias("timed"), F.sum("confidence").alias("sure"), F.count("confidence").alias("rated")]
+    by_day = part.agg(*sums).select(F.window_time("day").alias("at"), "model_id", "requests", "ms", "timed", "sure", "rated")
+    out = by_day.groupBy(F.window("at", f"{days} days", "1 day").alias("window"), "model_id")
+    mean = lambda a, b: F.try_divide(F.sum(a), F.sum(b))
+    out = out.agg(F.sum("requests").alias("requests"), mean("ms", "timed").alias("avg_total_ms"), mean("sure", "rated").alias("avg_confidence"))
+    return out.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "model_id", "requests", "avg_total_ms", "avg_confidence")
+
+
 def job_progress(events: DataFrame, path: str) -> DataStreamWriter:
     """Keeps the latest state of every job: each micro-batch writes the states of the jobs that it touches, merged.
 

@@ -7,8 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from scribe.operators import runs, sequence
-from scribe.sources import versions
+from scribe.operators import quantiles, runs, sequence
+from scribe.sources import history, versions
 from scribe.streaming import jobs, state
 
 
@@ -166,3 +166,56 @@ def test_shuffled_epochs_give_the_alerts_of_the_batch(spark):
             assert got == want
         assert len(got) <= 1
         assert handle.value.now is None and not handle.map and not handle.timers  # nothing is left of a run that is over
+
+
+def test_page_ten_thousand_opens_two_files_at_most(spark, folder):
+    made = history.History(spark, f"{folder}/h")
+    rows = spark.range(20_000).select("id", F.timestamp_seconds(F.col("id") % 5000 + 1_700_000_000).alias("created_at"), F.concat(F.lit("Text "), "id").alias("text"), F.lit("a%b.png").alias("original_filename"))
+    made.create(rows, 16)
+    order = [r["id"] for r in rows.orderBy(F.desc("created_at"), F.desc("id")).collect()]
+    for offset, size in ((0, 2), (19_998, 2), (10_000, 50), (1249, 3), (19_999, 10), (20_000, 5), (30_000, 5)):
+        page = made.page(offset, size)
+        assert [r["id"] for r in page.collect()] == order[offset : offset + size]
+        assert len(page.inputFiles()) <= 2
+    cursor, seen = None, []
+    for _ in range(4):
+        page, files = made.after(cursor, 200)
+        got = page.collect()
+        cursor, seen = got[-1]["place"], seen + [r["id"] for r in got]
+        assert len(files) <= 2
+    assert seen == order[:800]
+    page, files = made.after(history_place(order[10_000], rows), 200)
+    assert [r["id"] for r in page.collect()] == order[10_001:10_201] and len(files) <= 2
+    assert made.after(history_place(order[-1], rows), 5)[0].isEmpty()
+
+
+def history_place(id_, rows):
+    return rows.where(F.col("id") == id_).select(history.place_of(F.col("created_at"), F.col("id")).alias("p")).first()["p"]
+
+
+def test_search_skips_files_without_the_trigrams(spark, folder):
+    made = history.History(spark, f"{folder}/h")
+    word = F.when(F.col("id") == 4321, "needle ÄÖ").when(F.col("id") % 1000 == 7, "ab").otherwise("plain hay")
+    rows = spark.range(8000).select("id", F.timestamp_seconds("id").alias("created_at"), F.concat(word, F.lit(" of "), F.col("id")).alias("text"), F.lit(None).cast("string").alias("original_filename"))
+    made.create(rows, 16)
+    for text in ("NEEDLE", "n__dle", "eed%äö", "ab o", "4321", "ab", "%", "no such thing", "7999"):
+        got = sorted(r["id"] for r in made.search(text).collect())
+        assert got == sorted(r["id"] for r in runs.search(rows, text=text).collect()), text
+    assert len(made.candidates("needle")) == 1 and made.candidates("no such thing") == [] and made.candidates("ab") is None
+
+
+def test_percentiles_like_the_built_in(spark):
+    r = random.Random(4)
+    values = [r.choice([r.lognormvariate(0, 9), r.gauss(0, 1), float(r.randrange(5)), -1e308, 1e308, 5e-324, -0.0, 0.0]) for _ in range(4000)]
+    rows = [(r.choice(["a", "b", None]), v, r.randrange(0, 6)) for v in values] + [("one", 3.5, 1), ("none", None, 4), ("none", 1.0, 0), ("two", 1.0, 1), ("two", 2.0, 1)]
+    df = spark.createDataFrame(rows, "k string, v double, w int")
+    at = {"low": 0.0, "q": 0.123, "mid": 0.5, "high": 0.95, "top": 1.0}
+    got = {x["k"]: tuple(x[n] for n in at) for x in quantiles.exact_percentiles(df, ["k"], F.col("v"), F.col("w"), at).collect()}
+    want = df.where("v is not null and w > 0").groupBy("k").agg(*[F.percentile("v", p, F.col("w")).alias(n) for n, p in at.items()]).collect()
+    assert set(got) == {x["k"] for x in want} and "none" not in got
+    for x in want:
+        assert got[x["k"]] == pytest.approx(tuple(x[n] for n in at), rel=1e-12, abs=1e-300)
+    whole = quantiles.exact_percentiles(df, [], F.col("v"), F.col("w"), {"mid": 0.5}).first()["mid"]
+    assert whole == pytest.approx(df.where("w > 0").agg(F.percentile("v", 0.5, F.col("w"))).first()[0])
+    assert quantiles.exact_percentiles(df.limit(0), [], F.col("v"), F.col("w"), {"mid": 0.5}).first()["mid"] is None
+    assert quantiles.exact_percentiles(df.limit(0), ["k"], F.col("v"), F.col("w"), {"mid": 0.5}).count() == 0
