@@ -6,8 +6,10 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from scribe.catalogue import ORACLES, REQUESTS_SQL, epochs, query, requests, rounded
+from scribe.catalogue_files import PART_SQL, parts
 from scribe.operators import latency, quantiles, runs
 from scribe.session import scratch, table
+from scribe.sources import manifest_source as source
 from scribe.sources import versions
 from scribe.sources.history import History, place_of
 from scribe.streaming import jobs, state
@@ -170,3 +172,16 @@ def stream_sliding_statistics(spark, sf_dir):
         running.awaitTermination()
     out = spark.read.parquet(f"{path}/out").where("model_id <> '~'")
     return rounded(out.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "model_id", "requests", "avg_total_ms"), 6)
+
+
+# --- manifests as a data source ------------------------------------------------------------------------------------
+
+@query(PART_SQL + "SELECT path, label FROM p UNION ALL SELECT path, label FROM p WHERE split = 'val' UNION ALL SELECT path, label FROM p WHERE path LIKE 'img/1%'")
+def manifest_source(spark, sf_dir):
+    """Parts written as a manifest, more rows appended, read back in small splits, and once more with a filter on paths."""
+    path, p = scratch(spark, "manifest_source"), parts(spark, sf_dir)
+    source.write_rows(p.withColumn("path", F.replace("path", F.lit("/"), F.lit("\\"))), path)
+    source.write_rows(p.where("split = 'val'"), path, "append")
+    read = lambda: spark.read.format("manifest").option("split", 5000).load(path)
+    some = read().where(F.col("path").startswith("img/1")).select("path", "label").distinct()
+    return read().select("path", "label").unionByName(some)
