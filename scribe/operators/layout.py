@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from scribe.functions.geometry import area, centre_y, padded, same_row
-
-BOX = "struct<y:int,x:int,idx:int,width:int,height:int>"
+from scribe.functions import sweep
+from scribe.functions.geometry import area, centre_y, padded
 
 
 def boxes_of(boxes: DataFrame) -> DataFrame:
@@ -17,59 +16,19 @@ def boxes_of(boxes: DataFrame) -> DataFrame:
     return boxes.groupBy("page_id").agg(F.array_sort(F.collect_list(box)).alias("boxes"))
 
 
-def crosses_gutter(a: Column, b: Column, gutters: Column) -> Column:
-    """Whether a gutter lies in the gap between two boxes."""
-    start = F.when(a["x"] <= b["x"], a["x"] + a["width"]).otherwise(b["x"] + b["width"])
-    end = F.greatest(a["x"], b["x"])
-    return F.exists(gutters, lambda g: (g["a"] < end) & (g["b"] > start))
-
-
-def first_fit(rows: Column, fits, put) -> Column:
-    """The state with `put` applied to its first member that fits, or with None, to a new one."""
-    hit = F.get(F.filter(F.transform(rows, lambda r, i: F.when(fits(r), i)), lambda i: i.isNotNull()), F.lit(0))
-    changed = F.transform(rows, lambda r, i: F.when(i == hit, put(r)).otherwise(r))
-    return F.when(hit.isNull(), F.concat(rows, F.array(put(None)))).otherwise(changed)
-
-
 def group_rows(pages: DataFrame) -> DataFrame:
     """Adds `rows`: arrays of boxes, first fit in (y, x) order against each row's last member, then sorted.
 
-    Members go by x, rows by their least y; ties keep the order in which they were made.
+    Members go by x, rows by their least y; ties keep the order in which they were made. A sweep down each page, with
+    only the rows beside the next box open.
     """
-
-    def step(rows: Column, box: Column) -> Column:
-        def fits(row: Column) -> Column:
-            last = F.element_at(row, -1)
-            return same_row(last, box) & ~crosses_gutter(last, box, F.col("gutters"))
-
-        return first_fit(rows, fits, lambda row: F.array(box) if row is None else F.concat(row, F.array(box)))
-
-    grouped = F.aggregate("boxes", F.array().cast(f"array<array<{BOX}>>"), step)
-    ordered = F.transform(grouped, lambda row: F.array_sort(row, lambda p, q: F.when(p["x"] != q["x"], p["x"] - q["x"]).when(p["y"] != q["y"], p["y"] - q["y"]).otherwise(p["idx"] - q["idx"])))
-    keyed = F.transform(ordered, lambda row, i: F.struct(F.array_min(F.transform(row, lambda b: b["y"])).alias("y"), i.alias("i"), row.alias("row")))
-    return pages.withColumn("rows", F.transform(F.array_sort(keyed), lambda k: k["row"]))
+    return pages.withColumn("rows", sweep.rows_of_page("boxes", "gutters"))
 
 
 def merge_boxes(pages: DataFrame, char_height: Column | float, max_gap_ratio: float = 3.0) -> DataFrame:
     """Joins boxes of one line that are near each other and not parted by a gutter; up to four passes to a fixed point."""
     near = (F.lit(char_height) if not isinstance(char_height, Column) else char_height) * max_gap_ratio
-
-    def union(a: Column, b: Column) -> Column:
-        x, y = F.least(a["x"], b["x"]), F.least(a["y"], b["y"])
-        right = F.greatest(a["x"] + a["width"], b["x"] + b["width"])
-        low = F.greatest(a["y"] + a["height"], b["y"] + b["height"])
-        return F.struct(y.alias("y"), x.alias("x"), F.least(a["idx"], b["idx"]).alias("idx"), (right - x).alias("width"), (low - y).alias("height"))
-
-    def step(state: Column, box: Column) -> Column:
-        def fits(e: Column) -> Column:
-            gap = F.greatest(e["x"], box["x"]) - F.when(e["x"] <= box["x"], e["x"] + e["width"]).otherwise(box["x"] + box["width"])
-            return same_row(e, box) & (gap <= near) & ~crosses_gutter(e, box, F.col("gutters"))
-
-        return first_fit(state, fits, lambda e: box if e is None else union(e, box))
-
-    for _ in range(4):
-        pages = pages.withColumn("boxes", F.array_sort(F.aggregate("boxes", F.array().cast(f"array<{BOX}>"), step)))
-    return pages
+    return pages.withColumn("boxes", sweep.merged_of_page("boxes", "gutters", near.cast("double")))
 
 
 def find_gutters(boxes: DataFrame, pages: DataFrame) -> DataFrame:
@@ -116,16 +75,7 @@ def row_bands(profile: DataFrame, width: Column | int) -> DataFrame:
     runs = inked.withColumn("island", island).groupBy("page_id", "island").agg(F.min("row").alias("begin"), (F.max("row") + 1).alias("end"))
     pages = runs.groupBy("page_id").agg(F.percentile(F.col("end") - F.col("begin"), 0.5).alias("typical"), F.array_sort(F.collect_list(F.struct(F.col("begin").cast("long").alias("begin"), F.col("end").cast("long").alias("end")))).alias("runs"))
 
-    def step(state: Column, run: Column) -> Column:
-        last = F.get(state, F.size(state) - 1)
-        near = run["begin"] - last["end"] <= F.greatest(F.lit(1.0), F.col("typical") * 0.22)
-        thin = last["end"] - last["begin"] <= F.greatest(F.lit(3.0), F.col("typical") * 0.45)
-        joins = (F.size(state) > 0) & near & thin
-        joined = F.concat(F.slice(state, F.lit(1), F.size(state) - 1), F.array(F.struct(last["begin"].alias("begin"), run["end"].alias("end"))))
-        return F.when(joins, joined).otherwise(F.concat(state, F.array(run)))
-
-    merged = F.aggregate("runs", F.array().cast("array<struct<begin:bigint,end:bigint>>"), step)
-    return pages.select("page_id", F.explode(F.filter(merged, lambda r: r["end"] - r["begin"] >= 3)).alias("band")).select("page_id", "band.begin", "band.end")
+    return pages.select("page_id", F.explode(sweep.bands_of_page("runs", "typical")).alias("band")).select("page_id", "band.begin", "band.end")
 
 
 def assemble_text(pages: DataFrame) -> DataFrame:

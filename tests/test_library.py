@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scribe import catalogue, catalogue_files, catalogue_state  # noqa: F401
-from scribe.functions import distance, geometry, scoring, text
+from scribe.functions import distance, geometry, scoring, sweep, text
 from scribe.operators import contrastive, corpus, latency, layout, metrics, runs, sequence
 from scribe.plans import prepare, recognise, reports
 from scribe.sources import images, labels, manifests, store
@@ -397,6 +397,29 @@ def test_rows_and_merges_on_random_pages(spark):
         assert sorted((b["x"], b["y"], b["width"], b["height"]) for b in merged[p]["boxes"]) == sorted(now)
 
 
+def test_a_page_of_fifty_thousand_boxes(spark):
+    import time
+
+    r = random.Random(6)
+    boxes = sorted((r.randrange(0, 60_000), r.randrange(0, 3000), i, r.randrange(10, 60), r.randrange(10, 30)) for i in range(50_000))
+    gutters = [(700, 730), (1500, 1540)]
+    began = time.process_time()
+    rows, whole = sweep.grouped(boxes, gutters), sweep.merged(boxes, gutters, 40.0)
+    assert time.process_time() - began < 20
+    assert sum(map(len, rows)) == 50_000 and sorted(b[2] for row in rows for b in row) == list(range(50_000))
+    for a, b in zip(rows, rows[1:]):
+        assert min(x[0] for x in a) <= min(x[0] for x in b)
+    few = boxes[:400]  # against every row and box so far, not only those beside
+    plain = []
+    for box in few:
+        hit = next((row for row in plain if sweep.same_row(row[-1], box) and not sweep.parted(row[-1], box, gutters)), None)
+        plain.append([box]) if hit is None else hit.append(box)
+    assert sorted(sorted(row) for row in sweep.grouped(few, gutters)) == sorted(sorted(row) for row in plain)
+    assert len(whole) < 50_000 and sweep.merged(whole, gutters, -1e9) == whole
+    page = spark.createDataFrame([(1, [dict(zip(sweep.FIELDS, b)) for b in boxes[:3000]])], "page_id long, boxes array<struct<y:int,x:int,idx:int,width:int,height:int>>").withColumn("gutters", F.array().cast("array<struct<a:int,b:int>>"))
+    assert layout.group_rows(page).select(F.aggregate("rows", F.lit(0), lambda n, row: n + F.size(row))).first()[0] == 3000
+
+
 def test_gutters_and_reading_order(spark):
     boxes = [(1, 2 * k + s, 40 + 460 * s, 40 * k, 260, 24) for k in range(6) for s in (0, 1)]
     df = spark.createDataFrame(boxes, "page_id int, idx int, x int, y int, width int, height int")
