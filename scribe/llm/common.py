@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +72,15 @@ def free_name(columns: Iterable[str], name: str) -> str:
     return name
 
 
+def let_go() -> None:
+    """Gives what a task has freed back to the system: Python workers stay for later tasks, and would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def hash_filter(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
     """The first `bits` bits of the 64-bit hashes in a column as a set of bits: 2 ** bits / 8 bytes, however many there are."""
     slot = F.shiftrightunsigned(column, 64 - bits) + 1

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, forget, free_name, saved
+from .common import connected_components, forget, free_name, let_go, saved
 from .textbytes import mixed, pieces, texts_of, words_of
 
 #: Minwise functions; the first COORDINATES of them choose paths, one bit of each makes the sketch.
@@ -62,6 +62,7 @@ def fingerprints(documents: DataFrame, words: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * COORDINATES), flat)
             cols = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), lists, *[pa.array(four[:, k].copy()) for k in range(len(SKETCH))]]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "f0", "f1", "paths", *SKETCH])
+        let_go()
 
     rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, f"doc_id long, n long, f0 long, f1 long, paths array<int>, {', '.join(f'{s} long' for s in SKETCH)}")
@@ -86,6 +87,7 @@ def fetched(ids: DataFrame, documents: DataFrame, words: int, sets: DataFrame |
         for batch in batches:
             rows = [s.view(np.int64) for s in shingles(batch, words)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(pa.int64()))], ["id", "set"])
+        let_go()
 
     texts = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.hint("merge"), "doc_id", "left_semi")
     more = saved(texts.mapInArrow(run, "id long, set array<long>"), "sets")

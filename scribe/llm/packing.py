@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import saved
+from .common import let_go, saved
 
 END_ID = 1
 #: The vocabulary's added token; the library that reads JSON finds it inside texts, its id is the first free one.
@@ -47,6 +47,8 @@ def tokenise(documents: DataFrame, length: int = 2048, vocabulary: str | None =
                 rows += [(i, s, len(part := ids[s : s + length]), zlib.crc32(part.tobytes()), len(ids)) for s in range(0, len(ids), length)]
             t = np.array(rows, np.int64).reshape(-1, 5)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(t[:, 0])), *[pa.array(t[:, k]) for k in range(1, 5)]], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        del encoder
+        let_go()
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")

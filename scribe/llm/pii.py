@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import forget, saved
+from .common import forget, let_go, saved
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("email_spelled", "phone_local", "ssn", "secret")
@@ -258,6 +258,7 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [batch.column("doc_id"), *[pa.array(n[:, i]) for i in range(len(KINDS))], pa.array(digest, pa.string()), pa.array(base, pa.list_(span)), pa.array(found, pa.list_(cand))],
             ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "base", "found"],
         )
+    let_go()
 
 
 SPAN = "struct<kind:string,start:bigint,end:bigint>"
@@ -361,6 +362,7 @@ def find_pii(documents: DataFrame, save: Callable[[DataFrame], DataFrame] | None
                 n.append(len(all_))
             names = batch.schema.names[:-2]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(spans, pa.string()), pa.array(n, pa.int64())], [*names, "spans", "n_spans"])
+        let_go()
 
     kept = [f"n_{k}" for k in KINDS]
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -400,6 +402,7 @@ def redact(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
                 out.append(text)
             names = batch.schema.names
             yield pa.RecordBatch.from_arrays([pa.array(out, batch.schema.field("text").type) if n == "text" else batch.column(i) for i, n in enumerate(names)], names)
+        let_go()
 
     done = documents.mapInArrow(mask, StructType([*documents.schema.fields]))
     return done.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in documents.columns else done

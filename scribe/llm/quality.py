@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import free_name, let_go
 from .textbytes import mixed, pieces, texts_of, words_of
 
 BITS = 18
@@ -53,6 +53,7 @@ def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             slots += np.split((key & 0xFFFFFFFF).astype(np.int32), cuts)
             values += np.split(value.astype(np.float32), cuts)
         yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("shard"), batch.column("at"), pa.array(slots, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], ["y", "shard", "at", "slots", "values"])
+    let_go()
 
 
 SCALE = 4.0
@@ -79,6 +80,8 @@ def train_shard(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("at")
     w = ftrl([(y, np.asarray(s, np.int64), np.asarray(v, np.float64)) for y, s, v in zip(rows["y"], rows["slots"], rows["values"])])
     at = np.flatnonzero(w)
+    del rows
+    let_go()
     # slot -1 counts the tasks that had rows
     return pd.DataFrame({"slot": np.r_[-1, at].astype(np.int32), "weight": np.r_[1.0, w[at]]})
 
@@ -127,6 +130,7 @@ def score_quality(documents: DataFrame, weights: np.ndarray, name: str = "score"
                 slot, doc, count = ngram_slots(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 out[i:j] = np.bincount(doc, w[slot], j - i) * SCALE / np.maximum(count, 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(out + w[0], -500, 500))))], [*batch.schema.names, name])
+        let_go()
 
     from pyspark.sql.types import DoubleType, StructType
 
