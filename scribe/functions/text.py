@@ -128,7 +128,7 @@ def detokenize(text: Column, mode: str = "detokenize") -> Column:
     def line(t: Column) -> Column:
         for pattern, put in DETOKENISE:
             t = F.regexp_replace(t, "(?U)" + pattern, put)
-        return F.trim(t)
+        return F.regexp_replace(t, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
     return F.array_join(F.transform(F.split(text, "\n"), line), "\n")
 

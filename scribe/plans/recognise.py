@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from scribe.functions import scoring
 from scribe.operators import latency, metrics, runs
+from scribe.session import scratch
 
 
 def recognise(images: DataFrame, recogniser: Callable[[list], list[tuple[str, float]]], column: str = "image", batch: int = 16) -> DataFrame:
@@ -54,9 +55,12 @@ def _recognised(batches: Iterator[pd.DataFrame], recogniser: Callable, column: s
 def require_success(results: DataFrame) -> DataFrame:
     """The results, or an error if there are some and all of them failed.
 
-    They are persisted, so that the recogniser runs once for this check and for what is done with them after it.
+    They are written to the shared folder first, so that the recogniser runs once for this check and for what is done
+    with them after it, whatever executors are lost.
     """
-    results = results.persist()
+    path = scratch(results.sparkSession, "recognised")
+    results.write.parquet(path)
+    results = results.sparkSession.read.parquet(path)
     n, good = results.agg(F.count(F.lit(1)), F.count_if(F.col("error").isNull())).first()
     if n and not good:
         raise RuntimeError("every recognition failed")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scribe import catalogue, catalogue_files, catalogue_state  # noqa: F401
+from scribe import catalogue, catalogue_files, catalogue_rows, catalogue_state  # noqa: F401
 from scribe.functions import distance, geometry, scoring, sweep, text
 from scribe.operators import contrastive, corpus, latency, layout, metrics, runs, sequence
 from scribe.plans import prepare, recognise, reports
