@@ -82,15 +82,76 @@ def _in_strips(a: Sequence, b: Sequence, strip: int) -> int:
     return len(a) + sum(edge) - len(edge)
 
 
+#: Pairs whose longer side is up to so long share one integer, side by side, up to so many bits.
+LANE, WIDTH = 2048, 1 << 14
+
+
+def edit_distances(pairs: list[tuple[Sequence, Sequence]]) -> list[int]:
+    """edit_distance() of many pairs; those of middling length go side by side through the same integers."""
+    out, short = [0] * len(pairs), []
+    for i, (a, b) in enumerate(pairs):
+        a, b = without_common_ends(a, b)
+        if len(a) < len(b):
+            a, b = b, a
+        if not b:
+            out[i] = len(a)
+        elif len(a) > LANE:
+            out[i] = edit_distance(a, b)
+        else:
+            short.append((len(b), len(a), i, a, b))
+    short.sort(key=lambda x: x[:3])
+    group, bits = [], 0
+    for entry in short:
+        if bits + entry[1] + 1 > WIDTH:
+            _side_by_side(group, out)
+            group, bits = [], 0
+        group.append(entry)
+        bits += entry[1] + 1
+    _side_by_side(group, out)
+    return out
+
+
+def _side_by_side(group: list[tuple], out: list[int]) -> None:
+    """_in_one_strip() for (columns, rows, place in out, a, b) in order of columns, each in bits of its own.
+
+    A free bit above each pair takes its carries. A pair's distance is read when its columns end; what happens in its
+    bits after that is of no account.
+    """
+    full = ones = low = 0
+    lanes = []
+    for columns, rows, place, a, b in group:
+        places: dict = {}
+        for i, item in enumerate(a):
+            places[item] = places.get(item, 0) | 1 << low + i
+        lanes.append((columns, rows, place, low, places, b))
+        full, ones, low = full | (1 << rows) - 1 << low, ones | 1 << low, low + rows + 1
+    plus, minus, first, j = full, 0, 0, 0
+    while first < len(lanes):
+        same = 0
+        for _, _, _, _, places, b in lanes[first:]:
+            same |= places.get(b[j], 0)
+        diagonal = (((same & plus) + plus) ^ plus | same | minus) & full
+        up = (minus | full ^ (diagonal | plus)) << 1 | ones
+        down = (plus & diagonal) << 1
+        plus = (down | ~(diagonal | up)) & full
+        minus = up & diagonal
+        j += 1
+        while first < len(lanes) and lanes[first][0] == j:
+            columns, rows, place, low, _, _ = lanes[first]
+            own = (1 << rows) - 1
+            out[place] = columns + (plus >> low & own).bit_count() - (minus >> low & own).bit_count()
+            first += 1
+
+
 def _pairs(split: bool):
     def edits(reference: pd.Series, prediction: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(reference, prediction):
-            if a is None or b is None:
-                out.append(None)
-            else:
-                out.append(edit_distance(a.split(), b.split()) if split else edit_distance(a, b))
-        return pd.Series(out, dtype="Int64")
+        known = [i for i, (a, b) in enumerate(zip(reference, prediction)) if a is not None and b is not None]
+        out = pd.Series([None] * len(reference), dtype="Int64")
+        if known:
+            a, b = reference.iloc[known], prediction.iloc[known]
+            pairs = [(x.split(), y.split()) for x, y in zip(a, b)] if split else list(zip(a, b))
+            out.iloc[known] = edit_distances(pairs)
+        return out
 
     return F.pandas_udf(edits, LongType())
 

@@ -9,7 +9,7 @@ from scribe.functions.distance import char_distance, word_distance
 from scribe.functions.text import normalize_text
 
 #: Pairs with so many cells in their table are left to the built-in distance.
-SHORT = 1 << 20
+SHORT = 1 << 12
 
 
 def words(text: Column) -> Column:
@@ -19,7 +19,7 @@ def words(text: Column) -> Column:
 def char_edits(reference: Column, prediction: Column) -> Column:
     """Edit distance in code points, of texts of any length.
 
-    The built-in is quadratic, so only pairs of some thousand characters stay with it; the others go through Arrow.
+    The built-in is quadratic, so only pairs of some sixty characters stay with it; the others go through Arrow.
     """
     long = F.length(reference) * F.length(prediction).cast("long") > SHORT
     return F.coalesce(char_distance(F.when(long, reference), F.when(long, prediction)), F.when(~long, F.levenshtein(reference, prediction)))

@@ -68,6 +68,12 @@ def test_edit_distance_of_long_texts(spark):
             b = a[: r.randrange(len(a) + 1)] + b[:4] + a[r.randrange(len(a) + 1) :]
         for strip in (1, 3, 7, 64):
             assert distance.edit_distance(a, b, strip) == plain_distance(a, b)
+    many = []
+    for _ in range(900):
+        a, b = ("".join(r.choice("abé ") for _ in range(r.choice([0, 1, 5, 30, 63, 64, 65, 200]))) for _ in range(2))
+        many.append((a, b if r.random() < 0.5 else a[3:50] + "x" + a[60:]))
+    many += [("a" * 3000 + "b", "a" * 1500 + "c" * 20), ([1, 2, 3] * 40, [3, 2, 1] * 50)]
+    assert distance.edit_distances(many) == [distance.edit_distance(a, b) for a, b in many]
     words = [f"w{i}" for i in range(60_000)]  # more distinct words than there are letters to stand for them
     changed = [w for i, w in enumerate(words) if i % 20_000 != 7] + ["end"]
     assert distance.edit_distance(words, changed) == 4
