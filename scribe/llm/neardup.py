@@ -99,7 +99,7 @@ def confirmed(pairs: DataFrame, documents: DataFrame, words: int, percent: int,
     pairs = pairs if hasattr(pairs, "_saved_in") else saved(pairs, "pairs")
     sets = fetched(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))), documents, words, sets)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")).hint("merge"), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
-    common = F.size(F.array_intersect("x", "y"))
+    common = F.size(F.array_intersect("x", "y")).cast("long")
     links = saved(both.where(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b"), "links")
     forget(pairs)
     return links, sets
@@ -161,7 +161,7 @@ def compared_in_blocks(rows: DataFrame, nodes: DataFrame, sets: DataFrame, perce
                 k = np.searchsorted(token, x)
                 k = k[k < len(token)]
                 mark[k[np.isin(token[k], x)]] = 1
-                common = np.add.reduceat(mark[at], first)
+                common = np.add.reduceat(mark[at], first, dtype=np.int64)
                 hit = (common * 100 >= (size + len(x) - common) * percent) & (parts != part)
                 # one link to each part joins it
                 for p in np.unique(parts[hit]):
