@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from scribe.functions import scoring, text
 from scribe.operators import contrastive, corpus, latency, layout, metrics, runs, sequence
 from scribe.plans import reports
-from scribe.session import table
+from scribe.session import dealt, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,7 +57,7 @@ TOTALS_SQL = """count(*) AS num_samples, round(sum(char_edits) / sum(ref_chars),
 
 def scoring_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of forty words; they are cut inside the row, so that no line carries its whole text along."""
-    d = table(spark, sf_dir, "documents")
+    d = dealt(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
     words = F.array(F.struct(F.split(text.collapse(F.coalesce("text", F.lit(""))), " ").alias("w")))
     cut = lambda x: F.transform(F.sequence(F.lit(0), F.size(x["w"]) - 1, F.lit(40)), lambda at: F.struct(at.alias("at"), F.array_join(F.slice(x["w"], at + 1, F.lit(40)), " ").alias("line")))
     lines = d.select("doc_id", "lang", F.explode(F.transform(words, cut)[0]).alias("l"))
@@ -103,6 +103,7 @@ m AS (SELECT doc_id, lang, reference, prediction, length(reference) AS ref_chars
 def whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts with predictions that lose letters, words and accents."""
     d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("sample_id"), "lang", F.col("text").alias("reference"))
+    d = dealt(d, "sample_id")
     lost = F.col("reference")
     for said, read in (("th", "t"), (" of", ""), ("é", "e"), ("ß", "ss"), ("ñ", "n")):
         lost = F.replace(lost, F.lit(said), F.lit(read))

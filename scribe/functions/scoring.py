@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scribe.functions.distance import char_distance, word_distance
+from scribe.functions.distance import char_distance, norm_distance, word_distance
 from scribe.functions.text import normalize_text
 
 #: Pairs with so many cells in their table are left to the built-in distance.
@@ -30,6 +30,11 @@ def word_edits(reference: Column, prediction: Column) -> Column:
     return word_distance(reference, prediction)
 
 
+def norm_edits(reference: Column, prediction: Column) -> Column:
+    """Edit distance between the ASCII letters and digits of both, in lower case."""
+    return norm_distance(reference, prediction)
+
+
 def rate(edits: Column, length: Column, empty: Column) -> Column:
     """edits / length, not clamped; an empty reference counts 0 if the prediction is empty too, else 1."""
     return F.when(length > 0, edits / length).otherwise(F.when(empty, 0.0).otherwise(1.0))

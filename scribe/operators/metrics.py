@@ -42,8 +42,9 @@ def sample_metrics(pairs: DataFrame, normalise: bool = True, compose: bool = Tru
         "wer": scoring.rate(F.col("word_edits"), F.col("ref_words"), F.size(scoring.words(b)) == 0),
     })
     if normalise:
-        x, y = (text.normalize_text(c, lower=True, alnum_only=True, compose=False) for c in (a, b))
-        rows = rows.withColumns({"norm_edits": scoring.char_edits(x, y), "norm_chars": F.length(x), "norm_match": x == y})
+        # white space goes with all that is no letter or digit
+        x, y = (text.normalize_text(c, lower=True, whitespace=False, alnum_only=True, compose=False) for c in (a, b))
+        rows = rows.withColumns({"norm_edits": scoring.norm_edits(a, b), "norm_chars": F.length(x), "norm_match": x == y})
     return rows
 
 

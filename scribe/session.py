@@ -26,6 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt to all cores by the keys, however few row groups their file has; for steps that cost more than a shuffle."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new path in the folder that spark.checkpoint.dir names; in local mode, where that is unset, in one of our own."""
     where = spark.conf.get("spark.checkpoint.dir", None)

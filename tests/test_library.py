@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 
 import numpy as np
 import pytest
@@ -60,6 +61,32 @@ def plain_distance(a, b):
     return d[-1]
 
 
+def test_alike_pairs_are_followed_along_diagonals():
+    """Each way of weighing gives the plain distance, also of runs, periods, empty sides and items beyond one byte."""
+    r, many = random.Random(11), []
+    for k in range(300):
+        a = "".join(r.choice("ab"[: 1 + k % 2] + "c\U0001f600") for _ in range(r.randrange(0, 90)))
+        b = "".join(r.choice(["", x, x, x, x, x + "d"]) for x in a) if k % 3 else a[r.randrange(0, 5) :] + a[:3]
+        many += [(a, b), (b, a)]
+    words = [([f"w{r.randrange(400)}" for _ in range(60)], [f"w{r.randrange(400)}" for _ in range(50)]) for _ in range(20)]
+    long = "".join(r.choice("abcdefgh ") for _ in range(40_000))
+    for pairs_ in (many, words + [(a, a[:20] + ["new"] + a[21:]) for a, _ in words]):
+        assert distance.similar_distances(list(pairs_)) == [plain_distance(a, b) for a, b in pairs_]
+        for spare in (0, 3, 200):
+            ordered = [(a, b) if len(a) >= len(b) else (b, a) for a, b in pairs_ if len(a) and len(b)]
+            want = [d if d - len(a) + len(b) <= spare else -1 for a, b in ordered for d in [plain_distance(a, b)]]
+            assert distance._along_diagonals(ordered, spare) == want
+    # 40,000 characters and a few edits: a few rounds, where a table by columns takes seconds
+    began = time.perf_counter()
+    assert distance.similar_distances([(long, long[:9] + "X" + long[10:20_000] + long[20_003:] + "Y")]) == [5]
+    assert time.perf_counter() - began < 0.5
+
+
+def test_scoring_rows_are_dealt_to_all_cores(spark):
+    """One row group of documents must not be one task."""
+    assert catalogue.whole_texts(spark, SF).rdd.getNumPartitions() >= 8 and catalogue.scoring_pairs(spark, SF).rdd.getNumPartitions() >= 8
+
+
 def test_edit_distance_of_long_texts(spark):
     r = random.Random(2)
     for _ in range(1500):
