@@ -68,8 +68,7 @@ def job_store(spark, sf_dir):
     latest = e.groupBy("job_id", part).agg(F.max("last").alias("last"))
     rows = e.select("job_id", "ts", "history_entry", part).join(latest, ["job_id", "part"])
     path = scratch(spark, "job_store")
-    for k in range(4):
-        rows.where(F.col("part") == k).drop("part").coalesce(1).write.parquet(f"{path}/in/part={k}")
+    rows.write.partitionBy("part").parquet(f"{path}/in")
     kind = rows.drop("part").schema
     for k in range(4):
         stream = spark.readStream.schema(kind).parquet(f"{path}/in/part={{{','.join(map(str, range(k + 1)))}}}")

@@ -45,7 +45,7 @@ class JobStore:
             self.table.drop_version(version)
         self.table.commit(number, listed.where(~F.col("part").isin(touched)).unionByName(new) if touched else listed)
         entries = batch.where("history_entry is not null").select(F.col("job_id").cast("string").alias("job_id"), F.lit(number).cast("long").alias("batch"), "ts", F.col("history_entry").cast("string").alias("history_entry"))
-        entries.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/history/batch-{number:08d}")
+        entries.write.mode("overwrite").parquet(f"{self.path}/history/batch-{number:08d}")
         if number % self.block == self.block - 1:
             self.put_together(number // self.block)
         self.table.expire(self.keep)
@@ -53,7 +53,8 @@ class JobStore:
     def put_together(self, block: int) -> None:
         parts = [f for f in self._folders() if f.startswith("batch-") and int(f[6:]) // self.block == block]
         if parts:
-            self.spark.read.schema(HISTORY).parquet(*[f"{self.path}/history/{f}" for f in parts]).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/history/block-{block:08d}")
+            told = self.spark.read.schema(HISTORY).parquet(*[f"{self.path}/history/{f}" for f in parts])
+            told.coalesce(max(1, len(told.inputFiles()) // self.block)).write.mode("overwrite").parquet(f"{self.path}/history/block-{block:08d}")
             for f in parts:
                 self._delete(f)
 

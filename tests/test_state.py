@@ -103,6 +103,14 @@ def test_the_job_store_takes_empty_batches_and_nulls(spark, folder):
     assert got["a"] == ("done", None, []) and got[None][:2] == ("running", 1)
 
 
+def test_a_large_batch_of_history_is_not_one_task(spark, folder):
+    store = state.JobStore(spark, f"{folder}/jobs", buckets=4)
+    many = spark.range(0, 4000, 1, 6).select(F.concat(F.lit("j"), F.col("id") % 50).alias("job_id"), F.timestamp_seconds("id").alias("ts"), F.lit("running").alias("status"), F.col("id").cast("int").alias("epoch"), F.col("id").cast("string").alias("history_entry"))
+    store.merge(many, 0)
+    assert len(store.history().inputFiles()) == 6
+    assert sum(len(x["history"]) for x in store.jobs().collect()) == 4000
+
+
 class Value:
     def __init__(self):
         self.now = None
