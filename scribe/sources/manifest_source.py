@@ -15,6 +15,8 @@ from scribe.functions.text import sanitise_label
 
 HEADER = "# path<TAB>label\n"
 SPLIT = 64 << 20
+#: Splits smaller than SPLIT grow with the table beyond so many: a task costs more than reading a few kilobytes.
+SPLITS = 256
 HIDDEN = ("_", ".")
 
 
@@ -77,7 +79,8 @@ class ManifestReader(DataSourceReader):
     def partitions(self) -> list[Split]:
         system, root = opened(self.root)
         chosen = [(f, n) for f, n in names_of(system, root) if self.files is None or f in self.files]
-        return [Split(f, at, min(n, at + self.split)) for f, n in chosen for at in range(0, n, self.split)] or [Split("", 0, 0)]
+        split = max(self.split, min(SPLIT, sum(n for _, n in chosen) // SPLITS))
+        return [Split(f, at, min(n, at + split)) for f, n in chosen for at in range(0, n, split)] or [Split("", 0, 0)]
 
     def read(self, partition: Split) -> Iterator[tuple]:
         if not partition.file:
@@ -152,7 +155,8 @@ class ManifestWriter(DataSourceWriter):
 class ManifestSource(DataSource):
     """Columns file, path, label, and malformed, which has the lines without path, tab and label in mode "permissive".
 
-    In the other mode, "strict", such a line is an error that names file and line. `split` is the size of a split in bytes.
+    In the other mode, "strict", such a line is an error that names file and line. `split` is the least size of a
+    split in bytes; splits grow with the table where there would be too many.
     """
 
     @classmethod

@@ -31,6 +31,17 @@ def test_round_trip_in_any_splits(spark, folder):
     assert spark.read.format("manifest").load(f"{folder}/m").count() == 4
 
 
+def test_small_splits_do_not_become_a_task_each(folder):
+    os.mkdir(f"{folder}/m")
+    rows = [(f"{i}.png", f"label {i}") for i in range(20_000)]
+    with open(f"{folder}/m/one.txt", "w", encoding="utf-8") as f:
+        f.writelines(f"{p}\t{t}\n" for p, t in rows)
+    reader = source.ManifestReader({"path": f"{folder}/m", "split": 100})
+    parts = reader.partitions()
+    assert 200 < len(parts) <= source.SPLITS + 1
+    assert [r[1:3] for p in parts for r in reader.read(p)] == rows
+
+
 def test_malformed_lines_are_named(spark, folder):
     os.mkdir(f"{folder}/m")
     with open(f"{folder}/m/one.txt", "w", encoding="utf-8") as f:
