@@ -85,17 +85,17 @@ def stream_early_stop(spark, sf_dir):
     rows = epochs(spark, sf_dir).select(F.col("run").cast("string").alias("run_name"), "epoch", "value", F.timestamp_seconds(F.col("epoch")).alias("ts"))
     far = rows.agg(F.max("epoch")).first()[0] + 10 * 86_400
     path = scratch(spark, "early_stop")
-    for k in range(6):
-        rows.where(F.pmod(F.xxhash64("run_name", "epoch"), F.lit(6)) == k).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    spark.range(1).select(F.lit("~").alias("run_name"), F.lit(1).cast("long").alias("epoch"), F.lit(0.0).alias("value"), F.timestamp_seconds(F.lit(far)).alias("ts")).write.mode("append").parquet(f"{path}/in")
+    rows.withColumn("part", F.pmod(F.xxhash64("run_name", "epoch"), F.lit(6))).write.partitionBy("part").parquet(f"{path}/in")
+    spark.range(1).select(F.lit("~").alias("run_name"), F.lit(1).cast("long").alias("epoch"), F.lit(0.0).alias("value"), F.timestamp_seconds(F.lit(far)).alias("ts")).write.parquet(f"{path}/in/part=6")
     before = {k: spark.conf.get(k, None) for k in ROCKS}
     for k, v in ROCKS.items():
         spark.conf.set(k, v)
     try:
-        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-        alerts = jobs.early_stop_in_any_order(stream, 20, late="9 days", idle_days=30)
-        running = alerts.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/c").outputMode("append").trigger(availableNow=True).start()
-        running.awaitTermination()
+        for k in range(7):
+            stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in/part={{{','.join(map(str, range(k + 1)))}}}")
+            alerts = jobs.early_stop_in_any_order(stream, 20, late="9 days", idle_days=30)
+            running = alerts.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/c").outputMode("append").trigger(availableNow=True).start()
+            running.awaitTermination()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -117,30 +117,44 @@ def early_stop_alerts(epochs: DataFrame, patience: int, mode: str = "min", min_d
 class EarlyStopInOrder(StatefulProcessor):
     """EarlyStop for epochs that come in any order: each waits until event time has passed it.
 
-    State of a run: its epochs that wait (a map), the values of the fold, and one timer. When the watermark passes the
-    earliest waiting epoch, all epochs that it has passed are folded in order. A run of which nothing has come for
-    `idle` milliseconds leaves no state.
+    State of a run: its epochs that wait (a map of sorted pieces by their earliest time), the values of the fold, and one
+    timer. When the watermark passes the earliest waiting epoch, all epochs that it has passed are folded in order. A run
+    of which nothing has come for `idle` milliseconds leaves no state.
     """
 
+    #: Epochs in one entry of the map; an entry costs a round trip to the state store.
+    PIECE = 4096
+
     def __init__(self, patience: int, mode: str, min_delta: float, idle: int):
         self.fold, self.idle = (patience, mode, min_delta), idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("fold", "best double, waited int, stopped boolean, last long, timer long")
-        self.held = handle.getMapState("held", "at long, epoch long", "value double")
+        self.state = handle.getValueState("fold", "best double, waited int, stopped boolean, last long, timer long, pieces long")
+        self.held = handle.getMapState("held", "least long, piece long", "at array<long>, epoch array<long>, value array<double>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best, waited, stopped, last, timer = self.state.get() if self.state.exists() else (None, 0, False, 0, 0)
+        best, waited, stopped, last, timer, pieces = self.state.get() if self.state.exists() else (None, 0, False, 0, 0, 0)
+        new = []
         for part in rows:
             for at, epoch, value in zip(part["ts"], part["epoch"], part["value"]):
                 at = int(at.timestamp() * 1000)
                 last = max(last, at)
                 if not stopped and value is not None and abs(value) < float("inf"):
-                    self.held.updateValue((at, int(epoch)), (float(value),))
-        self.state.update((best, waited, stopped, last, self.wake(timer, last, timerValues)))
+                    new.append((at, int(epoch), float(value)))
+        pieces = self.hold(new, pieces)
+        self.state.update((best, waited, stopped, last, self.wake(timer, last, timerValues), pieces))
         yield from ()
 
+    def hold(self, new: list[tuple[int, int, float]], pieces: int) -> int:
+        """Puts (at, epoch, value) into the map; a later piece counts if an epoch comes twice."""
+        new.sort(key=lambda x: x[0])  # stable: of a time and epoch the last that came stays last
+        for k in range(0, len(new), self.PIECE):
+            at, epoch, value = map(list, zip(*new[k : k + self.PIECE]))
+            self.held.updateValue((at[0], pieces), (at, epoch, value))
+            pieces += 1
+        return pieces
+
     def wake(self, timer: int, last: int, timerValues) -> int:
         """Sets the timer to the earliest waiting epoch, or to where the run has been idle for long enough."""
         waiting = [at for at, _ in self.held.keys()]
@@ -155,14 +169,22 @@ class EarlyStopInOrder(StatefulProcessor):
         if not self.state.exists():
             return
         now = timerValues.getCurrentWatermarkInMs()
-        best, waited, stopped, last, _ = self.state.get()
+        best, waited, stopped, last, _, pieces = self.state.get()
         (patience, mode, min_delta), out = self.fold, []
         sign = 1 if mode == "min" else -1
-        passed = sorted(((epoch, at), value[0]) for (at, epoch), value in self.held.iterator() if at <= now)
-        for (epoch, at), value in passed:
-            self.held.removeKey((at, epoch))
+        waiting: dict = {}
+        opened = sorted(((piece, least), held) for (least, piece), held in self.held.iterator() if least <= now)
+        for (piece, least), held in opened:
+            self.held.removeKey((least, piece))
+            rows = list(zip(*held))
+            waiting.update({(epoch, at): value for at, epoch, value in rows if at <= now})
+            later = [x for x in rows if x[0] > now]
+            if later and not stopped:  # under its own number, so that later pieces still count before it
+                self.held.updateValue((later[0][0], piece), tuple(map(list, zip(*later))))
+        passed = sorted(waiting.items())
+        for (epoch, _), value in passed:
             if stopped:
-                continue
+                break
             if best is None or sign * value < sign * best - min_delta:
                 best, waited = value, 0
             else:
@@ -173,7 +195,7 @@ class EarlyStopInOrder(StatefulProcessor):
         if not passed and now >= last + self.idle:
             self.state.clear()
         else:
-            self.state.update((best, waited, stopped, last, self.wake(0, last, timerValues)))
+            self.state.update((best, waited, stopped, last, self.wake(0, last, timerValues), pieces))
         if out:
             yield pd.DataFrame(out, columns=["run_name", "stop_epoch", "best"])
 

@@ -176,6 +176,19 @@ def test_shuffled_epochs_give_the_alerts_of_the_batch(spark):
         assert handle.value.now is None and not handle.map and not handle.timers  # nothing is left of a run that is over
 
 
+def test_epochs_wait_in_pieces():
+    """A batch of a run's epochs is an entry of the state, not one for each; a later value of an epoch counts."""
+    work, handle = jobs.EarlyStopInOrder(3, "min", 1e-5, 10**9), Handle()
+    work.init(handle)
+    batch = lambda es, v: iter([pd.DataFrame({"ts": [pd.Timestamp(1000 * e, unit="ms") for e in es], "epoch": es, "value": [v(e) for e in es]})])
+    list(work.handleInputRows(("r",), batch(list(range(2, 9000, 2)), lambda e: 1.0), Times(0)))
+    assert len(handle.map) == 2
+    list(work.handleInputRows(("r",), batch([*range(1, 9000, 2), 4], lambda e: 0.5 if e == 4 else 1.0), Times(0)))
+    assert len(handle.map) == 4
+    out = [x for now in (3000, 5000, 9000) for part in work.handleExpiredTimer(("r",), Times(now), None) for x in part.itertuples(index=False, name=None)]
+    assert out == [("r", 7, 0.5)]
+
+
 def test_page_ten_thousand_opens_two_files_at_most(spark, folder):
     made = history.History(spark, f"{folder}/h")
     rows = spark.range(20_000).select("id", F.timestamp_seconds(F.col("id") % 5000 + 1_700_000_000).alias("created_at"), F.concat(F.lit("Text "), "id").alias("text"), F.lit("a%b.png").alias("original_filename"))
