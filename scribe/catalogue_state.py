@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scribe.catalogue import ORACLES, REQUESTS_SQL, epochs, query, requests, rounded
 from scribe.catalogue_files import PART_SQL, parts
 from scribe.operators import latency, quantiles, runs
-from scribe.session import scratch, table
+from scribe.session import dealt, scratch, table
 from scribe.sources import manifest_source as source
 from scribe.sources import versions
 from scribe.sources.history import History, place_of
@@ -157,14 +157,14 @@ SELECT start::TIMESTAMP AS start, (start + INTERVAL 7 DAY)::TIMESTAMP AS "end",
 def stream_sliding_statistics(spark, sf_dir):
     """Seven-day windows of all requests, some a day late but before the watermark; rows that come too late count nowhere."""
     rows = requests(spark, sf_dir).select(F.col("created_at").cast("timestamp").alias("created_at"), "model_id", "total_ms", "confidence")
-    path = scratch(spark, "sliding")
+    rows, path = dealt(rows, "model_id"), scratch(spark, "sliding")
     last = rows.agg(F.max("created_at")).first()[0]
     at = lambda days: F.lit(last) + F.make_dt_interval(F.lit(days))
     mark = rows.limit(1).select(at(60).alias("created_at"), F.lit("~").alias("model_id"), F.lit(0.0).alias("total_ms"), F.lit(0.0).alias("confidence"))
     late = rows.withColumn("total_ms", F.lit(1e9))  # behind the mark's watermark: nothing of them may count
     parts = [rows.where("pmod(unix_micros(created_at), 2) = 0"), rows.where("pmod(unix_micros(created_at), 2) <> 0"), mark, late, mark.withColumn("created_at", at(120))]
     for k, part in enumerate(parts):
-        part.coalesce(1).write.mode("append").parquet(f"{path}/in/part={k}")
+        part.write.parquet(f"{path}/in/part={k}")
     for k in range(len(parts)):
         source = spark.readStream.schema(rows.schema).parquet(f"{path}/in/part={{{','.join(map(str, range(k + 1)))}}}")
         running = jobs.sliding_statistics(source, late="40 days").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/c").outputMode("append").trigger(availableNow=True).start()

@@ -240,3 +240,12 @@ def test_percentiles_like_the_built_in(spark):
     assert whole == pytest.approx(df.where("w > 0").agg(F.percentile("v", 0.5, F.col("w"))).first()[0])
     assert quantiles.exact_percentiles(df.limit(0), [], F.col("v"), F.col("w"), {"mid": 0.5}).first()["mid"] is None
     assert quantiles.exact_percentiles(df.limit(0), ["k"], F.col("v"), F.col("w"), {"mid": 0.5}).count() == 0
+
+
+def test_the_input_of_sliding_statistics_is_not_one_task(spark, monkeypatch):
+    from scribe import catalogue_state
+
+    paths = []
+    monkeypatch.setattr(catalogue_state, "scratch", lambda spark, tag, real=catalogue_state.scratch: paths.append(real(spark, tag)) or paths[-1])
+    catalogue_state.stream_sliding_statistics(spark, "/root/testdata/sf0.001")
+    assert len(spark.read.parquet(f"{paths[0]}/in/part=0").inputFiles()) > 1
