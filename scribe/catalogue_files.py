@@ -12,7 +12,7 @@ from scribe.catalogue import CHARSET, evaluation_runs, latest_runs, query, reque
 from scribe.functions import geometry, scoring, text
 from scribe.operators import corpus, layout, metrics, runs, sequence
 from scribe.plans import prepare, recognise, reports
-from scribe.session import scratch, table
+from scribe.session import dealt, scratch, table
 from scribe.sources import labels, manifests, store
 from scribe.streaming import jobs
 
@@ -119,13 +119,15 @@ def benchmark_files(spark, sf_dir):
 @query("SELECT 'user' || user_id AS run, count(*) AS epochs, round(sum(value), 6) AS total, round(max(value), 6) AS worst FROM events GROUP BY user_id")
 def history_files(spark, sf_dir):
     """A history file for each run, one with broken JSON and one with values that are no numbers."""
-    e, path = table(spark, sf_dir, "events"), scratch(spark, "history")
+    # a null run has the folder without a name
+    e, path = table(spark, sf_dir, "events").select(F.coalesce(F.concat(F.lit("user"), "user_id"), F.lit("")).alias("run"), "user_id", "event_id", "value"), scratch(spark, "history")
     epoch = F.create_map(F.lit("epoch"), F.col("event_id").cast("string"), F.lit("loss"), F.col("value").cast("string"), F.lit("note"), F.lit("text"))
-    rows = e.groupBy(F.concat(F.lit("user"), "user_id").alias("run")).agg(F.to_json(F.struct(F.first("user_id").cast("string").alias("run_name"), F.lit("loss").alias("monitor"), F.lit("min").alias("monitor_mode"), F.collect_list(epoch).alias("epochs"))).alias("value"))
-    rows.unionByName(spark.range(1).select(F.lit("broken").alias("run"), F.lit('{"run_name": "b", "epochs": [').alias("value"))).write.partitionBy("run").text(path)
-    h = labels.read_histories(spark, path).withColumn("run", F.regexp_replace("run", "^run=", ""))
+    # dealt by run, so that all tasks write files: a file costs the more, the fewer epochs it has
+    rows = dealt(e, "run").groupBy("run").agg(F.to_json(F.struct(F.first("user_id").cast("string").alias("run_name"), F.lit("loss").alias("monitor"), F.lit("min").alias("monitor_mode"), F.collect_list(epoch).alias("epochs"))).alias("value"))
+    labels.write_histories(rows.unionByName(spark.range(1).select(F.lit("broken").alias("run"), F.lit('{"run_name": "b", "epochs": [').alias("value"))), path)
+    h = labels.read_histories(spark, path).withColumn("run", F.nullif(F.regexp_replace("run", "^run=(__HIVE_DEFAULT_PARTITION__$)?", ""), F.lit("")))
     loss = F.try_element_at("metrics", F.lit("loss"))
-    return rounded(h.groupBy("run").agg(F.count(loss).alias("epochs"), F.sum(loss).alias("total"), F.max(loss).alias("worst")), 6)
+    return rounded(h.groupBy("run").agg(F.count(F.lit(1)).alias("epochs"), F.sum(loss).alias("total"), F.max(loss).alias("worst")), 6)
 
 
 @query("SELECT id, model_id, cer FROM (SELECT event_id AS id, 'user-' || user_id AS model_id, CASE WHEN event_id % 3 = 0 THEN (props->>'$.k')::DOUBLE / 200 END AS cer FROM events) ORDER BY id DESC LIMIT 100")

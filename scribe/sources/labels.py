@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scribe.functions.text import line_image_path
+from scribe.sources.whole_files import known, read_files, write_files
 
 
 def read_csv_splits(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
@@ -40,9 +41,26 @@ def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path).select(F.inline("entries"))
 
 
+def write_histories(rows: DataFrame, path: str) -> None:
+    """rows(run, value): a folder run=<run> with a history.json for each run; 256 folders above hold them, by hash."""
+    if not known(rows.sparkSession, path):
+        rows.select("run", "value").write.partitionBy("run").text(path)
+        return
+    unfit = F.col("run").isNull() | F.contains("run", F.lit("/"))
+    name = F.when(unfit, F.raise_error(F.concat(F.lit("no folder can have the name of run "), F.coalesce("run", F.lit("null"))))).otherwise(F.concat(F.lit("run="), "run"))
+    write_files(rows.select(F.concat_ws("/", F.lpad((F.crc32("run") % 256).cast("string"), 3, "0"), name, F.lit("history.json")).alias("file"), "value"), path)
+
+
 def read_histories(spark: SparkSession, path: str) -> DataFrame:
     """history.json files of runs -> (run, epoch, metrics map); missing or broken files give no rows."""
     schema = "run_name string, monitor string, monitor_mode string, epochs array<map<string,string>>"
-    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path).select(F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]*$", 1).alias("run"), "monitor", "monitor_mode", F.explode("epochs").alias("e"))
-    numbers = F.map_filter(F.transform_values("e", lambda k, v: v.try_cast("double")), lambda k, v: v.isNotNull() & ~k.isin("epoch", "timestamp"))
+    run = lambda file: F.regexp_extract(file, r"([^/]+)/[^/]*$", 1).alias("run")
+    if known(spark, path):
+        files = read_files(spark, path).select(run("file"), F.inline(F.from_json("value", f"array<struct<{schema}>>")))
+    else:
+        files = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path).select(run("_metadata.file_path"), "*")
+    rows = files.select("run", "monitor", "monitor_mode", F.explode("epochs").alias("e"))
+    # numbers that JSON lacks come from from_json() in quotes
+    number = lambda v: F.regexp_replace(v, '^"(NaN|-?Infinity)"$', "$1").try_cast("double")
+    numbers = F.map_filter(F.transform_values("e", lambda k, v: number(v)), lambda k, v: v.isNotNull() & ~k.isin("epoch", "timestamp"))
     return rows.select("run", "monitor", "monitor_mode", F.try_element_at("e", F.lit("epoch")).try_cast("int").alias("epoch"), numbers.alias("metrics"))
